@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, langid, quality
+from tidemark.llm import html_text, langid, quality, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": rules.op2_quality_rules,
     "op4_language_id": langid.op4_language_id,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rules.ORACLE_SQL,
+}
