@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, langid, pii, quality, rules
+from tidemark.llm import bpe, html_text, langid, pii, quality, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": rules.op2_quality_rules,
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
+    "op5_warc": warc.op5_warc,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_bpe": bpe.op8_bpe,
     "op10_html_extraction": html_text.op10_html_extraction,
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
 }
