@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, langid, pii, quality, rules, warc
+from tidemark.llm import bpe, html_text, langid, pii, quality, rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": rules.op2_quality_rules,
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": rules.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }
