@@ -1,17 +1,24 @@
-"""Toxicity from two Kneser-Ney language models, one of toxic and one of ordinary text.
+"""Toxicity from two Kneser-Ney models of words, one of toxic and one of ordinary text.
 
-Both classes have a bigram model by absolute discounting. It backs off to the class's
-continuation counts (after how many different words does a word come), and these to
-backoff counts that the classes share: the number of documents of the whole corpus, labelled or
-not, that have the word. So a rare word that happens to stand in one class only weighs little,
-and one that neither has seen weighs the same in every text. The evidence for a text is the difference of
-its two log-likelihoods divided by its words; a logistic curve, fitted on labelled rows
-that the models haven't counted, makes it a probability.
+A class gives a word the probability
 
-Words are runs of ASCII letters, digits and bytes of other characters, in lower case for ASCII, and known by
-64-bit hashes. The models are fitted on equally many documents of both classes, at most ``MAX_DOCS`` of each
-(a third more for the curve), and keep bigrams and words met twice; this bounds what is broadcast. The shared counts cover every
-row of the corpus, and so does the score, whole texts always.
+    max(n - D, 0) / N + (what discounting frees) * P(stem in the class) * share of the word among its stem
+
+where n is the Kneser-Ney count, the number of different contexts (here documents) of the class that have the
+word, N the sum of all, D the discount; the probability of a stem, the first ``STEM`` bytes of a word, is
+
+    max(n - D, 0) / N + (what discounting frees) * share of the stem in the corpus
+
+The shares are backoff counts that both classes have in common: documents of the whole corpus, labelled
+or not. So a rare expression that happens to stand in one class weighs nothing, and one of an unknown form of a known
+stem weighs as its stem. A word's evidence is the logarithm of its toxic by its ordinary probability, less
+``QUIET`` (towards 0): smaller differences, as classes of unlike topics or languages have them on
+every word, are no evidence. A text's evidence is the sum over its words divided by their number, and
+a logistic curve, fitted on labelled rows that the models haven't counted, makes it a probability.
+
+Words are runs of ASCII letters, digits and bytes of other characters, in lower case, known by 64-bit hashes. The models are fitted
+on at most ``MAX_DOCS`` documents of each class (a third more for the curve); only words that a class has more than
+D times are collected and broadcast, which that bounds. The shared counts cover every row of the corpus, and so does the score, whole texts always.
 
 Defined results: null and empty texts have evidence 0 and that point's score; labels that are null,
 or whose text is null, teach nothing; without one of the classes every score is the share of toxic labels (0.5 without labels).
@@ -25,36 +32,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, crc_mod, mix, pieces, table, word_hashes, word_spans
+from tidemark.llm.common import LOWER, crc_mod, pieces, table, word_hashes, word_spans
 from tidemark.llm.quality import _logistic, labelled_sample
 
 #: Labelled documents of each class that the models count.
 MAX_DOCS = 4000
 #: Every fourth labelled document fits the curve instead.
 CURVE_SHARE = 4
+STEM = 7
+DISCOUNT = 4
+QUIET = 2.0
 
 _APART = np.ones(256, dtype=bool)
 _APART[list(range(ord("0"), ord("9") + 1)) + list(range(ord("a"), ord("z") + 1)) + list(range(0x80, 0x100))] = False
-_START = np.uint64(0x5BD1E9955BD1E995)
 
 
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before it or the start mark, first word of each row and the end)."""
+def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of its stem, first word of each row and the end)."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offs, _APART)
-    words = word_hashes(low, starts, ends)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[first[:-1][first[:-1] < len(words)]] = _START
-    return words, before, first
-
-
-def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words)
+    return word_hashes(low, starts, ends), ~word_hashes(low, starts, np.minimum(ends, starts + STEM)), first
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -67,21 +68,22 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """words, pairs: sorted hashes; the others in their order, with one more entry for the unknown:
-    low[class]: probability after any word; weight[class]: what a word as context leaves to low; high[class]: what a pair has itself."""
+    """Sorted hashes of the words and stems that differ between the classes, their evidence, and that of all others."""
 
-    def __init__(self, words: np.ndarray, low: np.ndarray, weight: np.ndarray, pairs: np.ndarray, high: np.ndarray, curve: tuple[float, float, float, float]) -> None:
-        self.words, self.low, self.weight, self.pairs, self.high, self.curve = words, low, weight, pairs, high, curve
+    def __init__(self, words: np.ndarray, word_gain: np.ndarray, stems: np.ndarray, stem_gain: np.ndarray, other: float, curve: tuple[float, float, float, float]) -> None:
+        self.words, self.word_gain, self.stems, self.stem_gain, self.other, self.curve = words, word_gain, stems, stem_gain, other, curve
 
     def evidence(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood a word, for each row."""
-        words, before, first = _words(data, offs)
+        """The mean evidence of the words of each row."""
         out = np.zeros(len(offs) - 1)
-        if not len(words) or not len(self.words):
+        word, stem, first = expressions(data, offs)
+        if not len(word):
             return out
-        w, u, b = _find(self.words, words), _find(self.words, before), _find(self.pairs, _pair(before, words))
-        p = [self.high[c][b] + self.weight[c][u] * self.low[c][w] for c in (0, 1)]
-        sums = np.concatenate([[0.0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
+        gain = np.append(self.stem_gain, self.other)[_find(self.stems, stem)]
+        known = _find(self.words, word)
+        gain = np.where(known < len(self.words), np.append(self.word_gain, 0.0)[known], gain)
+        gain = np.sign(gain) * np.maximum(np.abs(gain) - QUIET, 0)
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
         n = np.diff(first)
         some = n > 0
         out[some] = ((sums[first[1:]] - sums[first[:-1]])[some]) / n[some]
@@ -92,100 +94,91 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + b * np.clip((evidence - centre) / spread, -12, 12), -30, 30)))
 
 
-def count_pairs(sample: DataFrame) -> DataFrame:
-    """(label, before, word, n) of all pairs of words of sample (text, _label)."""
+def _once_a_row(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) without repetition."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.lexsort((hashes, row))
+    row, hashes = row[at], hashes[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return row[new], hashes[new]
+
+
+def class_counts(sample: DataFrame) -> DataFrame:
+    """(kind, key, n0, n1): how many documents of each class (text, _label) have each word (kind 0) and stem (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("_label").to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in pieces(batch.column("text")):
-                words, before, first = _words(data, offs)
-                label = np.repeat(labels[lo:hi], np.diff(first))
-                for c in (0, 1):
-                    mine = label == c
-                    got, n = np.unique(np.stack([before[mine], words[mine]]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(got[0].view(np.int64)), pa.array(got[1].view(np.int64)), pa.array(n.astype(np.int64))], ["label", "before", "word", "n"])
+            for lo, hi, data, offs in pieces(batch.column("text"), 4 << 20):
+                word, stem, first = expressions(data, offs)
+                for kind, hashes in enumerate((word, stem)):
+                    row, key = _once_a_row(hashes, first)
+                    got, slot = np.unique(key, return_inverse=True)
+                    n = [np.bincount(slot, weights=labels[lo:hi][row] == c, minlength=len(got)).astype(np.int64) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), kind, np.int32)), pa.array(got.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["kind", "key", "n0", "n1"])
 
-    return sample.select("text", F.col("_label").cast("int").alias("_label")).mapInArrow(run, "label int, before bigint, word bigint, n bigint").groupBy("label", "before", "word").agg(F.sum("n").alias("n"))
+    counted = sample.select("text", F.col("_label").cast("int").alias("_label")).mapInArrow(run, "kind int, key bigint, n0 bigint, n1 bigint")
+    return counted.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def shared_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, float]:
-    """Documents of docs (text) that have each of the words, and the sum of that over all words there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def shared_counts(corpus: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Documents of the corpus (text) that have each of the known words and stems, and the sum of that over all stems there are."""
+    shared = corpus.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts = np.zeros(len(known) + 1, dtype=np.int64)
+        counts = [np.zeros(len(k) + 1, dtype=np.int64) for k in shared.value]
         for batch in batches:
-            for _, _, data, offs in pieces(batch.column("text")):
-                found, _, first = _words(data, offs)
-                row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-                at = np.lexsort((found, row))
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (found[at][1:] != found[at][:-1]) | (row[at][1:] != row[at][:-1])
-                counts += np.bincount(_find(known, found[at][new]), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["place", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(words) + 1)
-    out[rows["place"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return out[:-1], float(out.sum())
-
-
-def _discount(n: np.ndarray) -> float:
-    once, twice = float((n == 1).sum()), float((n == 2).sum())
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+            for _, _, data, offs in pieces(batch.column("text"), 4 << 20):
+                word, stem, first = expressions(data, offs)
+                for kind, hashes in enumerate((word, stem)):
+                    counts[kind] += np.bincount(_find(shared.value[kind], _once_a_row(hashes, first)[1]), minlength=len(counts[kind]))
+        for kind, n in enumerate(counts):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])], ["kind", "place", "n"])
+
+    found = corpus.select("text").mapInArrow(run, "kind int, place bigint, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
+    kind, place, n = (found[c].to_numpy() for c in ("kind", "place", "n"))
+    out = [np.zeros(len(k) + 1) for k in known]
+    for i in (0, 1):
+        out[i][place[kind == i]] = n[kind == i]
+    return out[0][:-1], out[1][:-1], float(out[1].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "toxic", key: str = "doc_id") -> Model:
     """Learns from the rows of docs that labels names, and takes the shared counts from corpus."""
-    from pyspark import StorageLevel
-
+    none = np.zeros(0, np.uint64)
     per_class = MAX_DOCS * CURVE_SHARE // (CURVE_SHARE - 1)
-    counts = {r["_label"]: r["n"] for r in docs.filter(F.col("text").isNotNull()).select(key).distinct().join(labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label")), key).groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
-        share = (min(max(counts.get(1, 0) / sum(counts.values()), 1e-3), 1 - 1e-3)) if counts else 0.5
-        none = np.zeros(0, np.uint64)
-        return Model(none, np.zeros((2, 1)), np.zeros((2, 1)), none, np.zeros((2, 1)), (math.log(share / (1 - share)), 0.0, 0.0, 1.0))
-    sample = labelled_sample(docs, labels, label, min(per_class, counts[0], counts[1]), key).withColumn("_curve", F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(CURVE_SHARE)) == 0).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = count_pairs(sample.filter(~F.col("_curve"))).persist(StorageLevel.MEMORY_AND_DISK)
-    # Both tables hold only what the bounded sample has twice.
-    words = pairs.groupBy("word").agg(
-        F.sum("n").alias("n"),
-        *[F.count(F.when(F.col("label") == c, 1)).alias(f"cont{c}") for c in (0, 1)],
-    ).filter(F.col("n") >= 2).drop("n").toPandas()
-    contexts = pairs.groupBy(F.col("before").alias("word")).agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)], F.sum("n").alias("n")).filter(F.col("n") >= 2).drop("n").toPandas()
-    kept = pairs.groupBy("before", "word").agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]).filter(F.col("n0") + F.col("n1") >= 2).toPandas()
-    totals = {r["label"]: r for r in pairs.groupBy("label").agg(F.count("*").alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()}
-    pairs.unpersist()
-
-    vocabulary = np.unique(np.concatenate([words["word"].to_numpy(np.int64), contexts["word"].to_numpy(np.int64)]).view(np.uint64))
-    size = len(vocabulary)
-    frequency, total = shared_counts(corpus, vocabulary)
-    # Every word that is not in the vocabulary shares one entry, as if met in half a document.
-    shared = np.append(frequency + 0.5, 0.5) / (total + 0.5 * (size + 1))
-    low, weight = np.empty((2, size + 1)), np.ones((2, size + 1))
-    pair_keys = _pair(kept["before"].to_numpy(np.int64).view(np.uint64), kept["word"].to_numpy(np.int64).view(np.uint64))
-    order = np.argsort(pair_keys)
-    high = np.zeros((2, len(order) + 1))
-    at_word, at_context = _find(vocabulary, words["word"].to_numpy(np.int64).view(np.uint64)), _find(vocabulary, contexts["word"].to_numpy(np.int64).view(np.uint64))
-    before = _find(vocabulary, kept["before"].to_numpy(np.int64).view(np.uint64))
-    for c in (0, 1):
-        cont = np.zeros(size + 1)
-        cont[at_word] = words[f"cont{c}"]
-        types = float(totals[c]["types"]) if c in totals else 1.0
-        d = _discount(cont)
-        own = np.maximum(cont - d, 0) / types
-        low[c] = own + (1 - own.sum()) * shared
-        n_context = np.zeros(size + 1)
-        n_context[at_context] = contexts[f"n{c}"]
-        once, twice = (float(totals[c]["once"]), float(totals[c]["twice"])) if c in totals else (0.0, 0.0)
-        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        part = np.maximum(kept[f"n{c}"].to_numpy(float) - d, 0) / np.maximum(n_context[before], 1)
-        high[c][:-1] = part[order]
-        weight[c] = np.maximum(1 - np.bincount(before, weights=part, minlength=size + 1), 1e-6)
-    model = Model(vocabulary, low, weight, pair_keys[order], high, (0.0, 1.0, 0.0, 1.0))
+    sample = labelled_sample(docs, labels, label, per_class, key).withColumn("_curve", F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(CURVE_SHARE)) == 0).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    if not rows.get(0) or not rows.get(1):
+        sample.unpersist()
+        share = min(max(rows.get(1, 0) / sum(rows.values()), 1e-3), 1 - 1e-3) if rows else 0.5
+        return Model(none, np.zeros(0), none, np.zeros(0), 0.0, (math.log(share / (1 - share)), 0.0, 0.0, 1.0))
+    counted = class_counts(sample.filter(~F.col("_curve"))).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(F.least(F.col(f"n{c}"), F.lit(DISCOUNT))).alias(f"free{c}") for c in (0, 1)]).collect()}
+    found = counted.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).toArrow()
+    # The words' stems come along, by one more pass over the bounded sample.
+    kind, hashes = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64)
+    n = np.stack([found[f"n{c}"].to_numpy().astype(float) for c in (0, 1)])
+    order = [np.flatnonzero(kind == i)[np.argsort(hashes[kind == i])] for i in (0, 1)]
+    words, stems = hashes[order[0]], hashes[order[1]]
+    stem_of = _stems_of(sample.filter(~F.col("_curve")), words)
+    word_docs, stem_docs, total = shared_counts(corpus, (words, stems))
+    counted.unpersist()
+
+    def part(kind: int, c: int) -> tuple[np.ndarray, float]:
+        whole = max(float(sums[kind][f"n{c}"] or 0), 1.0) if kind in sums else 1.0
+        return np.maximum(n[c][order[kind]] - DISCOUNT, 0) / whole, max(float(sums[kind][f"free{c}"] or 0), 1e-3) / whole if kind in sums else 1.0
+
+    share = np.append((stem_docs + 0.5) / max(total, 1.0), 0.5 / max(total, 1.0))
+    p_stem = [np.append(part(1, c)[0], 0.0) + part(1, c)[1] * share for c in (0, 1)]
+    at = _find(stems, stem_of)
+    of_stem = np.minimum((word_docs + 0.1) / (np.append(stem_docs, 0.0)[at] + 0.5), 1.0)
+    p_word = [part(0, c)[0] + part(0, c)[1] * p_stem[c][at] * of_stem for c in (0, 1)]
+    free = math.log(part(0, 1)[1]) - math.log(part(0, 0)[1])
+    stem_gain = np.log(p_stem[1]) - np.log(p_stem[0]) + free
+    model = Model(words, np.log(p_word[1]) - np.log(p_word[0]), stems, stem_gain[:-1], float(stem_gain[-1]), (0.0, 1.0, 0.0, 1.0))
     # The curve, on what the models haven't counted.
     held = measured(sample.filter("_curve"), model, key, ["_label"]).select("evidence", "_label").toPandas()
     sample.unpersist()
@@ -200,6 +193,28 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "tox
     return model
 
 
+def _stems_of(sample: DataFrame, words: np.ndarray) -> np.ndarray:
+    """The stem of each of the words, all of which the sample has."""
+    shared = sample.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        stems = np.zeros(len(known) + 1, dtype=np.uint64)
+        seen = np.zeros(len(known) + 1, dtype=bool)
+        for batch in batches:
+            for _, _, data, offs in pieces(batch.column("text"), 4 << 20):
+                word, stem, _ = expressions(data, offs)
+                at = _find(known, word)
+                stems[at], seen[at] = stem, True
+        some = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(stems[some].view(np.int64))], ["place", "stem"])
+
+    found = sample.select("text").mapInArrow(run, "place bigint, stem bigint").groupBy("place").agg(F.max("stem").alias("stem")).toArrow()
+    out = np.zeros(len(words), dtype=np.uint64)
+    out[found["place"].to_numpy()] = found["stem"].to_numpy().view(np.uint64)
+    return out
+
+
 def measured(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: key, the kept columns, score and evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
