@@ -153,3 +153,27 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
             h = (h ^ words[j : n - k + 1 + j]) * _ODD
             h ^= h >> np.uint64(29)
     return mix(h)
+
+
+def shingle_rows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of size words of each row, repeats included, and where each row's begin (and the end).
+
+    first: the number of the first word of each row. A row of fewer words is one run, one without words none.
+    """
+    n = np.diff(first)
+    count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(count)])
+    row = np.repeat(np.arange(len(n)), count)
+    begin = first[:-1][row] + np.arange(at[-1]) - at[:-1][row]
+    used = np.minimum(n, size)[row]
+    with np.errstate(over="ignore"):
+        h = used.astype(np.uint64)
+        for j in range(size):
+            inside = used > j
+            if inside.all():
+                h = (h ^ words[begin + j]) * _ODD
+                h ^= h >> np.uint64(29)
+            else:
+                x = (h[inside] ^ words[begin[inside] + j]) * _ODD
+                h[inside] = x ^ (x >> np.uint64(29))
+    return mix(h), at

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, langid, pii, quality, rules, toxicity, warc
+from tidemark.llm import bpe, html_text, langid, near_dedup, pii, quality, rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,12 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": langid.op4_language_id,
     "op5_warc": warc.op5_warc,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality_rules": rules.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }
