@@ -254,10 +254,9 @@ def decode(encoded: DataFrame, tokens: list[bytes], keep: tuple[str, ...] = ("do
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded with the 50k vocabulary, and decoded again."""
-    tokens = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def digests(docs: DataFrame, tokens: list[bytes] | None = None) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of what they decode to, for every row of docs (doc_id, text)."""
+    tokens = tokens or load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     found = decode(encode(docs, tokens), tokens)
     return found.select(
         "doc_id",
@@ -265,3 +264,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the 50k vocabulary, and decoded again."""
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, langid, near_dedup, pii, quality, rules, toxicity, warc
+from tidemark.llm import bpe, decontamination, html_text, langid, near_dedup, pii, quality, rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,10 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_bpe": bpe.op8_bpe,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE_SQL,
+    "op9_decontamination": decontamination.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }
