@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash, with odd sketches to verify banded candidates.
 
 A document is the set of its runs of ``width`` words. Documents of equal sets are one class from the start.
-Each class has ``SAMPLES`` MinHash values. Bands of them are the buckets in which candidates meet; all of them, folded
-into a bitmap by parity (an odd sketch), tell how similar two classes are: the population
-count of the XOR of two bitmaps estimates how many samples differ, which is precise just where similarities are high.
+Each class has ``SAMPLES`` MinHash values, bands of which are the buckets in which candidates meet. Classes that meet others get
+``FINE`` values, folded into a bitmap by parity (an odd sketch): the population
+count of the XOR of two bitmaps estimates how many values differ, which is precise just where similarities are high.
 What passes the bitmaps is confirmed on the full sets, by whole numbers. All that compares is built from SQL functions.
 
 A bucket never emits all its pairs. First each member meets the least of its bucket; then the least one that isn't yet in
@@ -31,13 +31,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, mix, pieces, shingle_rows, table, word_hashes, word_spans, written
 
 SAMPLES = 128
-#: Bits of an odd sketch, in words of 64.
-BITS = 1024
+#: MinHash values of an odd sketch, and its bits, in words of 64.
+FINE = 1024
+BITS = 8192
 MISS = 1e-6
 #: How many standard deviations below the threshold a bitmap's estimate may be.
-SLACK = 5.5
+SLACK = 5.0
+#: Rows whose MinHash values are held at once.
+ROWS = 256
 
-_SEEDS = np.random.default_rng(7).integers(0, 2**63, (2, SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(7).integers(0, 2**63, (2, FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bands(similarity: float, samples: int = SAMPLES) -> tuple[int, int]:
@@ -46,26 +49,32 @@ def bands(similarity: float, samples: int = SAMPLES) -> tuple[int, int]:
     return samples // rows, rows
 
 
-def most_differing(similarity: float, samples: int = SAMPLES) -> int:
+def most_differing(similarity: float, samples: int = FINE) -> int:
     """The largest population count of the XOR of two odd sketches that a pair of the similarity may have."""
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / samples)
     differ = 2 * samples * (1 - max(least, 0.0))
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * differ / BITS)))
 
 
-def minhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(rows, SAMPLES): the least of each permutation of each row's hashes; no row is empty."""
-    out = np.empty((len(starts) - 1, SAMPLES), dtype=np.uint64)
+def minhash(hashes: np.ndarray, starts: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """(rows, samples): the least of each permutation of each row's hashes; no row is empty."""
+    out = np.empty((len(starts) - 1, samples), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(SAMPLES):
+        for i in range(samples):
             out[:, i] = np.minimum.reduceat((hashes ^ _SEEDS[0, i]) * _SEEDS[1, i], starts[:-1])
     return out
 
 
+def _few(starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, starts) of at most ROWS rows."""
+    for lo in range(0, len(starts) - 1, ROWS):
+        yield lo, min(lo + ROWS, len(starts) - 1), starts[lo : lo + ROWS + 1]
+
+
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """(rows, BITS / 64) signed words: each sample flips one bit."""
     with np.errstate(over="ignore"):
-        place = (mix(samples ^ _SEEDS[1]) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        place = (mix(samples ^ _SEEDS[1, : samples.shape[1]]) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
     n = len(samples)
     flips = np.bincount((place + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS) & 1
     return np.packbits(flips.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
@@ -98,7 +107,7 @@ def _distinct(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, width: int, percent: int, key: str) -> DataFrame:
-    """(key, n, digest, sketch, bands) of each row; sketch and bands are null for empty sets."""
+    """(key, n, digest, bands) of each row; bands is null for empty sets."""
     n_bands, rows = bands(percent / 100)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -108,38 +117,38 @@ def signatures(docs: DataFrame, width: int, percent: int, key: str) -> DataFrame
                 hashes, at = _distinct(data, offs, width)
                 count = np.diff(at)
                 some = np.flatnonzero(count)
-                sketch, keys = np.zeros((hi - lo, BITS // 64), np.int64), np.zeros((hi - lo, n_bands), np.int64)
+                keys = np.zeros((hi - lo, n_bands), np.int64)
                 digest = np.zeros((hi - lo, 2), np.uint64)
                 if len(some):
                     starts = np.append(at[:-1][some], len(hashes))
-                    samples = minhash(hashes, starts)
-                    sketch[some], keys[some] = odd_sketch(samples), band_keys(samples, n_bands, rows)
+                    for a, b, at_few in _few(starts):
+                        keys[some[a:b]] = band_keys(minhash(hashes[at_few[0] : at_few[-1]], at_few - at_few[0]), n_bands, rows)
                     digest[some, 0] = np.add.reduceat(mix(hashes ^ _SEEDS[0, 0]), starts[:-1])
                     digest[some, 1] = np.bitwise_xor.reduceat(hashes, starts[:-1])
-
-                def lists(x: np.ndarray) -> pa.Array:
-                    null = np.append(count == 0, False)
-                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], mask=null)
-                    return pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
-
+                ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * n_bands, mask=np.append(count == 0, False))
                 digests = pa.array([x.tobytes() for x in digest], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(count.astype(np.int64)), digests, lists(sketch), lists(keys)], [key, "n", "digest", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(count.astype(np.int64)), digests, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], [key, "n", "digest", "bands"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n bigint, digest binary, sketch array<bigint>, bands array<bigint>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n bigint, digest binary, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, width: int, key: str) -> DataFrame:
-    """(key, n, shingles): the full set of each row."""
+    """(key, n, shingles, sketch): the full set of each row that isn't empty, and its odd sketch."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in pieces(batch.column("text")):
                 hashes, at = _distinct(data, offs, width)
-                full = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), full], [key, "n", "shingles"])
+                some = np.flatnonzero(np.diff(at))
+                for a, b, few in _few(np.append(at[:-1][some], len(hashes))):
+                    own, few = hashes[few[0] : few[-1]], few - few[0]
+                    sketch = odd_sketch(minhash(own, few, FINE))
+                    full = pa.ListArray.from_arrays(pa.array(few.astype(np.int32)), pa.array(own.view(np.int64)))
+                    words = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(lo + some[a:b])), pa.array(np.diff(few).astype(np.int64)), full, words], [key, "n", "shingles", "sketch"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n bigint, shingles array<bigint>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n bigint, shingles array<bigint>, sketch array<bigint>")
 
 
 # Links ------------------------------------------------------------------------------------------
@@ -197,16 +206,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int, key: str) -> DataFrame | None:
-    """Links (a, b) between classes (id, n, sketch, bands) that connect each component; None if there is no candidate."""
+    """Links (a, b) between classes (id, bands) that connect each component; None if there is no candidate."""
     tall = classes.select("id", F.explode("bands").alias("band"))
     least = tall.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_most")).filter(F.col("hub") != F.col("_most")).drop("_most")
     stars = written(tall.join(least, "band"), "stars")
     members = stars.select("id").distinct()
     if members.isEmpty():
         return None
-    known = written(classes.select("id", "n", "sketch").join(members, "id", "left_semi"), "sketches")
     # Each class by one of its documents: the texts of candidates only.
     sets = written(sets_of(docs.join(members.withColumnRenamed("id", key), key, "left_semi"), width, key).distinct().withColumnRenamed(key, "id"), "sets")
+    known = sets.select("id", "n", "sketch")
 
     def checked(pairs: DataFrame) -> DataFrame:
         left, right = _named(known, "a"), _named(known, "b")
@@ -225,7 +234,7 @@ def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int, key:
 
     # The least member outside of the hub's component meets the members of other components.
     rest = apart(links)
-    second = rest.filter(F.col("component") != F.col("main")).groupBy("band").agg(F.min_by(F.struct("id", "component"), "id").alias("_s"))
+    second = written(rest.filter(F.col("component") != F.col("main")).groupBy("band").agg(F.min_by(F.struct("id", "component"), "id").alias("_s")), "second")
     met = rest.filter(F.col("id") != F.col("hub")).join(second, "band").filter(F.col("component") != F.col("_s.component"))
     links = written(links.unionByName(checked(met.select(F.col("id").alias("a"), F.col("_s.id").alias("b")).distinct())), "links")
 
@@ -248,7 +257,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     full = signed.filter((F.col("n") > 0) & F.col(key).isNotNull())
     classes = full.groupBy("digest", "n").agg(F.min(key).alias("id"), F.count("*").alias("_rows"))
     copies = written(classes, "classes")
-    firsts = full.withColumnRenamed(key, "id").join(copies.select("digest", "n", "id"), ["digest", "n", "id"], "left_semi").select("id", "n", "digest", "sketch", "bands")
+    firsts = full.withColumnRenamed(key, "id").join(copies.select("digest", "n", "id"), ["digest", "n", "id"], "left_semi").select("id", "digest", "bands")
     links = similar(firsts.dropDuplicates(["id", "digest"]), docs.filter(F.col(key).isNotNull()), width, percent, key)
     found = copies.select("digest", "n", "id")
     if links is not None:
