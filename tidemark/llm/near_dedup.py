@@ -239,11 +239,14 @@ def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int, key:
     links = written(links.unionByName(checked(met.select(F.col("id").alias("a"), F.col("_s.id").alias("b")).distinct())), "links")
 
     # What is still apart: only those not in the hub's component, against all of their bucket.
-    rest = apart(links).join(known, "id").filter(F.col("id") != F.col("hub"))
+    rest = apart(links).filter(F.col("id") != F.col("hub")).join(known, "id").join(classes.select("id", "bands"), "id")
     all_of = _named(rest, "a")
     others = _named(rest.filter(F.col("component") != F.col("main")), "b")
     once = (F.col("a_component") == F.col("a_main")) | (F.col("a_id") < F.col("b_id"))
-    near = all_of.join(others, (F.col("a_band") == F.col("b_band")) & (F.col("a_component") != F.col("b_component")) & once & _alike("a", "b", percent))
+    # In the first of the bands that a pair has in common.
+    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    first = F.get(common, 0) == F.col("a_band")
+    near = all_of.join(others, (F.col("a_band") == F.col("b_band")) & (F.col("a_component") != F.col("b_component")) & once & first & _alike("a", "b", percent))
     last = written(confirmed(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), sets, percent), "links")
     return links.unionByName(last)
 
@@ -258,7 +261,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     classes = full.groupBy("digest", "n").agg(F.min(key).alias("id"), F.count("*").alias("_rows"))
     copies = written(classes, "classes")
     firsts = full.withColumnRenamed(key, "id").join(copies.select("digest", "n", "id"), ["digest", "n", "id"], "left_semi").select("id", "digest", "bands")
-    links = similar(firsts.dropDuplicates(["id", "digest"]), docs.filter(F.col(key).isNotNull()), width, percent, key)
+    links = similar(written(firsts.dropDuplicates(["id", "digest"]), "classes"), docs.filter(F.col(key).isNotNull()), width, percent, key)
     found = copies.select("digest", "n", "id")
     if links is not None:
         of = components(links)
