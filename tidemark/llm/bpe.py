@@ -9,7 +9,8 @@ became is then laid out along the texts by their numbers, and remembered for lat
 
 In rank order a merge can only make pairs of later rank, if the ranks come from training; a
 vocabulary may still hold a word whose merge makes an earlier pair. Such words are noticed and encoded one
-at a time by the definition, so that ids are always those of lowest rank first, leftmost first.
+at a time by the definition, so that ids are always those of lowest rank first, leftmost first. A match
+that is a token itself is that token, as in the tiktoken library.
 
 Defined results: null texts are encoded as empty ones: no ids. Repeated rows each get their row. Columns other than
 the key and the text are not read, so their names don't matter. No text is cut: a long one is a piece of its own.
@@ -18,6 +19,7 @@ the key and the text are not read, so their names don't matter. No text is cut:
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 #: Bytes of different matches that are replayed together.
-SLICE_BYTES = 1 << 20
-#: Different matches that a task remembers; more and it starts afresh.
-REMEMBERED = 150_000
+SLICE_BYTES = 256 << 10
+#: Different matches that a worker remembers; more and it starts afresh.
+REMEMBERED = 300_000
 #: Texts of about so many characters make an output batch.
-OUT_CHARS = 2 << 20
+OUT_CHARS = 1 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -54,21 +56,24 @@ class Replay:
     def __init__(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)])
+        # Rank of what two bytes merge to, -1 if they don't.
+        self.of_bytes = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        self.wide = len(tokens)
+        self.pairs: dict[int, int] = {}
 
     def rank(self, left: int, right: int) -> int:
         """Rank of what the two tokens merge to, -1 if they don't."""
-        found = self.pairs.get((left, right))
+        found = self.pairs.get(left * self.wide + right)
         if found is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+            found = self.pairs[left * self.wide + right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def one(self, word: bytes) -> list[int]:
         """By the definition: the pair of lowest rank, leftmost, again and again."""
-        ids = [self.single[b] for b in word]
+        ids = [int(self.single[b]) for b in word]
         while len(ids) > 1:
             best, at = min(((r, i) for i in range(len(ids) - 1) if (r := self.rank(ids[i], ids[i + 1])) >= 0), default=(-1, -1))
             if best < 0:
@@ -76,80 +81,76 @@ class Replay:
             ids[at : at + 2] = [best]
         return ids
 
-    def many(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        rank, single = self.rank, self.single
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        firsts: list[int] = []
-        for word in words:
-            first = len(symbols)
-            firsts.append(first)
-            symbols += [single[b] for b in word]
-            n = len(symbols)
-            after += range(first + 1, n + 1)
-            before += range(first - 1, n - 1)
-            if n > first:
-                after[n - 1] = before[first] = -1
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, end of each word's ids with a 0 before)."""
+        known, rank, wide = self.pairs.get, self.rank, self.wide
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+        first, last = bounds[:-1][bounds[:-1] < bounds[1:]], bounds[1:][bounds[:-1] < bounds[1:]] - 1
+        nexts, befores = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        nexts[last] = befores[first] = -1
+        ranked = np.full(len(data), -1)
+        ranked[:-1] = self.of_bytes[data[:-1], data[1:]]
+        ranked[last] = -1
         # pair[p]: rank of the pair that begins at p; index: positions by that rank.
-        pair = [-1] * len(symbols)
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0:
-                r = rank(symbols[p], symbols[q])
-                if r >= 0:
-                    pair[p] = r
-                    index.setdefault(r, []).append(p)
+        order = np.argsort(ranked, kind="stable")
+        order = order[np.searchsorted(ranked[order], 0) :]
+        found, begin = np.unique(ranked[order], return_index=True)
+        index = dict(zip(found.tolist(), (x.tolist() for x in np.split(order, begin[1:])), strict=False)) if len(found) else {}
+        symbols, after, before, pair = (x.tolist() for x in (self.single[data], nexts, befores, ranked))
         heap = list(index)
-        heap.sort()
         odd: list[int] = []
         while heap:
             r = heappop(heap)
-            places = index.pop(r, None)
-            if not places:
-                continue
+            places = index.pop(r)
             places.sort()
             for p in places:
                 if pair[p] != r:
                     continue
                 q = after[p]
                 symbols[p] = r
-                pair[q] = -1
-                symbols[q] = -1
+                pair[q] = symbols[q] = -1
                 q = after[p] = after[q]
-                new = -1
                 if q >= 0:
                     before[q] = p
-                    new = rank(r, symbols[q])
+                    right = symbols[q]
+                    new = known(r * wide + right)
+                    if new is None:
+                        new = rank(r, right)
+                    pair[p] = new
                     if new >= 0:
-                        entry = index.get(new)
-                        if entry is None:
+                        if new in index:
+                            index[new].append(p)
+                        else:
                             index[new] = [p]
                             heappush(heap, new)
-                        else:
-                            entry.append(p)
                         if new <= r:
                             odd.append(p)
-                pair[p] = new
+                else:
+                    pair[p] = -1
                 o = before[p]
                 if o >= 0:
-                    new = rank(symbols[o], r)
+                    left = symbols[o]
+                    new = known(left * wide + r)
+                    if new is None:
+                        new = rank(left, r)
                     pair[o] = new
                     if new >= 0:
-                        entry = index.get(new)
-                        if entry is None:
+                        if new in index:
+                            index[new].append(o)
+                        else:
                             index[new] = [o]
                             heappush(heap, new)
-                        else:
-                            entry.append(o)
                         if new <= r:
                             odd.append(o)
-        firsts.append(len(symbols))
-        out = [[s for s in symbols[a:b] if s >= 0] for a, b in zip(firsts, firsts[1:], strict=False)]
-        for i in set(np.searchsorted(firsts, odd, side="right") - 1):
-            out[i] = self.one(words[i])
-        return out
+        left = np.array(symbols, dtype=np.int32)
+        alive = left >= 0
+        ids, ends = left[alive], np.concatenate([[0], np.cumsum(alive)])[bounds]
+        if odd:
+            again = set((np.searchsorted(bounds, odd, side="right") - 1).tolist())
+            parts = [np.array(self.one(w), dtype=np.int32) if i in again else ids[ends[i] : ends[i + 1]] for i, w in enumerate(words)]
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, ends
 
 
 class Encoder:
@@ -166,18 +167,32 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         ids, starts = [self.ids], [self.starts]
-        at, size, batch = 0, 0, []
-        for i, word in enumerate(words):
-            batch.append(word.encode())
-            size += len(batch[-1])
-            if size >= SLICE_BYTES or i == len(words) - 1:
-                found = self.replay.many(batch)
-                ends = np.cumsum([len(x) for x in found], dtype=np.int64) + starts[-1][-1]
-                ids.append(np.array([x for y in found for x in y], dtype=np.int32))
-                starts.append(ends)
-                for word in words[at : i + 1]:
-                    self.number[word] = len(self.number)
-                at, size, batch = i + 1, 0, []
+        batch: list[bytes] = []
+        size = 0
+
+        def learn() -> None:
+            found, ends = self.replay.many(batch)
+            ids.append(found)
+            starts.append(ends[1:] + starts[-1][-1])
+
+        ranks = self.replay.ranks
+        raw = [w.encode() for w in words]
+        whole = [(w, r) for w, b in zip(words, raw, strict=True) if (r := ranks.get(b)) is not None]
+        if whole:
+            ids.append(np.array([r for _, r in whole], dtype=np.int32))
+            starts.append(np.arange(1, len(whole) + 1) + starts[-1][-1])
+        parts = [(w, b) for w, b in zip(words, raw, strict=True) if b not in ranks]
+        for _, b in parts:
+            batch.append(b)
+            size += len(b)
+            if size >= SLICE_BYTES:
+                learn()
+                batch.clear()
+                size = 0
+        if batch:
+            learn()
+        n = len(self.number)
+        self.number.update(zip((w for w, _ in whole + parts), range(n, n + len(words)), strict=True))
         self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,54 +225,82 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield first, texts
 
 
-def encode(docs: DataFrame, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs and ids, the tokens of the whole text. The vocabulary's size bounds what is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+#: The encoder of this worker process, by vocabulary and pattern: what it remembers serves later tasks.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoder(tokens: list[bytes], pattern: str, name: str) -> Encoder:
+    if (name, pattern) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name, pattern] = Encoder(tokens, pattern)
+    return _ENCODERS[name, pattern]
+
+
+def _name(tokens: list[bytes]) -> str:
+    return hashlib.sha1(b"\n".join(base64.b64encode(t) for t in tokens)).hexdigest()
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
-        for batch in batches:
-            for first, texts in _runs(batch.column("text")):
-                ids, ends = encoder.encode(texts)
-                kept = [batch.column(c).slice(first, len(texts)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*keep, "ids"])
+def _encoded(batches: Batches, encoder: Encoder, keep: tuple[str, ...]) -> Batches:
+    for batch in batches:
+        for first, texts in _runs(batch.column("text")):
+            ids, ends = encoder.encode(texts)
+            kept = [batch.column(c).slice(first, len(texts)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*keep, "ids"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+def _decoded(batches: Batches, tokens: list[bytes], keep: tuple[str, ...]) -> Batches:
+    whole = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+    for batch in batches:
+        column = batch.column("ids")
+        step = 256
+        for lo in range(0, batch.num_rows, step):
+            part = column.slice(lo, step)
+            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = np.array([len(x) if x.is_valid else 0 for x in part], dtype=np.int64)
+            lengths = starts[ids + 1] - starts[ids]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            data = whole[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], lengths)]
+            rows = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            out = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(rows.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, step) for c in keep], out], [*keep, "decoded"])
+
+
+def _kinds(df: DataFrame, keep: tuple[str, ...]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return "".join(f"`{c}` {kinds[c]}, " for c in keep)
+
+
+def encode(docs: DataFrame, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of docs and ids, the tokens of the whole text. The vocabulary's size bounds what is broadcast."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(tokens), _name(tokens)
+    run = lambda batches: _encoded(batches, _encoder(shared.value, pattern, name), keep)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, _kinds(docs, keep) + "ids array<int>")
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
-    """The kept columns of encoded and decoded, the bytes that the ids stand for."""
+    """The kept columns of encoded and decoded, the bytes that the ids stand for; null ids stand for none."""
     shared = encoded.sparkSession.sparkContext.broadcast(tokens)
-    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
-        whole = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        for batch in batches:
-            column = batch.column("ids")
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                part = column.slice(lo, step)
-                ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.array([len(x) if x.is_valid else 0 for x in part], dtype=np.int64)
-                lengths = starts[ids + 1] - starts[ids]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                data = whole[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], lengths)]
-                rows = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                out = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(rows.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, step) for c in keep], out], [*keep, "decoded"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", decoded binary"
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+    run = lambda batches: _decoded(batches, shared.value, keep)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, _kinds(encoded, keep) + "decoded binary")
+
+
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, ids, and decoded from these ids, in one pass through Python."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(tokens), _name(tokens)
+
+    def run(batches: Batches) -> Batches:
+        return _decoded(_encoded(batches, _encoder(shared.value, pattern, name), keep), shared.value, (*keep, "ids"))
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, _kinds(docs, keep) + "ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, tokens: list[bytes] | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to, for every row of docs (doc_id, text)."""
     tokens = tokens or load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = decode(encode(docs, tokens), tokens)
+    found = round_trip(docs, tokens)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
