@@ -24,15 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, pieces, table
 
-#: Bounds of the sample that is fitted on: labelled documents of each class, and bytes of each.
+#: Bounds of the sample that is fitted on: labelled documents of each class for the dictionary, and for the curve.
 MAX_DICTIONARY_DOCS = 400
 MAX_CURVE_DOCS = 1500
-MAX_SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of a text that are compressed in one frame.
 PART = 4096
@@ -123,24 +123,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id") -> Model:
-    """Fits on a bounded sample of the rows of labels: the first of it fill the dictionaries, the rest fit the curve."""
+    """Fits on a bounded sample of the rows of labels: the first of it fill the dictionaries, the rest fit the curve.
+
+    The curve's measures are taken of whole texts, in the tasks; only these numbers and the dictionaries reach the driver.
+    """
     n = MAX_DICTIONARY_DOCS + MAX_CURVE_DOCS
-    sample = labelled_sample(docs, labels, label, n, key).select(key, F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"), "_label", F.xxhash64(F.lit(7), F.col(key)).alias("_order"))
-    rows = sorted(sample.collect(), key=lambda r: (r["_order"], str(r[key]), r["text"]))
-    by = {c: [r["text"] for r in rows if r["_label"] == c] for c in (0, 1)}
-    if not by[0] or not by[1]:
-        share = (len(by[1]) / len(rows)) if rows else 0.5
-        odds = math.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3)))
-        return Model(b"\n" * 8, b"\n" * 8, [odds, 0.0, 0.0, 0.0], [0.0, 0.0], [1.0, 1.0])
-    cut = {c: max(1, min(MAX_DICTIONARY_DOCS, len(by[c]) // 2)) for c in (0, 1)}
-    share = min(cut.values())
-    good, bad = (_dictionary(by[c][: max(share, 1)]) for c in (1, 0))
-    rest = [(x, c) for c in (0, 1) for x in (by[c][cut[c] :] or by[c])]
-    both = Dictionaries(good, bad)
-    f = np.array([both.features(x.encode()) for x, _ in rest])
-    y = np.array([c for _, c in rest], dtype=float)
+    sample = labelled_sample(docs, labels, label, n, key).withColumn("_order", F.xxhash64(F.lit(7), F.col(key))).persist(StorageLevel.MEMORY_AND_DISK)
+    orders = {c: sorted(r["_order"] for r in sample.filter(F.col("_label") == c).select("_order").collect()) for c in (0, 1)}
+    if not orders[0] or not orders[1]:
+        sample.unpersist()
+        every = len(orders[0]) + len(orders[1])
+        share = min(max(len(orders[1]) / every, 1e-3), 1 - 1e-3) if every else 0.5
+        return Model(b"\n" * 8, b"\n" * 8, [math.log(share / (1 - share)), 0.0, 0.0, 0.0], [0.0, 0.0], [1.0, 1.0])
+    # Equally many texts of either class, and at least one left for the curve where there are two.
+    many = max(1, min(MAX_DICTIONARY_DOCS, *(len(o) // 2 for o in orders.values())))
+    last = {c: o[many - 1] for c, o in orders.items()}
+    head = F.col("_order") <= F.when(F.col("_label") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
+    share = max(64, DICTIONARY_BYTES // many)
+    few = sample.filter(head).select(F.substring("text", 1, share).alias("text"), "_label", "_order").collect()
+    few.sort(key=lambda r: (r["_order"], r["text"]))
+    good, bad = (_dictionary([r["text"] for r in few if r["_label"] == c]) for c in (1, 0))
+    rest = sample.filter(~head)
+    if rest.select("_label").distinct().count() < 2:
+        rest = sample
+    found = score(rest, Model(good, bad, [0.0] * 4, [0.0, 0.0], [1.0, 1.0]), key, ["_label"]).select("difference", "ratio", "_label").toPandas()
+    sample.unpersist()
+    f, y = found[["difference", "ratio"]].to_numpy(), found["_label"].to_numpy(float)
     centre, spread = f.mean(axis=0), f.std(axis=0) + 1e-6
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     beta = _logistic(design((f - centre) / spread), y, weight)
     return Model(good, bad, beta.tolist(), centre.tolist(), spread.tolist())
 
