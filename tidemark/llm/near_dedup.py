@@ -276,7 +276,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: the one of the least key of each component, rows with a null key, none twice."""
     stay = link(docs, width, percent, key).filter("kept").select(F.col(key).alias("_stays")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates()
+    return docs.join(stay, docs[key].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates()
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

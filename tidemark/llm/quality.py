@@ -179,6 +179,24 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str] |
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text's score is at least so much, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        both = Dictionaries(model.good, model.bad)
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 2))
+            for lo, hi, data, offs in pieces(batch.column("text")):
+                raw = data.tobytes()
+                for i in range(lo, hi):
+                    found[i] = both.features(raw[offs[i - lo] : offs[i - lo + 1]])
+            yield batch.filter(pa.array(model.scores(found) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score; labels of two thirds of the keys are learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
