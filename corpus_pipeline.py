@@ -19,7 +19,7 @@ from tidemark.llm.common import shared_dir, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality.score(docs, model, keep=docs.columns).filter("score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
