@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bars
+from tidemark.plans import bars, indicators
 
 FLAGSHIP = "bars_day"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (bars,):
+for _module in (bars, indicators):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
