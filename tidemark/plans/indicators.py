@@ -34,14 +34,14 @@ def rounded(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes if c not in keys])
 
 
-def _add(name: str, steps: list[dict[str, Column]], sql_steps: list[dict[str, str]]) -> None:
+def _add(name: str, steps: Callable[[], list[dict[str, Column]]], sql_steps: list[dict[str, str]]) -> None:
     """A query of the last step's columns; each step may use those of the steps before."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = day_bars(spark, sf_dir)
-        for step in steps:
+        df, made = day_bars(spark, sf_dir), steps()
+        for step in made:
             df = df.withColumns(step)
-        return rounded(df.select("instrument", "d", *steps[-1]), ["instrument", "d"])
+        return rounded(df.select("instrument", "d", *made[-1]), ["instrument", "d"])
 
     QUERIES[name] = query
     sql, parts = "b0", [f"b0 AS ({DAY_BARS_SQL})"]
@@ -55,88 +55,77 @@ def _add(name: str, steps: list[dict[str, Column]], sql_steps: list[dict[str, st
 #: Columns that aren't doubles.
 _LABELS = {"squeeze", "regime", "obv", "day_of_month", "days_left", "turn_of_month", "enough", "crossed", "signal", "trend"}
 
-_R = {"r": w.log_return()}
+def _r() -> dict[str, Column]:
+    return {"r": w.log_return()}
+
+
 _R_SQL = {"r": f"ln(c / lag(c) OVER {ORD})"}
-_S = {"r": w.simple_return()}
+def _s() -> dict[str, Column]:
+    return {"r": w.simple_return()}
+
+
 _S_SQL = {"r": f"c / lag(c) OVER {ORD} - 1"}
 
-_add("w1_momentum", [{"ret1": w.simple_return(), "ret21": w.simple_return(n=21)}], [{"ret1": f"c / lag(c) OVER {ORD} - 1", "ret21": f"c / lag(c, 21) OVER {ORD} - 1"}])
-_add("w2_scaled_momentum", [_R, {"score": w.scaled_momentum("r", 21)}], [_R_SQL, {"score": f"CASE WHEN count(r) OVER {_w(21)} = 21 THEN sum(r) OVER {_w(21)} END / nullif(stddev_samp(r) OVER {_w(21)} * {math.sqrt(21)}, 0)"}])
-_add(
-    "w3_blended_score",
-    [_R, {"s21": w.scaled_momentum("r", 21), "s63": w.scaled_momentum("r", 63)}, {"score": (F.col("s21") + F.col("s63")) / 2}],
+_add("w1_momentum", lambda: [{"ret1": w.simple_return(), "ret21": w.simple_return(n=21)}], [{"ret1": f"c / lag(c) OVER {ORD} - 1", "ret21": f"c / lag(c, 21) OVER {ORD} - 1"}])
+_add("w2_scaled_momentum", lambda: [_r(), {"score": w.scaled_momentum("r", 21)}], [_R_SQL, {"score": f"CASE WHEN count(r) OVER {_w(21)} = 21 THEN sum(r) OVER {_w(21)} END / nullif(stddev_samp(r) OVER {_w(21)} * {math.sqrt(21)}, 0)"}])
+_add("w3_blended_score", lambda: [_r(), {"s21": w.scaled_momentum("r", 21), "s63": w.scaled_momentum("r", 63)}, {"score": (F.col("s21") + F.col("s63")) / 2}],
     [_R_SQL, {f"s{n}": f"CASE WHEN count(r) OVER {_w(n)} = {n} THEN sum(r) OVER {_w(n)} END / nullif(stddev_samp(r) OVER {_w(n)} * {math.sqrt(n)}, 0)" for n in (21, 63)}, {"score": "(s21 + s63) / 2"}],
 )
-_add("w4_trend_slope", [{"ma": w.mean("c", 50)}, {"slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}], [{"ma": _mean("c", 50)}, {"slope": f"ma / lag(ma, 5) OVER {ORD} - 1"}])
-_add("w5_distance_from_mean", [{"dist": F.try_divide(F.col("c") - w.mean("c", 20), w.sd("c", 20))}], [{"dist": f"(c - ({_mean('c', 20)})) / nullif(({_sd('c', 20)}), 0)"}])
-_add("w6_realised_vol", [_R, {"vol": w.realised_vol("r", 20)}], [_R_SQL, {"vol": f"({_sd('r', 20)}) * {math.sqrt(252)}"}])
-_add("w7_parkinson_vol", [{"vol": w.parkinson(20)}], [{"x": "power(ln(h / l), 2)"}, {"vol": f"sqrt(({_mean('x', 20)}) / {4 * math.log(2)} * 252)"}])
+_add("w4_trend_slope", lambda: [{"ma": w.mean("c", 50)}, {"slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}], [{"ma": _mean("c", 50)}, {"slope": f"ma / lag(ma, 5) OVER {ORD} - 1"}])
+_add("w5_distance_from_mean", lambda: [{"dist": F.try_divide(F.col("c") - w.mean("c", 20), w.sd("c", 20))}], [{"dist": f"(c - ({_mean('c', 20)})) / nullif(({_sd('c', 20)}), 0)"}])
+_add("w6_realised_vol", lambda: [_r(), {"vol": w.realised_vol("r", 20)}], [_R_SQL, {"vol": f"({_sd('r', 20)}) * {math.sqrt(252)}"}])
+_add("w7_parkinson_vol", lambda: [{"vol": w.parkinson(20)}], [{"x": "power(ln(h / l), 2)"}, {"vol": f"sqrt(({_mean('x', 20)}) / {4 * math.log(2)} * 252)"}])
 _K = 0.34 / (1.34 + 21 / 19)
-_add(
-    "w8_yang_zhang_vol",
-    [{"vol": w.yang_zhang(20)}],
+_add("w8_yang_zhang_vol", lambda: [{"vol": w.yang_zhang(20)}],
     [
         {"night": f"ln(o / lag(c) OVER {ORD})", "dayr": "ln(c / o)", "up": "ln(h / o)", "dn": "ln(l / o)"},
         {"rs": "up * (up - dayr) + dn * (dn - dayr)"},
         {"vol": f"CASE WHEN count(night) OVER {_w(20)} = 20 THEN sqrt((var_samp(night) OVER {_w(20)} + {_K} * var_samp(dayr) OVER {_w(20)} + {1 - _K} * avg(rs) OVER {_w(20)}) * 252) END"},
     ],
 )
-_FLOW = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("c") - F.col("o"), F.col("h") - F.col("l")), F.lit(0.0))))
-_add("w9_order_flow", [{"x": _FLOW}, {"flow": w.mean("x", 10)}], [{"x": "greatest(-1.0, least(1.0, coalesce((c - o) / nullif(h - l, 0), 0.0)))"}, {"flow": _mean("x", 10)}])
+def _flow() -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("c") - F.col("o"), F.col("h") - F.col("l")), F.lit(0.0))))
+
+
+_add("w9_order_flow", lambda: [{"x": _flow()}, {"flow": w.mean("x", 10)}], [{"x": "greatest(-1.0, least(1.0, coalesce((c - o) / nullif(h - l, 0), 0.0)))"}, {"flow": _mean("x", 10)}])
 _TR_SQL = f"greatest(h - l, abs(h - coalesce(lag(c) OVER {ORD}, c)), abs(l - coalesce(lag(c) OVER {ORD}, c)))"
-_add("w17_atr_sma", [{"tr": w.true_range()}, {"atr": w.mean("tr", 14)}], [{"tr": _TR_SQL}, {"atr": _mean("tr", 14)}])
-_add(
-    "w20_bollinger",
-    [{"mid": w.mean("c", 20), "s": w.sd("c", 20)}, {"lower": F.col("mid") - 2 * F.col("s"), "upper": F.col("mid") + 2 * F.col("s"), "width": F.try_divide(400 * F.col("s"), F.col("mid"))}],
+_add("w17_atr_sma", lambda: [{"tr": w.true_range()}, {"atr": w.mean("tr", 14)}], [{"tr": _TR_SQL}, {"atr": _mean("tr", 14)}])
+_add("w20_bollinger", lambda: [{"mid": w.mean("c", 20), "s": w.sd("c", 20)}, {"lower": F.col("mid") - 2 * F.col("s"), "upper": F.col("mid") + 2 * F.col("s"), "width": F.try_divide(400 * F.col("s"), F.col("mid"))}],
     [{"mid": _mean("c", 20), "s": _sd("c", 20)}, {"lower": "mid - 2 * s", "upper": "mid + 2 * s", "width": "400 * s / mid"}],
 )
-_add(
-    "w22_squeeze",
-    [{"tr": w.true_range()}, {"atr": w.mean("tr", 20), "s": w.sd("c", 20)}, {"squeeze": 2 * F.col("s") < 1.5 * F.col("atr")}],
+_add("w22_squeeze", lambda: [{"tr": w.true_range()}, {"atr": w.mean("tr", 20), "s": w.sd("c", 20)}, {"squeeze": 2 * F.col("s") < 1.5 * F.col("atr")}],
     [{"tr": _TR_SQL}, {"atr": _mean("tr", 20), "s": _sd("c", 20)}, {"squeeze": "2 * s < 1.5 * atr"}],
 )
-_add("w23_sma", [{"sma20": w.mean("c", 20), "sma50": w.mean("c", 50), "sma200": w.mean("c", 200)}], [{f"sma{n}": _mean("c", n) for n in (20, 50, 200)}])
-_add(
-    "w27_stochastic",
-    [{"hh": w.highest("h", 14), "ll": w.lowest("l", 14)}, {"k": F.try_divide(100 * (F.col("c") - F.col("ll")), F.col("hh") - F.col("ll"))}, {"pct_k": F.col("k"), "pct_d": w.mean("k", 3)}],
+_add("w23_sma", lambda: [{"sma20": w.mean("c", 20), "sma50": w.mean("c", 50), "sma200": w.mean("c", 200)}], [{f"sma{n}": _mean("c", n) for n in (20, 50, 200)}])
+_add("w27_stochastic", lambda: [{"hh": w.highest("h", 14), "ll": w.lowest("l", 14)}, {"k": F.try_divide(100 * (F.col("c") - F.col("ll")), F.col("hh") - F.col("ll"))}, {"pct_k": F.col("k"), "pct_d": w.mean("k", 3)}],
     [
         {"hh": f"CASE WHEN count(h) OVER {_w(14)} = 14 THEN max(h) OVER {_w(14)} END", "ll": f"CASE WHEN count(l) OVER {_w(14)} = 14 THEN min(l) OVER {_w(14)} END"},
         {"k": "100 * (c - ll) / nullif(hh - ll, 0)"},
         {"pct_k": "k", "pct_d": _mean("k", 3)},
     ],
 )
-_add(
-    "w30_on_balance_volume",
-    [{"step": F.coalesce(F.signum(F.col("c") - F.lag("c").over(w.ordered())), F.lit(0.0)).cast("long") * F.col("v")}, {"obv": F.sum("step").over(w.ordered())}],
+_add("w30_on_balance_volume", lambda: [{"step": F.coalesce(F.signum(F.col("c") - F.lag("c").over(w.ordered())), F.lit(0.0)).cast("long") * F.col("v")}, {"obv": F.sum("step").over(w.ordered())}],
     [{"step": f"CAST(coalesce(sign(c - lag(c) OVER {ORD}), 0) AS BIGINT) * v"}, {"obv": f"CAST(sum(step) OVER {ORD} AS BIGINT)"}],
 )
-_add("w31_volume_ratio", [{"ratio": F.try_divide(F.col("v").cast("double"), w.mean(F.col("v").cast("double"), 20))}], [{"ratio": f"CAST(v AS DOUBLE) / ({_mean('CAST(v AS DOUBLE)', 20)})"}])
+_add("w31_volume_ratio", lambda: [{"ratio": F.try_divide(F.col("v").cast("double"), w.mean(F.col("v").cast("double"), 20))}], [{"ratio": f"CAST(v AS DOUBLE) / ({_mean('CAST(v AS DOUBLE)', 20)})"}])
 _PRIOR = "(PARTITION BY instrument ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
-_add(
-    "w35_prior_extremes",
-    [{"hi20": w.prior_high("h", 20), "lo20": w.prior_low("l", 20)}],
+_add("w35_prior_extremes", lambda: [{"hi20": w.prior_high("h", 20), "lo20": w.prior_low("l", 20)}],
     [{"hi20": f"CASE WHEN count(h) OVER {_PRIOR} = 20 THEN max(h) OVER {_PRIOR} END", "lo20": f"CASE WHEN count(l) OVER {_PRIOR} = 20 THEN min(l) OVER {_PRIOR} END"}],
 )
-_add("w37_ma_trend", [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"trend": F.when(F.col("a") > F.col("b"), "up").when(F.col("a") < F.col("b"), "down")}], [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"trend": "CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' END"}])
-_add(
-    "w40_information_discreteness",
-    [_S, {"neg": (F.col("r") < 0).cast("double"), "pos": (F.col("r") > 0).cast("double"), "total": w.simple_return(n=63)}, {"fip": F.signum("total") * (w.mean("neg", 63) - w.mean("pos", 63))}],
+_add("w37_ma_trend", lambda: [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"trend": F.when(F.col("a") > F.col("b"), "up").when(F.col("a") < F.col("b"), "down")}], [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"trend": "CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' END"}])
+_add("w40_information_discreteness", lambda: [_s(), {"neg": (F.col("r") < 0).cast("double"), "pos": (F.col("r") > 0).cast("double"), "total": w.simple_return(n=63)}, {"fip": F.signum("total") * (w.mean("neg", 63) - w.mean("pos", 63))}],
     [_S_SQL, {"neg": "CAST(r < 0 AS DOUBLE)", "pos": "CAST(r > 0 AS DOUBLE)", "total": f"c / lag(c, 63) OVER {ORD} - 1"}, {"fip": f"sign(total) * (({_mean('neg', 63)}) - ({_mean('pos', 63)}))"}],
 )
-_add("w42_z_score", [{"z": w.z_score("c", 156, 52)}], [{"z": f"CASE WHEN count(c) OVER {_w(156)} >= 52 THEN (c - avg(c) OVER {_w(156)}) / nullif(stddev_pop(c) OVER {_w(156)}, 0) END"}])
-_add("w47_drawdown", [{"dd": w.drawdown("c")}], [{"dd": f"c / max(c) OVER {ORD} - 1"}])
-_add("w50_history_gate", [{"enough": F.count("c").over(w.ordered()) >= 60}], [{"enough": f"count(c) OVER {ORD} >= 60"}])
-_add(
-    "w53_year_range",
-    [{"hi": w.highest("h", 252), "lo": w.lowest("l", 252)}, {"position": F.try_divide(F.col("c") - F.col("lo"), F.col("hi") - F.col("lo")), "ret63": w.simple_return(n=63), "ret252": w.simple_return(n=252)}],
+_add("w42_z_score", lambda: [{"z": w.z_score("c", 156, 52)}], [{"z": f"CASE WHEN count(c) OVER {_w(156)} >= 52 THEN (c - avg(c) OVER {_w(156)}) / nullif(stddev_pop(c) OVER {_w(156)}, 0) END"}])
+_add("w47_drawdown", lambda: [{"dd": w.drawdown("c")}], [{"dd": f"c / max(c) OVER {ORD} - 1"}])
+_add("w50_history_gate", lambda: [{"enough": F.count("c").over(w.ordered()) >= 60}], [{"enough": f"count(c) OVER {ORD} >= 60"}])
+_add("w53_year_range", lambda: [{"hi": w.highest("h", 252), "lo": w.lowest("l", 252)}, {"position": F.try_divide(F.col("c") - F.col("lo"), F.col("hi") - F.col("lo")), "ret63": w.simple_return(n=63), "ret252": w.simple_return(n=252)}],
     [
         {"hi": f"CASE WHEN count(h) OVER {_w(252)} = 252 THEN max(h) OVER {_w(252)} END", "lo": f"CASE WHEN count(l) OVER {_w(252)} = 252 THEN min(l) OVER {_w(252)} END"},
         {"position": "(c - lo) / nullif(hi - lo, 0)", "ret63": f"c / lag(c, 63) OVER {ORD} - 1", "ret252": f"c / lag(c, 252) OVER {ORD} - 1"},
     ],
 )
-_add(
-    "w13_rule_regime",
-    [_R, {"vol": w.realised_vol("r", 20), "ma": w.mean("c", 50)}, {"rank": w.share_below("vol", 100), "slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}, {"regime": F.concat_ws("/", F.when(F.col("slope") > 0.0005, "bull").when(F.col("slope") < -0.0005, "bear").otherwise("neutral"), F.when(F.col("rank") >= 0.67, "high").when(F.col("rank") < 0.33, "low").otherwise("normal"))}],
+_add("w13_rule_regime", lambda: [_r(), {"vol": w.realised_vol("r", 20), "ma": w.mean("c", 50)}, {"rank": w.share_below("vol", 100), "slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}, {"regime": F.concat_ws("/", F.when(F.col("slope") > 0.0005, "bull").when(F.col("slope") < -0.0005, "bear").otherwise("neutral"), F.when(F.col("rank") >= 0.67, "high").when(F.col("rank") < 0.33, "low").otherwise("normal"))}],
     [
         _R_SQL,
         {"vol": f"({_sd('r', 20)}) * {math.sqrt(252)}", "ma": _mean("c", 50)},
@@ -144,9 +133,7 @@ _add(
         {"regime": "CASE WHEN slope > 0.0005 THEN 'bull' WHEN slope < -0.0005 THEN 'bear' ELSE 'neutral' END || '/' || CASE WHEN rank >= 0.67 THEN 'high' WHEN rank < 0.33 THEN 'low' ELSE 'normal' END"},
     ],
 )
-_add(
-    "w48_month_ordinals",
-    [
+_add("w48_month_ordinals", lambda: [
         {"m": F.trunc("d", "MM")},
         {"day_of_month": F.row_number().over(w.Window.partitionBy("instrument", "m").orderBy("d")).cast("long"), "days_left": F.row_number().over(w.Window.partitionBy("instrument", "m").orderBy(F.desc("d"))).cast("long")},
         {"day_of_month": F.col("day_of_month"), "days_left": F.col("days_left"), "turn_of_month": (F.col("day_of_month") <= 3) | (F.col("days_left") <= 1)},
@@ -158,11 +145,9 @@ _add(
     ],
 )
 # Strategies whose signals are window expressions.
-_add("g22_ma_cross", [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"up": F.col("a") > F.col("b")}, {"crossed": F.when(F.col("up") & ~F.lag("up").over(w.ordered()), 1).when(~F.col("up") & F.lag("up").over(w.ordered()), -1).otherwise(0)}], [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"up": "a > b"}, {"crossed": f"CASE WHEN up AND NOT lag(up) OVER {ORD} THEN 1 WHEN NOT up AND lag(up) OVER {ORD} THEN -1 ELSE 0 END"}])
-_add("g22_breakout", [{"hi": w.prior_high("h", 20), "lo": w.prior_low("l", 20)}, {"signal": F.when(F.col("c") > F.col("hi"), 1).when(F.col("c") < F.col("lo"), -1).otherwise(0)}], [{"hi": f"CASE WHEN count(h) OVER {_PRIOR} = 20 THEN max(h) OVER {_PRIOR} END", "lo": f"CASE WHEN count(l) OVER {_PRIOR} = 20 THEN min(l) OVER {_PRIOR} END"}, {"signal": "CASE WHEN c > hi THEN 1 WHEN c < lo THEN -1 ELSE 0 END"}])
-_add("g22_band_reversal", [{"z": F.try_divide(F.col("c") - w.mean("c", 20), w.sd("c", 20))}, {"signal": F.when(F.col("z") < -2, 1).when(F.col("z") > 2, -1).otherwise(0)}], [{"z": f"(c - ({_mean('c', 20)})) / nullif(({_sd('c', 20)}), 0)"}, {"signal": "CASE WHEN z < -2 THEN 1 WHEN z > 2 THEN -1 ELSE 0 END"}])
-_add(
-    "g1_gated_momentum",
-    [_R, {"score": w.scaled_momentum("r", 21), "ma": w.mean("c", 50)}, {"slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}, {"signal": F.when((F.col("score") > 0.5) & (F.col("slope") > 0), 1).when((F.col("score") < -0.5) & (F.col("slope") < 0), -1).otherwise(0), "p": F.least(F.lit(0.62), F.lit(0.52) + 0.06 * F.abs("score"))}],
+_add("g22_ma_cross", lambda: [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"up": F.col("a") > F.col("b")}, {"crossed": F.when(F.col("up") & ~F.lag("up").over(w.ordered()), 1).when(~F.col("up") & F.lag("up").over(w.ordered()), -1).otherwise(0)}], [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"up": "a > b"}, {"crossed": f"CASE WHEN up AND NOT lag(up) OVER {ORD} THEN 1 WHEN NOT up AND lag(up) OVER {ORD} THEN -1 ELSE 0 END"}])
+_add("g22_breakout", lambda: [{"hi": w.prior_high("h", 20), "lo": w.prior_low("l", 20)}, {"signal": F.when(F.col("c") > F.col("hi"), 1).when(F.col("c") < F.col("lo"), -1).otherwise(0)}], [{"hi": f"CASE WHEN count(h) OVER {_PRIOR} = 20 THEN max(h) OVER {_PRIOR} END", "lo": f"CASE WHEN count(l) OVER {_PRIOR} = 20 THEN min(l) OVER {_PRIOR} END"}, {"signal": "CASE WHEN c > hi THEN 1 WHEN c < lo THEN -1 ELSE 0 END"}])
+_add("g22_band_reversal", lambda: [{"z": F.try_divide(F.col("c") - w.mean("c", 20), w.sd("c", 20))}, {"signal": F.when(F.col("z") < -2, 1).when(F.col("z") > 2, -1).otherwise(0)}], [{"z": f"(c - ({_mean('c', 20)})) / nullif(({_sd('c', 20)}), 0)"}, {"signal": "CASE WHEN z < -2 THEN 1 WHEN z > 2 THEN -1 ELSE 0 END"}])
+_add("g1_gated_momentum", lambda: [_r(), {"score": w.scaled_momentum("r", 21), "ma": w.mean("c", 50)}, {"slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}, {"signal": F.when((F.col("score") > 0.5) & (F.col("slope") > 0), 1).when((F.col("score") < -0.5) & (F.col("slope") < 0), -1).otherwise(0), "p": F.least(F.lit(0.62), F.lit(0.52) + 0.06 * F.abs("score"))}],
     [_R_SQL, {"score": f"CASE WHEN count(r) OVER {_w(21)} = 21 THEN sum(r) OVER {_w(21)} END / nullif(stddev_samp(r) OVER {_w(21)} * {math.sqrt(21)}, 0)", "ma": _mean("c", 50)}, {"slope": f"ma / lag(ma, 5) OVER {ORD} - 1"}, {"signal": "CASE WHEN score > 0.5 AND slope > 0 THEN 1 WHEN score < -0.5 AND slope < 0 THEN -1 ELSE 0 END", "p": "CASE WHEN score IS NULL THEN 0.62 ELSE least(0.62, 0.52 + 0.06 * abs(score)) END"}],
 )
