@@ -24,7 +24,8 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
 
 def aligned(bars: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """(key, time, value): every key at every time that any has, the last value known carried forward; null before the first."""
-    spine = bars.select(time).distinct().crossJoin(F.broadcast(bars.select(key).distinct()))  # the keys are instruments: a dimension
+    # Both sides are dimensions, the result is as large as what is asked for; nothing is broadcast by hint.
+    spine = bars.select(time).distinct().crossJoin(bars.select(key).distinct())
     joined = spine.join(bars.select(key, time, value), [key, time], "left")
     w = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(value, F.last(value, ignorenulls=True).over(w))
