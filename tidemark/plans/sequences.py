@@ -12,7 +12,7 @@ from tidemark.operators import outcomes as oc, validation as va
 from tidemark.plans.bars import day_bars
 from tidemark.plans.indicators import rounded
 from tidemark.plans.joins import BARS
-from tidemark.streaming import windows as st
+from tidemark.streaming import lifecycle, windows as st
 
 
 def t1_triple_barrier(spark, sf_dir):
@@ -116,6 +116,15 @@ def z2_stream_bars(spark, sf_dir):
     return rounded(out.withColumn("t", F.col("t").cast("timestamp_ntz")), ["instrument", "t"])
 
 
+def t23_lifecycle(spark, sf_dir):
+    """Messages that move each user's funnel forward, kept as streaming state."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    ranks = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
+    rank = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ranks.items()], F.lit(0))
+    messages = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("message_id"), "ts", rank.alias("rank"))
+    return st.drained(lifecycle.advanced(messages, 4), "orders")
+
+
 def r12_nearest_setups(spark, sf_dir):
     """The 15 nearest vectors of each vector whose id is divisible by 100, itself excluded, and the share of its label among them."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
@@ -164,6 +173,7 @@ ORACLE_SQL = {
     "x5_gross_cap": f"WITH {BARS}, r AS (SELECT instrument, d, c / lag(c) OVER {_ORD} - 1 AS r FROM day_bars) SELECT instrument, d, round(r * least(1, coalesce(1 / nullif(sum(abs(r)) OVER (PARTITION BY d), 0), 1)), 6) AS weight FROM r WHERE r IS NOT NULL",
     "x6_breaker": f"WITH {BARS}, x AS (SELECT instrument, d, 1 - c / max(c) OVER {_ORD} AS dd FROM day_bars) SELECT instrument, d, CASE WHEN dd >= 0.9 THEN 'HALTED' WHEN dd >= 0.7 THEN 'BREAKER' WHEN dd >= 0.4 THEN 'REDUCING' ELSE 'OK' END AS state, round(greatest(0, least(1, (0.7 - dd) / 0.3)), 6) AS scale FROM x",
     "z2_stream_bars": "SELECT event_type AS instrument, date_trunc('hour', ts) AS t, round(min_by(value, (ts, event_id)), 6) AS o, max(value) AS h, min(value) AS l, max_by(value, (ts, event_id)) AS c, count(*) AS v FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "t23_lifecycle": "WITH x AS (SELECT user_id, event_id, ts, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS INT) AS rank FROM events), y AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x) SELECT user_id AS order_id, event_id AS message_id, rank FROM y WHERE rank > before",
     "r12_nearest_setups": "WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query, vec_id, round(list_distance(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS dist FROM q JOIN embeddings ON vec_id <> query) SELECT query, vec_id, k, dist FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS k FROM x) WHERE k <= 15",
 }
-QUERIES = {f.__name__: f for f in (t1_triple_barrier, t5_excursions, t21_fifo, t28_runs, f33_sign_streak, w24_recursive, t6_simulator, v4_overfitting, v5_purged_splits, v8_bootstrap, v12_drawdown_bands, x1_kelly, x4_stop_and_units, x5_gross_cap, x6_breaker, z2_stream_bars, r12_nearest_setups)}
+QUERIES = {f.__name__: f for f in (t1_triple_barrier, t5_excursions, t21_fifo, t28_runs, f33_sign_streak, w24_recursive, t6_simulator, v4_overfitting, v5_purged_splits, v8_bootstrap, v12_drawdown_bands, x1_kelly, x4_stop_and_units, x5_gross_cap, x6_breaker, z2_stream_bars, t23_lifecycle, r12_nearest_setups)}
