@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bars, indicators, joins, records, scorecards, sequences, strategies
+from tidemark.plans import bars, indicators, joins, records, scorecards, sequences, strategies, tables
 
 FLAGSHIP = "bars_day"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (bars, indicators, joins, records, scorecards, sequences, strategies):
+for _module in (bars, indicators, joins, records, scorecards, sequences, strategies, tables):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
