@@ -258,6 +258,27 @@ def test_boilerplate_of_a_host_goes(spark):
     assert all(common not in got.text[i] and f"own{i}x29" in got.text[i] for i in range(3))
 
 
+def test_boilerplate_in_articles_goes_and_quotes_stay(spark):
+    common = "sign up for our weekly letter and never miss any of the great offers"
+    own = {i: " ".join(f"own{i}x{j}" for j in range(30)) for i in range(4)}
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{own[i]}</p><p>{common}</p></article><div class='related'>{own[(i + 1) % 4]}</div>") for i in range(4)]
+    rows += [(9, "http://other.example/9", f"<article><p>{common}</p></article>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).toPandas().set_index("page_id")
+    assert got.from_article.all() and [got.text[i] for i in range(4)] == [own[i] for i in range(4)] and got.text[9] == common
+
+
+def test_runs_against_brute_force(spark):
+    """Every run of five tokens that another page of the host has, in random pages of few words."""
+    rng = np.random.default_rng(3)
+    words = {i: [f"w{x}" for x in rng.integers(0, 6, 60)] for i in range(12)}
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<p>{' '.join(w)}</p>") for i, w in words.items()]
+    pages = html_text._hosted(spark.createDataFrame(rows, "page_id bigint, url string, html string"), "page_id")
+    got = {r["page_id"]: set(r["starts"]) for r in html_text.repeated_tokens(pages, "page_id", 5).collect()}
+    runs = {i: [tuple(w[k : k + 5]) for k in range(56)] for i, w in words.items()}
+    want = {i: {k for k, run in enumerate(r) if any(run in runs[j] for j in words if j != i and j % 2 == i % 2)} for i, r in runs.items()}
+    assert got == {i: x for i, x in want.items() if x}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     one = normalised(decontamination.search(docs, items).toPandas())

@@ -1,15 +1,17 @@
 """Main text of web pages: tags find the article, a suffix array per host finds what its pages repeat.
 
-One pass over the markup gives the blocks of each page and where they stand: in an article, in a
+A pass over the markup gives the blocks of each page and where they stand: in an article, in a
 part that is no article by its tag, class or role (menus, headers, footers, sidebars, notices, adverts,
-forms, comments), or elsewhere. Tags settle a page that marks its article. The others are
-settled by the pages of the same host: the streams of tokens that stand outside of articles are
+forms, comments), or elsewhere. Tags settle where a page that marks its article has its text. The pages of the
+same host settle what of that goes, in every page: the streams of all their tokens, those of articles too, are
 concatenated, and each substring of ``MIN_RUN`` tokens or more that distinct pages share is boilerplate.
 
 The suffix array is never held in one place. Its suffixes are dealt out by their first
 ``MIN_RUN`` tokens, hashed; two suffixes have a common prefix of that length exactly if they are in one bucket,
 and a bucket that holds two pages covers the tokens from each of its suffixes on. Buckets are only
-ever aggregated (least and largest page), so one of any size costs no more than its rows.
+ever aggregated (least and largest page), so one of any size costs no more than its rows. Only suffixes that can be in a bucket
+of two pages are dealt out: those whose least gram of half that length another page has too, by a filter that may
+let others through and loses none. Pages are parsed anew for each step, so that no texts are stored.
 
 Defined results: null or empty html has an empty text, and so has a page without words outside of
 skipped parts. A page that other pages cover wholly is a copy, not boilerplate, and keeps its blocks. Null
@@ -23,14 +25,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import mix, pieces, table, word_hashes, word_spans, written
 
 #: Tokens that a substring needs to count as repeated.
 MIN_RUN = 10
+#: Bits of the filters that are sent to the tasks, a multiple of 32768.
+FILTER_BITS = 1 << 26
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed template".split())
@@ -169,57 +174,113 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def _parsed(pages: DataFrame, key: str) -> DataFrame:
-    """(key, url, host, text of the article or null, other blocks that aren't skipped, stream of all tokens outside of articles)."""
+class _Page:
+    """The blocks of a page with the number of their first token, all tokens in page order, and whether tags mark its article."""
+
+    def __init__(self, page: str | None) -> None:
+        found = blocks(page or "")
+        best = max((p for _, p, skipped in found if not skipped), default=ELSEWHERE)
+        self.marked = best > ELSEWHERE
+        self.stream = " ".join(t for t, _, _ in found)
+        self.skipped: list[bool] = []
+        self.blocks: list[dict] = []
+        for t, p, skipped in found:
+            length = t.count(" ") + 1
+            if p >= best and not skipped:
+                self.blocks.append({"first": len(self.skipped), "length": length, "text": t})
+            self.skipped += [skipped] * length
+
+
+def _hosted(pages: DataFrame, key: str) -> DataFrame:
+    """(key, html, _host: hash of the url's host)."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    return pages.select(key, "html", F.xxhash64(host).alias("_host"))
+
+
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in a row."""
+    out = np.zeros(max(len(words) - n + 1, 0), dtype=np.uint64)
+    for j in range(n):
+        out = mix(out + words[j : j + len(out)])
+    return out
+
+
+def _windows(batch: pa.RecordBatch, min_run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[_Page]]]:
+    """Of the pages of a batch, some at a time, (row of the batch, first token, hash of the least gram, hash of all tokens, place
+    among the pages) of each run of min_run tokens, and the pages. Hashes are of the host too.
+
+    Grams are half as long as a run. Equal runs have the same least gram, so pages that share a run share that gram.
+    """
+    k = (min_run + 1) // 2
+    for at in range(0, batch.num_rows, 64):
+        part = batch.slice(at, 64)
+        pages = [_Page(x.as_py()) for x in part.column("html")]
+        hosts = part.column("_host").to_numpy().view(np.uint64)
+        for lo, hi, data, offs in pieces(pa.array([p.stream for p in pages], pa.string())):
+            starts, ends, first = word_spans(data, offs)
+            row = np.repeat(np.arange(lo, hi), np.diff(first))
+            n = len(row) - min_run + 1
+            if n < 1:
+                continue
+            words = word_hashes(data, starts, ends)
+            grams = _rolled(words, k)
+            least = np.lib.stride_tricks.sliding_window_view(grams, min_run - k + 1)[:n].min(axis=1)
+            runs = np.flatnonzero(row[:n] == row[min_run - 1 :])
+            which = row[runs]
+            yield at + which, runs - first[which - lo], mix(least[runs] ^ hosts[which]), mix(_rolled(words, min_run)[runs] ^ hosts[which]), which, pages
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which of FILTER_BITS places the hashes (h) fall on: a filter of fixed size that lets everything through that it has seen."""
+    place = F.pmod("h", F.lit(FILTER_BITS)) + 1  # the functions count places from 1
+    found = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in found:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def _seen(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.int64) % FILTER_BITS
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def repeated_tokens(pages: DataFrame, key: str, min_run: int = MIN_RUN) -> DataFrame:
+    """(key, starts): at which tokens of a page (key, html, _host) a run of min_run tokens begins that another page of the host has too.
+
+    In pages that mark their article, a run counts only if another page has it in parts that aren't skipped: what
+    a list of related pages quotes of an article stays in it.
+    """
     kind = pages.schema[key].dataType.simpleString()
+    spark = pages.sparkSession
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, gram, _, _, _ in _windows(batch, min_run):
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row[new])), pa.array(gram[new].view(np.int64))], [key, "h"])
+
+    both = (F.min(key).alias("_least"), F.max(key).alias("_most"))
+    apart = F.col("_least") != F.col("_most")
+    shared_grams = spark.sparkContext.broadcast(_bitmap(pages.mapInArrow(grams, f"`{key}` {kind}, h bigint").groupBy("h").agg(*both).filter(apart).select("h")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column("html")
-            step = 64
-            for lo in range(0, batch.num_rows, step):
-                part = html.slice(lo, step)
-                texts: list[str | None] = []
-                others: list[list[dict]] = []
-                streams: list[str] = []
-                for page in part.to_pylist():
-                    found = blocks(page or "")
-                    places = {p for _, p, skipped in found if not skipped}
-                    best = max(places, default=ELSEWHERE)
-                    texts.append("\n\n".join(t for t, p, skipped in found if p >= best and not skipped) if best else None)
-                    outside = [(t, skipped) for t, p, skipped in found if not best or p < best or skipped]
-                    streams.append(" ".join(t for t, _ in outside))
-                    rows, first = [], 0
-                    for t, skipped in outside if not best else ():
-                        length = t.count(" ") + 1
-                        if not skipped:
-                            rows.append({"first": first, "length": length, "text": t})
-                        first += length
-                    others.append(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(lo, step), batch.column("url").slice(lo, step), pa.array(texts, pa.string()), pa.array(others, pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64()), ("text", pa.string())]))), pa.array(streams, pa.string())],
-                    [key, "url", "article", "blocks", "stream"],
-                )
-
-    parsed = pages.select(key, "url", "html").mapInArrow(run, f"`{key}` {kind}, url string, article string, blocks array<struct<first:bigint,length:bigint,text:string>>, stream string")
-    return parsed.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)))
-
-
-def repeated_tokens(parsed: DataFrame, key: str, min_run: int = MIN_RUN) -> DataFrame:
-    """(key, starts): where in a page's stream a run of min_run tokens begins that another page of the host has too."""
-    suffixes = (
-        parsed.filter(F.col("stream") != "")
-        .select(key, "host", F.split("stream", " ").alias("_tokens"))
-        .withColumn("_prefixes", F.transform(_starts(min_run), lambda i: F.xxhash64(F.slice("_tokens", i, min_run))))
-        .select(key, "host", F.posexplode("_prefixes").alias("start", "prefix"))
-    )
-    shared = suffixes.groupBy("host", "prefix").agg(F.min(key).alias("_least"), F.max(key).alias("_most")).filter(F.col("_least") != F.col("_most")).select("host", "prefix")
-    return suffixes.join(shared, ["host", "prefix"], "left_semi").groupBy(key).agg(F.collect_set("start").alias("starts"))
-
-
-def _starts(min_run: int):
-    n = F.size("_tokens")
-    return F.when(n >= min_run, F.sequence(F.lit(1), F.greatest(n - min_run + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+            for row, start, gram, prefix, which, found in _windows(batch, min_run):
+                some = np.flatnonzero(_seen(shared_grams.value, gram))
+                row, start, prefix, which = row[some], start[some], prefix[some], which[some]
+                kept, marked = np.zeros(len(some), dtype=bool), np.array([p.marked for p in found], dtype=bool)[which]
+                for i in np.unique(which):
+                    sums, mine = np.concatenate([[0], np.cumsum(found[i].skipped)]), which == i
+                    kept[mine] = sums[start[mine] + min_run] == sums[start[mine]]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(prefix.view(np.int64)), pa.array(start), pa.array(kept), pa.array(marked)], [key, "prefix", "start", "kept", "marked"])
+
+    suffixes = written(pages.mapInArrow(runs, f"`{key}` {kind}, prefix bigint, start bigint, kept boolean, marked boolean"), "suffixes")
+    kept = F.when(F.col("kept"), F.col(key))
+    shared = suffixes.groupBy("prefix").agg(*both, F.min(kept).alias("_kept_least"), F.max(kept).alias("_kept_most")).filter(apart)
+    shared = shared.select("prefix", F.coalesce(F.col("_kept_least") != F.col("_kept_most"), F.lit(False)).alias("_among_kept"))
+    return suffixes.join(shared, "prefix").filter(~F.col("marked") | F.col("kept") & F.col("_among_kept")).groupBy(key).agg(F.collect_set("start").alias("starts"))
 
 
 def _unique_runs(blocks: list[dict], starts: list[int], min_run: int) -> str:
@@ -245,19 +306,38 @@ def _unique_runs(blocks: list[dict], starts: list[int], min_run: int) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", min_run: int = MIN_RUN) -> DataFrame:
     """(key, url, text, from_article) for every row of pages (key, url, html)."""
-    parsed = written(_parsed(pages, key), "html")
-    marked = parsed.filter(F.col("article").isNotNull()).select(key, "url", F.col("article").alias("text"), F.lit(True).alias("from_article"))
-    repeats = repeated_tokens(parsed, key, min_run)
+    repeats = written(repeated_tokens(_hosted(pages, key), key, min_run), "repeats")
+    slot = F.xxhash64(key)
+    repeating = pages.sparkSession.sparkContext.broadcast(_bitmap(repeats.select(slot.alias("h"))))
+    kind = pages.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, url string, text string, from_article boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batch: pa.RecordBatch, starts: list) -> pa.RecordBatch:
+        found = [_Page(x.as_py()) for x in batch.column("html")]
+        out = [_unique_runs(p.blocks, s or [], min_run) for p, s in zip(found, starts, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), pa.array(out, pa.string()), pa.array([p.marked for p in found], pa.bool_())], [key, "url", "text", "from_article"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("starts")
-            texts = [_unique_runs(b or [], starts[i].as_py() or [], min_run) for i, b in enumerate(x.as_py() for x in batch.column("blocks"))]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), pa.array(texts, pa.string()), pa.array([False] * batch.num_rows)], [key, "url", "text", "from_article"])
+            left = batch.filter(pa.array(~_seen(repeating.value, batch.column("_slot").to_numpy())))
+            for at in range(0, left.num_rows, 64):
+                part = left.slice(at, 64)
+                yield texts(part, [None] * part.num_rows)
 
-    kind = pages.schema[key].dataType.simpleString()
-    others = parsed.filter(F.col("article").isNull()).select(key, "url", "blocks").join(repeats, key, "left").select(key, "url", "blocks", "starts").mapInArrow(run, f"`{key}` {kind}, url string, text string, from_article boolean")
-    return marked.unionByName(others)
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_seen(repeating.value, batch.column("_slot").to_numpy())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield texts(part, part.column("starts").to_pylist())
+
+    # Only pages that may have repeated runs meet these in a join.
+    slotted = pages.select(key, "url", "html", slot.alias("_slot"))
+    few = slotted.mapInArrow(likely, slotted.schema).join(repeats, key, "left").select(key, "url", "html", "starts")
+    return slotted.mapInArrow(whole, schema).unionByName(few.mapInArrow(cut, schema))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
