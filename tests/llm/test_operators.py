@@ -225,6 +225,16 @@ def test_votes_find_reliabilities():
     assert ((post > 0.5) == truth).mean() > max(0.93, ((vote.sum(axis=1) > 0) == truth).mean())
 
 
+def test_long_candidates_are_whole():
+    secret = "aB3dE6gH9" * 60
+    text = f"token={secret} end"
+    (span,) = [s for s in pii.candidates(text) if s[0] == "secret"]
+    assert text[span[1] : span[2]] == secret and pii.votes(text, span)[4] == 1
+    assert pii.redacted(text, {("secret", ",".join(map(str, pii.votes(text, span)))): 1.0}) == "token=<secret> end"
+    address = f"{'x' * 90} [at] {'y' * 70} [dot] a.b.c.d.e.org"
+    assert ("email", 3, 3 + len(address)) in pii.candidates(f"to {address} now")
+
+
 @pytest.mark.parametrize(("query", "column", "least"), [(toxicity.op1_toxicity, "toxic", 0.9), (quality.op6_quality_classifier, "quality", 0.88)])
 def test_held_out_accuracy(spark, query, column, least):
     got = query(spark, SF).toPandas().merge(table(spark, SF, "labels").toPandas(), on="doc_id")

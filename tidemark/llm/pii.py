@@ -104,8 +104,8 @@ _CANDIDATES = {
     "card": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:([ -]?)[0-9]{4})(?:\1[0-9]{4}){1,2}(?:\1?[0-9]{1,3})?(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
-_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+=.-]{12,128})")
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]++)++", re.I)
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+=.-]{12,}+)")
 _NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora)\.? ([A-ZÀ-Þ][a-zß-ÿ]{2,20}(?: [A-ZÀ-Þ][a-zß-ÿ]{2,20}){0,2})")
 
 # Gazetteers, fixed values.
