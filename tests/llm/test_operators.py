@@ -235,6 +235,18 @@ def test_long_candidates_are_whole():
     assert ("email", 3, 3 + len(address)) in pii.candidates(f"to {address} now")
 
 
+def test_dictionaries_know_more_than_a_common_opening(spark):
+    rng = np.random.default_rng(5)
+    words = [[f"{c}{x:x}" for x in rng.integers(1 << 20, 1 << 24, 300)] for c in ("good", "bad")]
+    rows = [(i, "one licence for all of the files " * 20 + " ".join(rng.choice(words[i % 2], 200)), 1 - i % 2) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.fit(docs.filter("doc_id < 500"), docs.select("doc_id", "quality"))
+    known = [sum(w.encode() in d for w in words[0]) for d in (model.good, model.bad)]
+    assert known[0] > 200 and known[1] == 0
+    got = quality.score(docs.filter("doc_id >= 500"), model, keep=["quality"]).toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).all()
+
+
 @pytest.mark.parametrize(("query", "column", "least"), [(toxicity.op1_toxicity, "toxic", 0.9), (quality.op6_quality_classifier, "quality", 0.88)])
 def test_held_out_accuracy(spark, query, column, least):
     got = query(spark, SF).toPandas().merge(table(spark, SF, "labels").toPandas(), on="doc_id")

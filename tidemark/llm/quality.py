@@ -1,7 +1,7 @@
 """Quality classifier: texts compressed with dictionaries of good and of bad labelled text.
 
-Two Zstandard dictionaries hold labelled texts, one the good ones and one the bad ones. A
-text that a dictionary knows compresses better with it. The evidence for a text is
+Two Zstandard dictionaries hold segments of labelled texts, from hashed places over their whole length, one of the good ones
+and one of the bad ones. A text that a dictionary knows compresses better with it. The evidence for a text is
 
     difference = (bytes with the bad dictionary - bytes with the good one) / bytes of the text
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, pieces, table
@@ -70,8 +70,14 @@ class Dictionaries:
         return (bad - good) / len(text), plain / len(text)
 
 
+def segment(text: str, length: int, key: str) -> Column:
+    """So many characters of a text, from a place that a hash of the key draws over its whole length; shorter texts whole."""
+    places = F.greatest(F.char_length(text) - length, F.lit(0)) + 1
+    return F.col(text).substr((F.pmod(F.xxhash64(F.lit(13), F.col(key)), places) + 1).cast("int"), F.lit(length))
+
+
 def _dictionary(texts: list[str]) -> bytes:
-    """Raw dictionary content: an equal share of each text, the same for both classes."""
+    """Raw dictionary content: an equal share of each text's segment, the same for both classes."""
     if not texts:
         return b"\n" * 8
     share = max(64, DICTIONARY_BYTES // len(texts))
@@ -140,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     last = {c: o[many - 1] for c, o in orders.items()}
     head = F.col("_order") <= F.when(F.col("_label") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
     share = max(64, DICTIONARY_BYTES // many)
-    few = sample.filter(head).select(F.substring("text", 1, share).alias("text"), "_label", "_order").collect()
+    few = sample.filter(head).select(segment("text", share, key).alias("text"), "_label", "_order").collect()
     few.sort(key=lambda r: (r["_order"], r["text"]))
     good, bad = (_dictionary([r["text"] for r in few if r["_label"] == c]) for c in (1, 0))
     rest = sample.filter(~head)
