@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import normalised
@@ -132,6 +133,16 @@ def test_bootstrap_keeps_length_and_mean(spark):
     assert len(got) == 200 and np.allclose(got.total, got["mean"] * 103) and abs(got["mean"].mean() - np.mean([i % 5 for i in range(103)])) < 0.05
 
 
+@pytest.mark.parametrize("first", ["1980-03-02", "2010-01-01"])
+def test_blocks_follow_the_dates(spark, sf_dir, tmp_path, first):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    days = (pd.Timestamp(first) - pd.Timestamp("1995-01-01")).days
+    orders.withColumn("o_orderdate", F.expr(f"o_orderdate + INTERVAL {days} DAYS")).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("v4_overfitting", "v5_purged_splits"):
+        query = registry.QUERIES[name]
+        assert normalised(query(spark, str(tmp_path)).toPandas()) == normalised(query(spark, sf_dir).toPandas())
+
+
 def test_deflated_sharpe():
     assert validation.expected_max_sharpe(1, 1.0) == 0 and validation.expected_max_sharpe(1000, 1.0) > validation.expected_max_sharpe(10, 1.0) > 1
     assert math.isclose(validation.deflated_sharpe(0.1, 250, 0, 3, 1, 0), 0.9424, abs_tol=2e-3)
