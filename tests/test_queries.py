@@ -133,6 +133,21 @@ def test_bootstrap_keeps_length_and_mean(spark):
     assert len(got) == 200 and np.allclose(got.total, got["mean"] * 103) and abs(got["mean"].mean() - np.mean([i % 5 for i in range(103)])) < 0.05
 
 
+def test_paired_bootstrap_draws_both_series_from_the_same_places(spark):
+    rows = [(i, float((i * 7) % 11 - 4), 2.0 * ((i * 7) % 11 - 4)) for i in range(50)]
+    got = validation.paired_bootstrap(spark.createDataFrame(rows, "i bigint, a double, b double"), 100, 6, 12).toPandas()
+    assert len(got) == 100 and np.allclose(got.delta, 0) and got.sharpe_a.std() > 0
+
+
+def test_drawdown_paths(spark):
+    def paths(*results):
+        return validation.drawdown_paths(spark.createDataFrame(list(enumerate(results)), "i bigint, r double"), 50).toPandas()
+
+    got = paths(-0.1, -0.1, -0.1)
+    assert np.allclose(got.drawdown, 1 - 0.9**3) and np.allclose(got.total, 0.9**3 - 1)
+    assert np.allclose(paths(0.1, 0.2).drawdown, 0) and (paths(-1.0, -1.0).drawdown == 1).all()
+
+
 @pytest.mark.parametrize("first", ["1980-03-02", "2010-01-01"])
 def test_blocks_follow_the_dates(spark, sf_dir, tmp_path, first):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -143,6 +158,13 @@ def test_blocks_follow_the_dates(spark, sf_dir, tmp_path, first):
         assert normalised(query(spark, str(tmp_path)).toPandas()) == normalised(query(spark, sf_dir).toPandas())
 
 
+def test_bands_are_of_drawdowns_of_all_instruments(spark, sf_dir):
+    got = registry.QUERIES["v12_drawdown_bands"](spark, sf_dir).first()
+    assert 0 <= got["drawdown_p05"] <= got["drawdown_p50"] <= got["drawdown_p95"] <= got["drawdown_worst"] <= 1
+    draws = registry.QUERIES["v8_bootstrap"](spark, sf_dir).toPandas()
+    assert len(draws) == 500 and np.allclose(draws.delta, draws.sharpe_b - draws.sharpe_a, atol=2e-6)
+
+
 def test_deflated_sharpe():
     assert validation.expected_max_sharpe(1, 1.0) == 0 and validation.expected_max_sharpe(1000, 1.0) > validation.expected_max_sharpe(10, 1.0) > 1
     assert math.isclose(validation.deflated_sharpe(0.1, 250, 0, 3, 1, 0), 0.9424, abs_tol=2e-3)

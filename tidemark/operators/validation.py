@@ -45,16 +45,45 @@ def purged_splits(rows: DataFrame, groups: int, tested: int, purge: int, embargo
     return around.groupBy("split").agg(F.sum(F.when(F.col("test"), size).otherwise(0)).alias("n_test"), F.sum(F.when(~F.col("test"), size - lost).otherwise(0)).alias("n_train"))
 
 
+def _block_draws(spark: SparkSession, n: int, draws: int, length: int, seed: int) -> DataFrame:
+    """(draw, i) of circular blocks of n places, n places a draw; blocks start at a hash."""
+    blocks = math.ceil(n / length)
+    places = spark.range(draws * blocks).select(F.floor(F.col("id") / blocks).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("s"), (F.col("id") % blocks).alias("b"))
+    return places.select("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(length - 1), n - 1 - F.col("b") * length).cast("int"))).alias("k"), "s").select("draw", ((F.col("s") + F.col("k")) % n).alias("i"))
+
+
 def block_bootstrap(returns: DataFrame, draws: int, length: int, seed: int = 42) -> DataFrame:
     """(draw, mean, total) of circular block samples of returns (i from 0, r), as long as the sample; blocks start at a hash."""
     spark = returns.sparkSession
     n = returns.count()
     if not n:
         return spark.createDataFrame([], "draw bigint, mean double, total double")
-    blocks = math.ceil(n / length)
-    places = spark.range(draws * blocks).select(F.floor(F.col("id") / blocks).alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("s"), (F.col("id") % blocks).alias("b"))
-    rows = places.select("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(length - 1), n - 1 - F.col("b") * length).cast("int"))).alias("k"), "s").select("draw", ((F.col("s") + F.col("k")) % n).alias("i"))
-    return rows.join(returns, "i").groupBy("draw").agg(F.avg("r").alias("mean"), F.sum("r").alias("total"))
+    return _block_draws(spark, n, draws, length, seed).join(returns, "i").groupBy("draw").agg(F.avg("r").alias("mean"), F.sum("r").alias("total"))
+
+
+def paired_bootstrap(pairs: DataFrame, draws: int, length: int, periods: int, seed: int = 42) -> DataFrame:
+    """(draw, sharpe_a, sharpe_b, delta: b less a) of circular block samples of aligned returns (i from 0, a, b), both from the same places; periods a year."""
+    spark = pairs.sparkSession
+    n = pairs.count()
+    if not n:
+        return spark.createDataFrame([], "draw bigint, sharpe_a double, sharpe_b double, delta double")
+    sharpe = {c: F.coalesce(F.try_divide(F.avg(c), F.stddev_samp(c)) * math.sqrt(periods), F.lit(0.0)) for c in ("a", "b")}
+    found = _block_draws(spark, n, draws, length, seed).join(pairs, "i").groupBy("draw").agg(*[x.alias(f"sharpe_{c}") for c, x in sharpe.items()])
+    return found.withColumn("delta", F.col("sharpe_b") - F.col("sharpe_a"))
+
+
+def drawdown_paths(trades: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """(draw, drawdown, total) of paths of as many trades (i from 0, r: simple return) as there are, drawn with replacement: the worst
+    fall from a peak of the equity, which begins at 1, and the return of the whole path. A trade that loses everything ends at 0."""
+    spark = trades.sparkSession
+    n = trades.count()
+    if not n:
+        return spark.createDataFrame([], "draw bigint, drawdown double, total double")
+    places = spark.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.col("id").alias("k"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("i"))
+    log = F.when(F.col("r") <= -1, F.lit(float("-inf"))).otherwise(F.log1p("r"))
+    so_far = Window.partitionBy("draw").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    path = places.join(trades, "i").withColumn("equity", F.sum(log).over(so_far)).withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(so_far)))
+    return path.groupBy("draw").agg(F.max(1 - F.exp(F.col("equity") - F.col("peak"))).alias("drawdown"), (F.exp(F.max_by("equity", "k")) - 1).alias("total"))
 
 
 def expected_max_sharpe(trials: int, variance: float) -> float:

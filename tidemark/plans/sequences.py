@@ -82,15 +82,24 @@ def v5_purged_splits(spark, sf_dir):
 
 
 def v8_bootstrap(spark, sf_dir):
-    months = day_bars(spark, sf_dir).groupBy(F.trunc("d", "MM").alias("m")).agg(F.max_by("c", F.struct("d", "instrument")).alias("c"))
+    """Sharpe ratios of two momentum strategies (5 and 21 bars) in each draw of blocks of months; a strategy's return of a day is the mean over all instruments."""
+    days = _strategies(spark, sf_dir).filter("strategy IN ('m5', 'm21')").groupBy("strategy", "d").agg(F.avg("r").alias("r"))
+    both = days.groupBy("d").agg(F.max(F.when(F.col("strategy") == "m5", F.col("r"))).alias("a"), F.max(F.when(F.col("strategy") == "m21", F.col("r"))).alias("b")).dropna()
+    months = both.groupBy(F.trunc("d", "MM").alias("m")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Months are few however much data there is: one window over them is small.
-    r = months.select((F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("i"), F.log(F.col("c") / F.lag("c").over(Window.orderBy("m"))).alias("r"))
-    return rounded(va.block_bootstrap(r.fillna(0.0), 500, 6), ["draw"])
+    pairs = months.select((F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("i"), "a", "b")
+    return rounded(va.paired_bootstrap(pairs, 500, 6, 12), ["draw"])
 
 
 def v12_drawdown_bands(spark, sf_dir):
-    draws = v8_bootstrap(spark, sf_dir)
-    return draws.agg(*[F.round(F.percentile("total", F.lit(p / 100)), 6).alias(f"p{p:02d}") for p in (5, 25, 50, 75, 95)], F.round(F.avg((F.col("total") < 0).cast("double")), 6).alias("loss_probability"))
+    """Bands of the worst drawdown and of the total return over 500 resampled paths of the simulator's trades."""
+    trades = t6_simulator(spark, sf_dir).select("instrument", "d", "result")
+    # Numbered within instruments, from where the one before ends, so that no window holds all trades.
+    sizes = trades.groupBy("instrument").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("instrument").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = trades.join(F.broadcast(sizes.select("instrument", "before")), "instrument").select((F.col("before") + F.row_number().over(w.ordered()) - 1).cast("long").alias("i"), F.col("result").alias("r"))
+    paths = va.drawdown_paths(numbered, 500)
+    bands = [F.round(F.percentile(c, F.lit(p / 100)), 6).alias(f"{c}_p{p:02d}") for c in ("drawdown", "total") for p in (5, 25, 50, 75, 95)]
+    return paths.agg(*bands, F.round(F.max("drawdown"), 6).alias("drawdown_worst"), F.round(F.avg((F.col("total") < 0).cast("double")), 6).alias("loss_probability"))
 
 
 def x1_kelly(spark, sf_dir):
