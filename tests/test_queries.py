@@ -165,6 +165,14 @@ def test_bands_are_of_drawdowns_of_all_instruments(spark, sf_dir):
     assert len(draws) == 500 and np.allclose(draws.delta, draws.sharpe_b - draws.sharpe_a, atol=2e-6)
 
 
+def test_nearest_ties_follow_the_final_order(spark, tmp_path):
+    """Distances of more than 16 vectors that differ only beyond the fifth digit: the least ids are the nearest."""
+    rows = [(0, [0.0, 0.0], 0)] + [(i, [1.0 + (40 - i) * 1e-8, 0.0], 0) for i in range(1, 41)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["r12_nearest_setups"](spark, str(tmp_path)).orderBy("k").toPandas()
+    assert got.vec_id.tolist() == list(range(1, 16))
+
+
 def test_deflated_sharpe():
     assert validation.expected_max_sharpe(1, 1.0) == 0 and validation.expected_max_sharpe(1000, 1.0) > validation.expected_max_sharpe(10, 1.0) > 1
     assert math.isclose(validation.deflated_sharpe(0.1, 250, 0, 3, 1, 0), 0.9424, abs_tol=2e-3)

@@ -145,7 +145,7 @@ def t23_lifecycle(spark, sf_dir):
 
 
 def r12_nearest_setups(spark, sf_dir):
-    """The 15 nearest vectors of each vector whose id is divisible by 100, itself excluded, and the share of its label among them."""
+    """The 15 nearest vectors of each vector whose id is divisible by 100, itself excluded."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     asked = vectors.filter("vec_id % 100 = 0").select("vec_id", "embedding")
     block, found = 2048, None
@@ -159,13 +159,14 @@ def r12_nearest_setups(spark, sf_dir):
         def run(frames, shared=shared):
             ids, q = shared.value
             for f in frames:
+                f = f.sort_values("vec_id", kind="stable")  # the stable sort below leaves ties in the final order
                 x = np.stack(f["embedding"].to_numpy()).astype(float) if len(f) else np.zeros((0, q.shape[1]))
-                dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
+                dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)).round(5)
                 dist[ids[:, None] == f["vec_id"].to_numpy()[None, :]] = np.inf
                 best = np.argsort(dist, axis=1, kind="stable")[:, :16]
                 a, b = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
                 keep = np.isfinite(dist[a, b])
-                yield pd.DataFrame({"query": ids[a[keep]], "vec_id": f["vec_id"].to_numpy()[b[keep]], "label": f["label"].to_numpy()[b[keep]], "dist": np.round(dist[a[keep], b[keep]], 5)})
+                yield pd.DataFrame({"query": ids[a[keep]], "vec_id": f["vec_id"].to_numpy()[b[keep]], "label": f["label"].to_numpy()[b[keep]], "dist": dist[a[keep], b[keep]]})
 
         part = vectors.mapInPandas(run, "query bigint, vec_id bigint, label int, dist double")
         found = part if found is None else found.unionByName(part)
