@@ -15,6 +15,7 @@ import __spark_entry__
 from tests.conftest import normalised
 from tidemark.operators import alignment, bars, outcomes, validation
 from tidemark.plans import registry
+from tidemark.streaming import lifecycle
 
 
 def _sql(sf_dir: str, sql: str) -> pd.DataFrame:
@@ -165,6 +166,11 @@ def test_bands_are_of_drawdowns_of_all_instruments(spark, sf_dir):
     assert len(draws) == 500 and np.allclose(draws.delta, draws.sharpe_b - draws.sharpe_a, atol=2e-6)
 
 
+def test_few_messages_of_an_order_are_held():
+    rows = pd.DataFrame({"order_id": 1, "message_id": range(10000), "ts": pd.Timestamp("2020-01-01"), "rank": [i % 5 for i in range(10000)]})
+    assert lifecycle.earliest(rows.sample(frac=1, random_state=1)).message_id.tolist() == [0, 1, 2, 3, 4]
+
+
 def test_nearest_ties_follow_the_final_order(spark, tmp_path):
     """Distances of more than 16 vectors that differ only beyond the fifth digit: the least ids are the nearest."""
     rows = [(0, [0.0, 0.0], 0)] + [(i, [1.0 + (40 - i) * 1e-8, 0.0], 0) for i in range(1, 41)]
