@@ -73,20 +73,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that are hashed at once.
+HASHED = 1 << 20
+
+
 class _Powers:
-    """Powers of an odd base modulo 2**64, and those of its inverse."""
+    """Powers of an odd base modulo 2**64, and those of its inverse, as many as a run of HASHED bytes needs."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+    up = down = np.zeros(0, dtype=np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 1 << 21)
-            base, inverse = int(_ODD), pow(int(_ODD), -1, 1 << 64)
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.up):
             with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.full(m, base, dtype=np.uint64)]).cumprod(dtype=np.uint64)
-                self.down = np.concatenate([[np.uint64(1)], np.full(m, inverse, dtype=np.uint64)]).cumprod(dtype=np.uint64)
-        return self.up[:n], self.down[:n]
+                self.up, self.down = (np.concatenate([[np.uint64(1)], np.full(HASHED, x, dtype=np.uint64)]).cumprod(dtype=np.uint64) for x in (int(_ODD), pow(int(_ODD), -1, 1 << 64)))
+        return self.up, self.down
 
 
 _POWERS = _Powers()
@@ -133,26 +133,28 @@ def word_spans(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = WHITE) ->
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    up, down = _POWERS.to(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[data] * up[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the runs of size words of one text; a shorter text is one run, no word none."""
-    n = len(words)
-    if not n:
-        return words
-    k = min(size, n)
+    """A 64-bit hash of each word. Bytes are taken HASHED at a time, so that the arrays stay small for any text and word."""
+    up, down = _POWERS.get()
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
     with np.errstate(over="ignore"):
-        h = np.full(n - k + 1, k, dtype=np.uint64)
-        for j in range(k):
-            h = (h ^ words[j : n - k + 1 + j]) * _ODD
-            h ^= h >> np.uint64(29)
-    return mix(h)
+        while lo < len(starts):
+            at = starts[lo]
+            hi = int(np.searchsorted(ends, at + HASHED, side="right"))
+            if hi > lo:
+                part = data[at : ends[hi - 1]]
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(_BYTE_CODES[part] * up[: len(part)], out=sums[1:])
+                out[lo:hi] = (sums[ends[lo:hi] - at] - sums[starts[lo:hi] - at]) * down[starts[lo:hi] - at]
+            else:
+                hi, scale, total = lo + 1, np.uint64(1), np.uint64(0)
+                for first in range(at, ends[lo], HASHED):
+                    part = data[first : min(first + HASHED, ends[lo])]
+                    total += scale * (_BYTE_CODES[part] * up[: len(part)]).sum(dtype=np.uint64)
+                    scale *= up[HASHED]
+                out[lo] = total
+            lo = hi
+        return mix(out + (ends - starts).astype(np.uint64))
 
 
 def shingle_rows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,3 +179,32 @@ def shingle_rows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.nd
                 x = (h[inside] ^ words[begin[inside] + j]) * _ODD
                 h[inside] = x ^ (x >> np.uint64(29))
     return mix(h), at
+
+
+# Filters of fixed size ---------------------------------------------------------------------------
+
+#: Bits of the filters that are sent to the tasks, a multiple of 32768.
+FILTER_BITS = 1 << 26
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Which of FILTER_BITS places the hashes (h) fall on: a filter of fixed size that lets everything through that it has seen."""
+    place = F.pmod("h", F.lit(FILTER_BITS)) + 1  # the functions count places from 1
+    found = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in found:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def seen(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.int64) % FILTER_BITS
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -30,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, pieces, table, word_hashes, word_spans, written
+from tidemark.llm.common import bitmap, mix, pieces, seen, table, word_hashes, word_spans, written
 
 #: Tokens that a substring needs to count as repeated.
 MIN_RUN = 10
-#: Bits of the filters that are sent to the tasks, a multiple of 32768.
-FILTER_BITS = 1 << 26
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed template".split())
@@ -230,21 +228,6 @@ def _windows(batch: pa.RecordBatch, min_run: int) -> Iterator[tuple[np.ndarray,
             yield at + which, runs - first[which - lo], mix(least[runs] ^ hosts[which]), mix(_rolled(words, min_run)[runs] ^ hosts[which]), which, pages
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Which of FILTER_BITS places the hashes (h) fall on: a filter of fixed size that lets everything through that it has seen."""
-    place = F.pmod("h", F.lit(FILTER_BITS)) + 1  # the functions count places from 1
-    found = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in found:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
-
-
-def _seen(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes.view(np.int64) % FILTER_BITS
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-
 def repeated_tokens(pages: DataFrame, key: str, min_run: int = MIN_RUN) -> DataFrame:
     """(key, starts): at which tokens of a page (key, html, _host) a run of min_run tokens begins that another page of the host has too.
 
@@ -263,12 +246,12 @@ def repeated_tokens(pages: DataFrame, key: str, min_run: int = MIN_RUN) -> DataF
 
     both = (F.min(key).alias("_least"), F.max(key).alias("_most"))
     apart = F.col("_least") != F.col("_most")
-    shared_grams = spark.sparkContext.broadcast(_bitmap(pages.mapInArrow(grams, f"`{key}` {kind}, h bigint").groupBy("h").agg(*both).filter(apart).select("h")))
+    shared_grams = spark.sparkContext.broadcast(bitmap(pages.mapInArrow(grams, f"`{key}` {kind}, h bigint").groupBy("h").agg(*both).filter(apart).select("h")))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, start, gram, prefix, which, found in _windows(batch, min_run):
-                some = np.flatnonzero(_seen(shared_grams.value, gram))
+                some = np.flatnonzero(seen(shared_grams.value, gram))
                 row, start, prefix, which = row[some], start[some], prefix[some], which[some]
                 kept, marked = np.zeros(len(some), dtype=bool), np.array([p.marked for p in found], dtype=bool)[which]
                 for i in np.unique(which):
@@ -308,7 +291,7 @@ def extract(pages: DataFrame, key: str = "page_id", min_run: int = MIN_RUN) -> D
     """(key, url, text, from_article) for every row of pages (key, url, html)."""
     repeats = written(repeated_tokens(_hosted(pages, key), key, min_run), "repeats")
     slot = F.xxhash64(key)
-    repeating = pages.sparkSession.sparkContext.broadcast(_bitmap(repeats.select(slot.alias("h"))))
+    repeating = pages.sparkSession.sparkContext.broadcast(bitmap(repeats.select(slot.alias("h"))))
     kind = pages.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, url string, text string, from_article boolean"
 
@@ -319,14 +302,14 @@ def extract(pages: DataFrame, key: str = "page_id", min_run: int = MIN_RUN) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = batch.filter(pa.array(~_seen(repeating.value, batch.column("_slot").to_numpy())))
+            left = batch.filter(pa.array(~seen(repeating.value, batch.column("_slot").to_numpy())))
             for at in range(0, left.num_rows, 64):
                 part = left.slice(at, 64)
                 yield texts(part, [None] * part.num_rows)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_seen(repeating.value, batch.column("_slot").to_numpy())))
+            yield batch.filter(pa.array(seen(repeating.value, batch.column("_slot").to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE_SQL,
+    "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }
