@@ -289,6 +289,30 @@ def test_boilerplate_in_articles_goes_and_quotes_stay(spark):
     assert got.from_article.all() and [got.text[i] for i in range(4)] == [own[i] for i in range(4)] and got.text[9] == common
 
 
+def test_articles_keep_what_few_share_and_names_that_only_look_like_parts(spark):
+    title = "a title of eleven words that two of these five pages have both"
+    own = {i: " ".join(f"own{i}x{j}" for j in range(20)) for i in range(5)}
+    rows = [(i, "http://h.example/", f"<article><p>{own[i]}</p>{f'<p>{title}</p>' if i < 2 else ''}<div class='social-history'>past {i}</div><section class='related-work'>work</section><div class='related-posts'>no</div><div class='share ad-slot2'>no</div></article>") for i in range(5)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).toPandas().set_index("page_id")
+    assert all(got.text[i] == "\n\n".join([own[i], *[title] * (i < 2), f"past {i}", "work"]) for i in range(5))
+
+
+def test_runs_of_most_pages_against_brute_force(spark, monkeypatch):
+    """Every run of three tokens that more than half of the articles of a host have, in batches of few pages."""
+    rng = np.random.default_rng(4)
+    words = {i: [f"w{min(x, y)}" for x, y in rng.integers(0, 4, (80, 2))] for i in range(26)}
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<nav>w0 w0 w0 w1</nav><article><p>{' '.join(w)}</p></article>") for i, w in words.items()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pages = html_text._hosted(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3, "page_id"), "page_id")
+        got = {r["page_id"]: set(r["starts"]) for r in html_text.repeats_of(pages, "page_id", 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    runs = {i: [tuple(w[k : k + 3]) for k in range(78)] for i, w in words.items()}
+    want = {i: {k + 4 for k, run in enumerate(r) if 2 * sum(run in runs[j] for j in words if j % 2 == i % 2) > 13} for i, r in runs.items()}
+    assert got == {i: x for i, x in want.items() if x}
+
+
 def test_runs_against_brute_force(spark):
     """Every run of five tokens that another page of the host has, in random pages of few words."""
     rng = np.random.default_rng(3)
