@@ -247,13 +247,99 @@ def test_dictionaries_know_more_than_a_common_opening(spark):
     assert ((got.score >= 0.5) == (got.quality == 1)).all()
 
 
-@pytest.mark.parametrize(("query", "column", "least"), [(toxicity.op1_toxicity, "toxic", 0.9), (quality.op6_quality_classifier, "quality", 0.88)])
+@pytest.mark.parametrize(("query", "column", "least"), [(toxicity.op1_toxicity, "toxic", 0.94), (quality.op6_quality_classifier, "quality", 0.93)])
 def test_held_out_accuracy(spark, query, column, least):
     got = query(spark, SF).toPandas().merge(table(spark, SF, "labels").toPandas(), on="doc_id")
     held = got[got.held_out]
     assert len(held) > 50 and (held.predicted == held[column]).mean() > least and got.score.between(0, 1).all()
 
 
+def _kneser_ney(texts: list, classes: list, corpus: list):
+    """The evidence of a text by dictionaries of counts, straight from the formulas."""
+    d, t = toxicity.DISCOUNT, toxicity.TOLERANCE
+    split = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.translate(LOW))
+    pairs = lambda w: list(zip(["", *w], w, strict=False))
+    stem = lambda w: w[: toxicity.STEM]
+
+    def counts(docs):
+        words, stems, both, after = {}, {}, {}, {}
+        for doc in docs:
+            for w in set(split(doc)):
+                words[w] = words.get(w, 0) + 1
+                stems[stem(w)] = stems.get(stem(w), 0) + 1
+            for h, w in set(pairs(split(doc))):
+                both[h, w] = both.get((h, w), 0) + 1
+                after[h] = after.get(h, 0) + 1
+        return words, stems, both, after
+
+    words, stems, both, after = counts(corpus)
+    total = sum(stems.values())
+    models = []
+    for c in (0, 1):
+        n_words, n_stems, n_both, n_after = counts([x for x, y in zip(texts, classes, strict=True) if y == c])
+        n = sum(n_words.values())
+        kept = {s: max(k - d - t * n * stems[s] / total, 0) for s, k in n_stems.items()}
+        free = 1 - sum(kept.values()) / n
+        p_stem = {s: kept.get(s, 0) / n + free * stems[s] / total for s in stems}
+        back = {w: p_stem[stem(w)] * k / stems[stem(w)] for w, k in words.items()}
+        kept = {w: max(k - d - t * n * back[w], 0) for w, k in n_words.items()}
+        free = 1 - sum(kept.values()) / n
+        p_word = {w: kept.get(w, 0) / n + free * back[w] for w in words}
+        kept = {x: max(k - d - t * n_after[x[0]] * both[x] / after[x[0]], 0) for x, k in n_both.items()}
+        gone: dict = {}
+        for (h, _), k in kept.items():
+            gone[h] = gone.get(h, 0) + k
+        models.append((n_after, kept, gone, p_word))
+
+    def evidence(text):
+        found = 0.0
+        for h, w in pairs(split(text)):
+            p = []
+            for n_after, kept, gone, p_word in models:
+                below = n_after.get(h, 0)
+                p.append(kept.get((h, w), 0) / max(below, 1) + (1 - gone.get(h, 0) / max(below, 1)) * p_word[w])
+            found += np.log(p[1]) - np.log(p[0])
+        return found / max(len(split(text)), 1)
+
+    return evidence
+
+
+def test_evidence_is_that_of_the_formulas(spark):
+    rng = np.random.default_rng(8)
+    common, foul, bits = [f"w{i}" for i in range(30)], ["scheußlich", "scheußlicher", "blöd"], ["go", "away"]
+    rows = []
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = list(rng.choice(common, rng.integers(0, 40)))
+        for _ in range(3 * toxic):
+            words.insert(rng.integers(0, len(words) + 1), str(rng.choice(foul)))
+        words += bits if toxic else bits[::-1]
+        rows.append((i, " ".join(words) if i else "", int(toxic)))
+    docs = spark.createDataFrame([*rows, (None, None, None)], "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), docs)
+    counted = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(toxicity.CURVE_SHARE)) != 0).collect()}
+    known = [r for r in rows if r[0] in counted]
+    evidence = _kneser_ney([r[1] for r in known], [r[2] for r in known], [r[1] for r in rows])
+    got = toxicity.measured(docs.filter("doc_id IS NOT NULL"), model).toPandas().set_index("doc_id").evidence
+    assert len(model.pair.keys) and all(abs(got[i] - evidence(t)) < 1e-9 for i, t, _ in rows)
+
+
+def test_differences_are_those_of_plain_compression(spark):
+    import zstandard as zstd
+
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, SF, "labels"))
+    sizes = [lambda b, d=d: len(zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for d in (model.good, model.bad)]
+    level, slope, centre, spread = model.curve
+    got = quality.score(docs, model).toPandas().set_index("doc_id")
+    for i, text in list(zip(*(docs.toPandas()[c] for c in ("doc_id", "text")), strict=True))[:150]:
+        raw = (text or "").encode()
+        parts = [raw[a : a + quality.PART] for a in range(0, len(raw), quality.PART)]
+        difference = sum(sizes[1](p) - sizes[0](p) for p in parts) / max(len(raw), 1)
+        assert got.difference[i] == pytest.approx(difference) and got.score[i] == pytest.approx(1 / (1 + np.exp(-(level + slope * np.clip((difference - centre) / spread, -6, 6)))))
+    assert slope > 0
+
+
 def test_language(spark):
     got = langid.op4_language_id(spark, SF).toPandas().merge(table(spark, SF, "documents").toPandas(), on="doc_id")
     held = got[got.held_out & got.lang.notna()]

@@ -1,26 +1,30 @@
-"""Toxicity from two Kneser-Ney models of words, one of toxic and one of ordinary text.
+"""Toxicity from two interpolated Kneser-Ney models of word pairs, one of toxic and one of ordinary text.
 
-A class gives a word the probability
+Every count is a continuation count: in how many different documents something stands, however often in each. A class gives
+a word w after a word h
 
-    max(n - D, 0) / N + (what discounting frees) * P(stem in the class) * share of the word among its stem
+    P(w | h) = kept(h w) / N(h)  + free(h)  * P(w)
+    P(w)     = kept(w) / N       + free     * P(stem of w) * share of w among the words of its stem
+    P(stem)  = kept(stem) / N    + free'    * share of the stem
 
-where n is the Kneser-Ney count, the number of different contexts (here documents) of the class that have the
-word, N the sum of all, D the discount; the probability of a stem, the first ``STEM`` bytes of a word, is
+with N and N(h) the sums of the class's counts, and what is free the rest of the mass. The shares are backoff counts that both
+classes have in common, taken from the whole corpus, labelled or not. What a class keeps of a count n is
 
-    max(n - D, 0) / N + (what discounting frees) * share of the stem in the corpus
+    kept = max(n - DISCOUNT - TOLERANCE * E, 0)
 
-The shares are backoff counts that both classes have in common: documents of the whole corpus, labelled
-or not. So a rare expression that happens to stand in one class weighs nothing, and one of an unknown form of a known
-stem weighs as its stem. A word's evidence is the logarithm of its toxic by its ordinary probability, less
-``QUIET`` (towards 0): smaller differences, as classes of unlike topics or languages have them on
-every word, are no evidence. A text's evidence is the sum over its words divided by their number, and
-a logistic curve, fitted on labelled rows that the models haven't counted, makes it a probability.
+an absolute discount and some times the number E that backoff alone would let one expect (for a pair, the class's N(h) shared
+out as in the corpus). So a rare expression that happens to stand in one class weighs nothing, one of an unknown form
+of a known stem weighs as its stem, and a language or topic that a class has somewhat more of moves all words of both
+classes to the same backoff. A text's evidence is its log-likelihood under the toxic model less that under the
+ordinary one, divided by the number of its words; a logistic curve, fitted on labelled rows that the models haven't
+counted, makes it a probability.
 
-Words are runs of ASCII letters, digits and bytes of other characters, in lower case, known by 64-bit hashes. The models are fitted
-on at most ``MAX_DOCS`` documents of each class (a third more for the curve); only words that a class has more than
-D times are collected and broadcast, which that bounds. The shared counts cover every row of the corpus, and so does the score, whole texts always.
+Words are runs of ASCII letters, digits and bytes of other characters, in lower case, known by 64-bit hashes; a stem is the first ``STEM``
+characters of a word. The models are fitted on at most ``MAX_DOCS`` documents of each class (a third more for the curve); only what a class has
+in more than DISCOUNT of these is collected and broadcast, which that bounds. The shared counts cover every row of the corpus, and so does
+the score, whole texts always.
 
-Defined results: null and empty texts have evidence 0 and that point's score; labels that are null,
+Defined results: null and empty texts have evidence 0 and that point's score; labels that are null or contradict each other,
 or whose text is null, teach nothing; without one of the classes every score is the share of toxic labels (0.5 without labels).
 Repeated rows count as often as they occur and each get their row. Other columns are not read.
 """
@@ -36,26 +40,42 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, crc_mod, pieces, table, word_hashes, word_spans
-from tidemark.llm.quality import _logistic, labelled_sample
+from tidemark.llm.common import LOWER, crc_mod, mix, pieces, table, word_hashes, word_spans
+from tidemark.llm.quality import labelled_sample, logistic
 
 #: Labelled documents of each class that the models count.
 MAX_DOCS = 4000
 #: Every fourth labelled document fits the curve instead.
 CURVE_SHARE = 4
-STEM = 7
-DISCOUNT = 4
-QUIET = 2.0
+STEM = 6
+DISCOUNT = 3.0
+TOLERANCE = 2.0
 
 _APART = np.ones(256, dtype=bool)
 _APART[list(range(ord("0"), ord("9") + 1)) + list(range(ord("a"), ord("z") + 1)) + list(range(0x80, 0x100))] = False
+#: What stands before the first word of a text.
+_BEGIN = np.uint64(0x243F6A8885A308D3)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
+WORD, STEMS, PAIR = 0, 1, 2
 
-def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of its stem, first word of each row and the end)."""
+
+def expressions(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of its stem, hash of the word before it, first word of each row and the end)."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offs, _APART)
-    return word_hashes(low, starts, ends), ~word_hashes(low, starts, np.minimum(ends, starts + STEM)), first
+    begins = np.flatnonzero((low & 0xC0) != 0x80)
+    stop = np.searchsorted(begins, starts, side="right") - 1 + STEM
+    words = word_hashes(low, starts, ends)
+    stems = ~word_hashes(low, starts, np.minimum(ends, np.append(begins, len(low))[np.minimum(stop, len(begins))]))
+    before = np.concatenate([[_BEGIN], words[:-1]]) if len(words) else words
+    before[first[:-1][np.diff(first) > 0]] = _BEGIN
+    return words, stems, before, first
+
+
+def pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(before * _PAIR ^ words)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -67,26 +87,46 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, len(keys))
 
 
+class Table:
+    """Sorted hashes with a value each; 0, or another value, for all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float = 0.0) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.append(values[order], other)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        return self.values[_find(self.keys, wanted)]
+
+    def has(self, wanted: np.ndarray) -> np.ndarray:
+        return _find(self.keys, wanted) < len(self.keys)
+
+
 class Model:
-    """Sorted hashes of the words and stems that differ between the classes, their evidence, and that of all others."""
+    """Log ratios of the toxic by the ordinary probability: of words, of the stems of others, of what a word before leaves free, of pairs."""
 
-    def __init__(self, words: np.ndarray, word_gain: np.ndarray, stems: np.ndarray, stem_gain: np.ndarray, other: float, curve: tuple[float, float, float, float]) -> None:
-        self.words, self.word_gain, self.stems, self.stem_gain, self.other, self.curve = words, word_gain, stems, stem_gain, other, curve
+    def __init__(self, words: Table, stems: Table, contexts: Table, pair: Table, curve: tuple[float, float, float, float]) -> None:
+        self.words, self.stems, self.contexts, self.pair, self.curve = words, stems, contexts, pair, curve
 
     def evidence(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """The mean evidence of the words of each row."""
+        """The mean log ratio of the words of each row."""
         out = np.zeros(len(offs) - 1)
-        word, stem, first = expressions(data, offs)
+        word, stem, before, first = expressions(data, offs)
         if not len(word):
             return out
-        gain = np.append(self.stem_gain, self.other)[_find(self.stems, stem)]
-        known = _find(self.words, word)
-        gain = np.where(known < len(self.words), np.append(self.word_gain, 0.0)[known], gain)
-        gain = np.sign(gain) * np.maximum(np.abs(gain) - QUIET, 0)
+        known = _find(self.words.keys, word)
+        gain = self.words.values[known]
+        others = np.flatnonzero(known == len(self.words.keys))
+        gain[others] = self.stems(stem[others])
+        context = _find(self.contexts.keys, before)
+        gain += self.contexts.values[context]
+        some = np.flatnonzero(context < len(self.contexts.keys))
+        place = _find(self.pair.keys, pairs(before[some], word[some]))
+        there = place < len(self.pair.keys)
+        gain[some[there]] = self.pair.values[place[there]]
         sums = np.concatenate([[0.0], np.cumsum(gain)])
         n = np.diff(first)
-        some = n > 0
-        out[some] = ((sums[first[1:]] - sums[first[:-1]])[some]) / n[some]
+        full = n > 0
+        out[full] = (sums[first[1:]] - sums[first[:-1]])[full] / n[full]
         return out
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
@@ -94,45 +134,57 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + b * np.clip((evidence - centre) / spread, -12, 12), -30, 30)))
 
 
-def _once_a_row(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) without repetition."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+def _once_a_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places of the first of each equal (row, hash)."""
     at = np.lexsort((hashes, row))
-    row, hashes = row[at], hashes[at]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return row[new], hashes[new]
+    new[1:] = (hashes[at][1:] != hashes[at][:-1]) | (row[at][1:] != row[at][:-1])
+    return at[new]
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """(kind, key, n0, n1): how many documents of each class (text, _label) have each word (kind 0) and stem (kind 1)."""
+    """(kind, key, of, last, n0, n1) of the documents of each class (text, _label): how many have each word (of: its stem), how many different
+    words of each have each stem, summed, and how many have each pair (of: the word before, last: the other)."""
+    names, kinds = ["kind", "key", "of", "last", "n0", "n1"], "kind int, key bigint, of bigint, last bigint, n0 bigint, n1 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("_label").to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in pieces(batch.column("text"), 4 << 20):
-                word, stem, first = expressions(data, offs)
-                for kind, hashes in enumerate((word, stem)):
-                    row, key = _once_a_row(hashes, first)
-                    got, slot = np.unique(key, return_inverse=True)
-                    n = [np.bincount(slot, weights=labels[lo:hi][row] == c, minlength=len(got)).astype(np.int64) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), kind, np.int32)), pa.array(got.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["kind", "key", "n0", "n1"])
-
-    counted = sample.select("text", F.col("_label").cast("int").alias("_label")).mapInArrow(run, "kind int, key bigint, n0 bigint, n1 bigint")
-    return counted.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def shared_counts(corpus: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Documents of the corpus (text) that have each of the known words and stems, and the sum of that over all stems there are."""
+                word, stem, before, first = expressions(data, offs)
+                row = np.repeat(np.arange(hi - lo), np.diff(first))
+                once, both = _once_a_row(word, row), pairs(before, word)
+                twice = _once_a_row(both, row)
+                for kind, key, of, last, rows in ((WORD, word[once], stem[once], word[once], row[once]), (STEMS, stem[once], stem[once], stem[once], row[once]), (PAIR, both[twice], before[twice], word[twice], row[twice])):
+                    got, at, slot = np.unique(key, return_index=True, return_inverse=True)
+                    n = [np.bincount(slot, weights=labels[lo:hi][rows] == c, minlength=len(got)).astype(np.int64) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), kind, np.int32)), pa.array(got.view(np.int64)), *[pa.array(x[at].view(np.int64)) for x in (of, last)], pa.array(n[0]), pa.array(n[1])], names)
+
+    counted = sample.select("text", F.col("_label").cast("int").alias("_label")).mapInArrow(run, kinds)
+    return counted.groupBy("kind", "key", "of", "last").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def shared_counts(corpus: DataFrame, known: list[np.ndarray]) -> list[np.ndarray]:
+    """Documents of the corpus (text) that have each of the known words, different words of each with each of the known stems, documents with
+    each of the known pairs, and different pairs of each after each of the known words before; sorted hashes. Each with the sum of all others at the end."""
     shared = corpus.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stems, both, contexts = shared.value
         counts = [np.zeros(len(k) + 1, dtype=np.int64) for k in shared.value]
         for batch in batches:
             for _, _, data, offs in pieces(batch.column("text"), 4 << 20):
-                word, stem, first = expressions(data, offs)
-                for kind, hashes in enumerate((word, stem)):
-                    counts[kind] += np.bincount(_find(shared.value[kind], _once_a_row(hashes, first)[1]), minlength=len(counts[kind]))
+                word, stem, before, first = expressions(data, offs)
+                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                once = _once_a_row(word, row)
+                counts[0] += np.bincount(_find(words, word[once]), minlength=len(words) + 1)
+                counts[1] += np.bincount(_find(stems, stem[once]), minlength=len(stems) + 1)
+                context = _find(contexts, before)
+                some = np.flatnonzero(context < len(contexts))
+                pair = pairs(before[some], word[some])
+                twice = _once_a_row(pair, row[some])
+                counts[2] += np.bincount(_find(both, pair[twice]), minlength=len(both) + 1)
+                counts[3] += np.bincount(context[some[twice]], minlength=len(contexts) + 1)
         for kind, n in enumerate(counts):
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[some])], ["kind", "place", "n"])
@@ -140,45 +192,76 @@ def shared_counts(corpus: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> tu
     found = corpus.select("text").mapInArrow(run, "kind int, place bigint, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
     kind, place, n = (found[c].to_numpy() for c in ("kind", "place", "n"))
     out = [np.zeros(len(k) + 1) for k in known]
-    for i in (0, 1):
-        out[i][place[kind == i]] = n[kind == i]
-    return out[0][:-1], out[1][:-1], float(out[1].sum())
+    for i, counts in enumerate(out):
+        counts[place[kind == i]] = n[kind == i]
+    return out
+
+
+def _kept(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.maximum(n - DISCOUNT - TOLERANCE * expected, 0)
+
+
+def ratios(found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], sums: np.ndarray, contexts: np.ndarray, context_sums: np.ndarray, shared: list[np.ndarray]) -> tuple[Table, Table, Table, Table]:
+    """The model's tables. found: by kind (sorted keys, of, counts of both classes, last), of what a class has more than DISCOUNT times; sums: N of both classes;
+    contexts, context_sums: the words before of the pairs found, sorted, with N(h) of both classes; shared: of ``shared_counts``."""
+    (words, stem_of, n_word, _), (stems, _, n_stem, _), (both, before, n_pair, second) = (found[k] for k in (WORD, STEMS, PAIR))
+    in_corpus, of_stem, of_pair, of_context = (np.maximum(x, 0.1) for x in shared)
+    stem_share = of_stem / of_stem.sum()
+    at_stem, at_context = _find(stems, stem_of), _find(contexts, before)
+    p_stem, p_word, free, p_pair, left = [], [], [], [], []
+    for c in (0, 1):
+        n = max(float(sums[c]), 1.0)
+        kept = np.append(_kept(n_stem[c], n * stem_share[:-1]), 0.0)
+        p_stem.append(kept / n + (1 - kept.sum() / n) * stem_share)
+        backoff = p_stem[c][at_stem] * np.minimum(in_corpus[:-1] / of_stem[at_stem], 1.0)
+        kept = _kept(n_word[c], n * backoff)
+        free.append(1 - kept.sum() / n)
+        p_word.append(kept / n + free[c] * backoff)
+        below = np.maximum(context_sums[c], 1.0)
+        kept = _kept(n_pair[c], context_sums[c][at_context] * of_pair[:-1] / of_context[at_context])
+        left.append(1 - np.bincount(at_context, weights=kept, minlength=len(contexts)) / below)
+        p_pair.append(kept / below[at_context])
+    second = _find(words, second)
+    some = np.flatnonzero((p_pair[0] > 0) | (p_pair[1] > 0))
+    full = [p_pair[c][some] + left[c][at_context[some]] * p_word[c][second[some]] for c in (0, 1)]
+    held = np.unique(at_context[some])
+    stem_gain = np.log(free[1] * p_stem[1]) - np.log(free[0] * p_stem[0])
+    return (
+        Table(words, np.log(p_word[1]) - np.log(p_word[0])),
+        Table(stems, stem_gain[:-1], float(stem_gain[-1])),
+        Table(contexts[held], np.log(left[1][held]) - np.log(left[0][held])),
+        Table(both[some], np.log(full[1]) - np.log(full[0])),
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "toxic", key: str = "doc_id") -> Model:
-    """Learns from the rows of docs that labels names, and takes the shared counts from corpus."""
-    none = np.zeros(0, np.uint64)
+    """Learns from the rows of docs that labels names, and takes the shared counts from corpus, which has these rows too."""
+    none = Table(np.zeros(0, np.uint64), np.zeros(0))
     per_class = MAX_DOCS * CURVE_SHARE // (CURVE_SHARE - 1)
     sample = labelled_sample(docs, labels, label, per_class, key).withColumn("_curve", F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(CURVE_SHARE)) == 0).persist(StorageLevel.MEMORY_AND_DISK)
     rows = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if not rows.get(0) or not rows.get(1):
         sample.unpersist()
         share = min(max(rows.get(1, 0) / sum(rows.values()), 1e-3), 1 - 1e-3) if rows else 0.5
-        return Model(none, np.zeros(0), none, np.zeros(0), 0.0, (math.log(share / (1 - share)), 0.0, 0.0, 1.0))
+        return Model(none, none, none, none, (math.log(share / (1 - share)), 0.0, 0.0, 1.0))
     counted = class_counts(sample.filter(~F.col("_curve"))).persist(StorageLevel.MEMORY_AND_DISK)
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(F.least(F.col(f"n{c}"), F.lit(DISCOUNT))).alias(f"free{c}") for c in (0, 1)]).collect()}
-    found = counted.filter((F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)).toArrow()
-    # The words' stems come along, by one more pass over the bounded sample.
-    kind, hashes = found["kind"].to_numpy(), found["key"].to_numpy().view(np.uint64)
-    n = np.stack([found[f"n{c}"].to_numpy().astype(float) for c in (0, 1)])
-    order = [np.flatnonzero(kind == i)[np.argsort(hashes[kind == i])] for i in (0, 1)]
-    words, stems = hashes[order[0]], hashes[order[1]]
-    stem_of = _stems_of(sample.filter(~F.col("_curve")), words)
-    word_docs, stem_docs, total = shared_counts(corpus, (words, stems))
+    often = (F.col("n0") > DISCOUNT) | (F.col("n1") > DISCOUNT)
+    total = counted.filter(F.col("kind") == WORD).agg(F.sum("n0"), F.sum("n1")).first()
+    rare = counted.filter(often).toArrow()
+    kind, keys, of, last = rare["kind"].to_numpy(), *(rare[c].to_numpy().view(np.uint64) for c in ("key", "of", "last"))
+    n = np.stack([rare[f"n{c}"].to_numpy().astype(float) for c in (0, 1)])
+    found = {}
+    for k in (WORD, STEMS, PAIR):
+        order = np.flatnonzero(kind == k)[np.argsort(keys[kind == k])]
+        found[k] = (keys[order], of[order], n[:, order], last[order])
+    before = counted.filter((F.col("kind") == PAIR) & often).select("of").distinct()
+    by_context = counted.filter(F.col("kind") == PAIR).join(before, "of", "left_semi").groupBy("of").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    contexts = by_context["of"].to_numpy().view(np.uint64)
+    order = np.argsort(contexts)
+    contexts, context_sums = contexts[order], np.stack([by_context[f"n{c}"].to_numpy().astype(float)[order] for c in (0, 1)])
+    shared = shared_counts(corpus, [found[WORD][0], found[STEMS][0], found[PAIR][0], contexts])
     counted.unpersist()
-
-    def part(kind: int, c: int) -> tuple[np.ndarray, float]:
-        whole = max(float(sums[kind][f"n{c}"] or 0), 1.0) if kind in sums else 1.0
-        return np.maximum(n[c][order[kind]] - DISCOUNT, 0) / whole, max(float(sums[kind][f"free{c}"] or 0), 1e-3) / whole if kind in sums else 1.0
-
-    share = np.append((stem_docs + 0.5) / max(total, 1.0), 0.5 / max(total, 1.0))
-    p_stem = [np.append(part(1, c)[0], 0.0) + part(1, c)[1] * share for c in (0, 1)]
-    at = _find(stems, stem_of)
-    of_stem = np.minimum((word_docs + 0.1) / (np.append(stem_docs, 0.0)[at] + 0.5), 1.0)
-    p_word = [part(0, c)[0] + part(0, c)[1] * p_stem[c][at] * of_stem for c in (0, 1)]
-    free = math.log(part(0, 1)[1]) - math.log(part(0, 0)[1])
-    stem_gain = np.log(p_stem[1]) - np.log(p_stem[0]) + free
-    model = Model(words, np.log(p_word[1]) - np.log(p_word[0]), stems, stem_gain[:-1], float(stem_gain[-1]), (0.0, 1.0, 0.0, 1.0))
+    model = Model(*ratios(found, np.array([float(x or 0) for x in total]), contexts, context_sums, shared), (0.0, 1.0, 0.0, 1.0))
     # The curve, on what the models haven't counted.
     held = measured(sample.filter("_curve"), model, key, ["_label"]).select("evidence", "_label").toPandas()
     sample.unpersist()
@@ -186,35 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "tox
         e, y = held["evidence"].to_numpy(), held["_label"].to_numpy(float)
         centre, spread = float(np.median(e)), float(e.std() + 1e-9)
         weights = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        a, b = _logistic(np.column_stack([np.ones(len(e)), np.clip((e - centre) / spread, -12, 12)]), y, weights)
+        a, b = logistic(np.column_stack([np.ones(len(e)), np.clip((e - centre) / spread, -12, 12)]), y, weights)
         model.curve = (float(a), float(b), centre, spread)
     else:
         model.curve = (0.0, 50.0, 0.0, 1.0)
     return model
 
 
-def _stems_of(sample: DataFrame, words: np.ndarray) -> np.ndarray:
-    """The stem of each of the words, all of which the sample has."""
-    shared = sample.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        stems = np.zeros(len(known) + 1, dtype=np.uint64)
-        seen = np.zeros(len(known) + 1, dtype=bool)
-        for batch in batches:
-            for _, _, data, offs in pieces(batch.column("text"), 4 << 20):
-                word, stem, _ = expressions(data, offs)
-                at = _find(known, word)
-                stems[at], seen[at] = stem, True
-        some = np.flatnonzero(seen[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(stems[some].view(np.int64))], ["place", "stem"])
-
-    found = sample.select("text").mapInArrow(run, "place bigint, stem bigint").groupBy("place").agg(F.max("stem").alias("stem")).toArrow()
-    out = np.zeros(len(words), dtype=np.uint64)
-    out[found["place"].to_numpy()] = found["stem"].to_numpy().view(np.uint64)
-    return out
-
-
 def measured(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: key, the kept columns, score and evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
