@@ -7,17 +7,18 @@ may miss, and one more. A document that holds ``percent`` per cent of the item h
 length, so that the search misses nothing. A document is looked up only in the partitions that it is large enough for.
 Each candidate is confirmed by counting the item's whole set in the document's.
 
-Documents are never shuffled: a block of items (at most ``BLOCK_SHINGLES`` of their shingles, or one item) is broadcast and every
-document passes by it, once for each block. Words are runs of ASCII letters, digits and characters beyond ASCII, A to Z in lower case.
+Documents are never shuffled: ``BLOCKS`` blocks of items (each of at most ``BLOCK_SHINGLES`` of their shingles, or one item) are broadcast
+and every document passes by them, once for each so many blocks. Words are runs of ASCII letters, digits and characters beyond ASCII, A to Z in lower case.
 
-Defined results: items without words match nothing; an item of fewer words than ``WIDTH`` is one run, which only a document of just
-these words holds. Null texts are empty. A repeated document gives a row for each time, a repeated item (equal id and text) one.
+Defined results: items without words match nothing; an item of fewer words than ``WIDTH`` is one run, and looked for among the runs of so
+many words of every document. Null texts are empty. A repeated document gives a row for each time, a repeated item (equal id and text) one.
 A document with a null key is searched like others. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +31,19 @@ WIDTH = 5
 PERCENT = 80
 #: Shingles of the items that are broadcast at once: 8 bytes each, and less than half of them again as sketches.
 BLOCK_SHINGLES = 1 << 20
+#: Blocks that are searched for in one pass.
+BLOCKS = 4
 _MAP_BITS = 20
 
 _APART = np.ones(256, dtype=bool)
 _APART[list(range(ord("0"), ord("9") + 1)) + list(range(ord("a"), ord("z") + 1)) + list(range(0x80, 0x100))] = False
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of each row, repeats included, and where each row's begin."""
+def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and the number of the first word of each row (and the end)."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offs, _APART)
-    return shingle_rows(word_hashes(low, starts, ends), first, width)
+    return word_hashes(low, starts, ends), first
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -49,10 +52,10 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Block:
-    """Items with their sets and sketches; ids: of the items, sets: sorted hashes of each."""
+    """Items with their sets and sketches; ids: of the items, sets: sorted hashes of each, width: words of their runs."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], percent: int) -> None:
-        self.ids, self.sets = ids, sets
+    def __init__(self, ids: pa.Array, sets: list[np.ndarray], percent: int, width: int) -> None:
+        self.kind, self.ids, self.sets, self.width = ids.type, ids.to_pylist(), sets, width
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         self.least = needed(self.sizes, percent)
         # The partitions: the least size of a document that can hold an item of each.
@@ -99,27 +102,45 @@ class Block:
 
 
 def blocks(items: DataFrame, key: str, percent: int, width: int) -> Iterator[Block]:
-    """The items (key, text) in blocks, by size; each is collected on its own."""
+    """The items (key, text) in blocks, by the words of their runs and by size; each is collected on its own."""
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in pieces(batch.column("text")):
-                hashes, at = shingles(data, offs, width)
+                words, first = words_of(data, offs)
+                hashes, at = shingle_rows(words, first, width)
                 sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], [key, "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.minimum(np.diff(first), width)), pa.array(sets, pa.list_(pa.int64()))], [key, "n", "width", "shingles"])
 
-    known = items.select(key, "text").distinct().mapInArrow(run, f"`{key}` {kind}, n bigint, shingles array<bigint>").filter("n > 0")
+    known = items.select(key, "text").distinct().mapInArrow(run, f"`{key}` {kind}, n bigint, width bigint, shingles array<bigint>").filter("n > 0")
     known = written(known.withColumn("part", F.floor(F.log2("n")).cast("int")), "items")
-    totals = {r["part"]: r["n"] for r in known.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    if sum(totals.values()) <= BLOCK_SHINGLES:
-        wanted = [F.lit(True)] if totals else []
-    else:
-        wanted = [(F.col("part") == p) & (F.pmod(F.xxhash64(key, "shingles"), F.lit(k)) == b) for p, n in sorted(totals.items()) for k in [-(-n // BLOCK_SHINGLES)] for b in range(k)]
-    for which in wanted:
-        rows = known.filter(which).select(key, "shingles").orderBy(key, F.xxhash64("shingles")).toArrow()
-        ids = rows[key].to_pylist()
-        yield Block(ids, [np.sort(np.array(x, dtype=np.int64).view(np.uint64)) for x in rows["shingles"].to_pylist()], percent)
+    totals: dict[int, dict[int, int]] = {}
+    for r in known.groupBy("width", "part").agg(F.sum("n").alias("n")).collect():
+        totals.setdefault(r["width"], {})[r["part"]] = r["n"]
+    for words, parts in sorted(totals.items()):
+        wanted = [F.lit(True)]
+        if sum(parts.values()) > BLOCK_SHINGLES:
+            wanted = [(F.col("part") == p) & (F.pmod(F.xxhash64(key, "shingles"), F.lit(k)) == b) for p, n in sorted(parts.items()) for k in [-(-n // BLOCK_SHINGLES)] for b in range(k)]
+        for which in wanted:
+            rows = known.filter((F.col("width") == words) & which).select(key, "shingles").orderBy(key, F.xxhash64("shingles")).toArrow()
+            yield Block(rows[key].combine_chunks(), [np.sort(np.array(x, dtype=np.int64).view(np.uint64)) for x in rows["shingles"].to_pylist()], percent, words)
+
+
+def _held(column: pa.Array, found: list[Block]) -> Iterator[tuple[int, Block, int, int]]:
+    """(row, block, item, common shingles) for each text of a column and each item that it holds."""
+    for lo, _, data, offs in pieces(column):
+        words, first = words_of(data, offs)
+        sets = {w: shingle_rows(words, first, w) for w in {b.width for b in found}}
+        for block in found:
+            for row, item, common in block.held(*sets[block.width]):
+                yield lo + row, block, item, common
+
+
+def _passes(items: DataFrame, key: str, percent: int, width: int) -> Iterator[list[Block]]:
+    every = blocks(items, key, percent, width)
+    while some := list(islice(every, BLOCKS)):
+        yield some
 
 
 def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
@@ -130,19 +151,16 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int
 
     def searcher(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
-                for lo, _, data, offs in pieces(batch.column("text")):
-                    got = list(block.held(*shingles(data, offs, width)))
-                    if got:
-                        rows, which, common = (np.array(x, dtype=np.int64) for x in zip(*got, strict=True))
-                        ids = pa.array([block.ids[i] for i in which])
-                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(lo + rows)), ids, pa.array(common), pa.array(block.sizes[which])], [key, item_key, "n_common", "n_shingles"])
+                got = [(row, block.ids[item], common, int(block.sizes[item])) for row, block, item, common in _held(batch.column("text"), shared.value)]
+                if got:
+                    rows, ids, common, sizes = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(ids, shared.value[0].kind), pa.array(common, pa.int64()), pa.array(sizes, pa.int64())], [key, item_key, "n_common", "n_shingles"])
 
         return run
 
-    for block in blocks(items, item_key, percent, width):
-        part = docs.select(key, "text").mapInArrow(searcher(spark.sparkContext.broadcast(block)), schema)
+    for some in _passes(items, item_key, percent, width):
+        part = docs.select(key, "text").mapInArrow(searcher(spark.sparkContext.broadcast(some)), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
@@ -153,18 +171,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, wi
 
     def keeper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for lo, _, data, offs in pieces(batch.column("text")):
-                    for r, _, _ in block.held(*shingles(data, offs, width)):
-                        clean[lo + r] = False
+                for row, _, _, _ in _held(batch.column("text"), shared.value):
+                    clean[row] = False
                 yield batch.filter(pa.array(clean))
 
         return run
 
-    for block in blocks(items, item_key, percent, width):
-        docs = docs.mapInArrow(keeper(spark.sparkContext.broadcast(block)), docs.schema)
+    for some in _passes(items, item_key, percent, width):
+        docs = docs.mapInArrow(keeper(spark.sparkContext.broadcast(some)), docs.schema)
     return docs
 
 
@@ -173,18 +189,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-def _sql_sets(source: str, key: str) -> str:
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
-    windows = f"list_transform(range(1, greatest(len(w) - {WIDTH - 2}, 2)), lambda i: array_to_string(list_slice(w, i, i + {WIDTH - 1}), ' '))"
-    return f"(SELECT r, {key}, s, len(s) AS n FROM (SELECT r, {key}, list_distinct(CASE WHEN len(w) > 0 THEN {windows} ELSE [] END) AS s FROM (SELECT row_number() OVER () AS r, {key}, {words} AS w FROM {source})))"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _sql_words(source: str, key: str) -> str:
+    """(r, key, k: words of the text, i: place, t: word) of every row of source."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+    return f"(SELECT r, {key}, len(w) AS k, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS r, {key}, {words} AS w FROM {source}))"
+
+
+def _sql_run(width: int) -> str:
+    return "concat_ws(' ', " + ", ".join(f"lead(t, {j}) OVER (PARTITION BY r ORDER BY i)" if j else "t" for j in range(width)) + ")"
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT r, doc_id, unnest(s) AS x FROM {_sql_sets("documents", "doc_id")}),
-b AS (SELECT r, item_id, n, unnest(s) AS x FROM {_sql_sets("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")})
-SELECT any_value(d.doc_id) AS doc_id, any_value(b.item_id) AS item_id, CAST(count(*) AS BIGINT) AS n_common, CAST(any_value(b.n) AS BIGINT) AS n_shingles
-FROM d JOIN b ON d.x = b.x
+WITH b0 AS (SELECT r, item_id, k, i, {_sql_run(WIDTH)} AS x FROM {_sql_words("(SELECT DISTINCT item_id, text FROM benchmark)", "item_id")}),
+b AS (SELECT DISTINCT r, item_id, least(k, {WIDTH}) AS w, x FROM b0 WHERE i <= greatest(k - {WIDTH - 1}, 1)),
+n AS (SELECT r, count(*) AS n FROM b GROUP BY r),
+d0 AS (SELECT r, doc_id, k, i, {", ".join(f"{_sql_run(w)} AS x{w}" for w in range(1, WIDTH + 1))} FROM {_sql_words("documents", "doc_id")}),
+d AS ({" UNION ALL ".join(f"SELECT DISTINCT r, doc_id, {w} AS w, x{w} AS x FROM d0 WHERE i <= k - {w - 1} AND {w} IN (SELECT w FROM b)" for w in range(1, WIDTH + 1))})
+SELECT any_value(d.doc_id) AS doc_id, any_value(b.item_id) AS item_id, CAST(count(*) AS BIGINT) AS n_common, CAST(any_value(n.n) AS BIGINT) AS n_shingles
+FROM d JOIN b ON d.x = b.x AND d.w = b.w JOIN n ON n.r = b.r
 GROUP BY d.r, b.r
-HAVING 100 * count(*) >= {PERCENT} * any_value(b.n)
+HAVING 100 * count(*) >= {PERCENT} * any_value(n.n)
 """

@@ -169,9 +169,9 @@ def build(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def fit(docs: DataFrame) -> Model:
     """Learns from every row of docs (text, lang). The counts per language that reach the driver are
     bounded by the number of different runs of ORDER + 1 bytes that the languages' letters form."""
-    counts = count_grams(docs).groupBy("lang").agg(F.collect_list("gram").alias("g"), F.collect_list("n").alias("n")).collect()
-    rows = [(r["lang"], np.array(r["g"], dtype=np.int64), np.array(r["n"], dtype=np.int64)) for r in sorted(counts, key=lambda r: r["lang"])]
-    return build(rows)
+    counts = count_grams(docs).toArrow()
+    lang, gram, n = counts["lang"].to_pandas().to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy()
+    return build([(name, gram[lang == name], n[lang == name]) for name in sorted(set(lang))])
 
 
 def _has_letter(text: str) -> bool:

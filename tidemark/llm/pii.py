@@ -6,8 +6,9 @@ Six labelers vote +1, -1 or 0 on each: its checksum or form, a gazetteer, cue wo
 against it, its neighbours, and its grouping. The votes are counted over all documents; the
 different patterns of votes are few, so expectation-maximisation (each labeler has a probability of each vote
 given that the span is or is not personal data, shared by all kinds, and each kind has a prior)
-runs over the counts. Its posteriors are the soft labels on which a logistic regression, the
-final span classifier, is trained; what that accepts is added to the base spans.
+runs over the counts. Its posteriors are the soft labels of a logistic regression, the final span classifier, which doesn't see
+the votes: its features are the span's kind, length, shape, make-up and neighbours, and the words around it. It is trained on at most
+``MAX_SPANS`` spans, in the order of a hash of their places; what it accepts is added to the base spans.
 
 The base, leftmost and non-overlapping for each kind, failing matches dropped:
 
@@ -27,7 +28,9 @@ are kept out of the way.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ KINDS = (*BASE_KINDS, "ssn", "iban", "secret", "name")
 LABELERS = ("form", "gazetteer", "cue", "against", "isolated", "grouping")
 #: Accepted at this probability of the final classifier.
 ACCEPT = 0.5
+#: Spans that the final classifier is trained on.
+MAX_SPANS = 10_000
 
 Span = tuple[str, int, int]
 
@@ -208,29 +213,77 @@ def reliabilities(kinds: np.ndarray, vote: np.ndarray, n: np.ndarray, rounds: in
     return post
 
 
-def classifier(kinds: np.ndarray, vote: np.ndarray, n: np.ndarray, post: np.ndarray, n_kinds: int) -> np.ndarray:
-    """Probability of each pattern from a logistic regression on the soft labels."""
-    x = np.column_stack([np.eye(n_kinds)[kinds], vote == 1, vote == -1, (vote.sum(axis=1) >= 2)[:, None]]).astype(float)
+_SHAPES, _WORDS = 32, 64
+_RUNS = re.compile(r"(.)\1+")
+_AROUND = re.compile(r"\w+")
+
+
+def _shape(text: str) -> str:
+    return _RUNS.sub(r"\1", "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text))
+
+
+def _level(x: float, bounds: tuple[float, ...]) -> int:
+    return sum(x > b for b in bounds)
+
+
+def _side(c: str) -> int:
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+
+
+#: The groups of features, each with as many places: of each kind, and of all kinds together.
+_OF_KIND = (1, 6, _SHAPES, 5, 4)
+_OF_ALL = (_WORDS, _WORDS, 4, 4)
+N_FEATURES = len(KINDS) * sum(_OF_KIND) + sum(_OF_ALL)
+
+
+def features(text: str, span: Span) -> list[int]:
+    """The places of the features that a span has."""
+    kind, start, end = span
+    own = text[start:end]
+    digits = sum(c.isdigit() for c in own)
+    before, after = _AROUND.findall(text[max(0, start - 48) : start].lower()), _AROUND.findall(text[end : end + 48].lower())
+    found = [0, _level(len(own), (8, 12, 16, 24, 40)), zlib.crc32(_shape(own).encode()) % _SHAPES, _level(digits / max(len(own), 1), (0.0, 0.3, 0.6, 0.85)), _level(len(set(own)), (4, 8, 12))]
+    at, out = KINDS.index(kind) * sum(_OF_KIND), []
+    for place, size in zip(found, _OF_KIND, strict=True):
+        out.append(at + place)
+        at += size
+    at = len(KINDS) * sum(_OF_KIND)
+    out += [at + zlib.crc32(w.encode()) % _WORDS for w in before[-2:]]
+    out += [at + _WORDS + zlib.crc32(w.encode()) % _WORDS for w in after[:1]]
+    at += 2 * _WORDS
+    out += [at + _side(text[start - 1 : start] if start else ""), at + 4 + _side(text[end : end + 1])]
+    return sorted(set(out))
+
+
+def trained(spans: list[list[int]], truth: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights of a logistic regression on soft labels; the last one is the level."""
+    x = np.zeros((len(spans), N_FEATURES + 1))
+    x[:, -1] = 1
+    for i, places in enumerate(spans):
+        x[i, places] = 1
     beta = np.zeros(x.shape[1])
-    weight = n / n.sum() * len(n)
-    for _ in range(60):
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(beta))
-        step = np.linalg.solve(hess, x.T @ (weight * (post - p)) - 0.05 * beta)
+        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * np.eye(len(beta))
+        step = np.linalg.solve(hess, x.T @ (truth - p) - ridge * beta)
         beta += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
-    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return beta
+
+
+def likelihood(weights: np.ndarray, places: list[int]) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[places].sum() + weights[-1])))))
 
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, base, more) for every row: base and candidate spans with their votes; one pass over the texts."""
+    """(key, base, more) for every row: base and candidate spans with their votes and features; one pass over the texts."""
     kind = docs.schema[key].dataType.simpleString()
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(text: str, s: Span) -> dict:
-            return {"kind": s[0], "start": s[1], "end": s[2], "votes": ",".join(map(str, votes(text, s)))}
+            return {"kind": s[0], "start": s[1], "end": s[2], "votes": ",".join(map(str, votes(text, s))), "features": features(text, s)}
 
         for batch in batches:
             base, more = [], []
@@ -241,21 +294,34 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 more.append([row(text, s) for s in candidates(text) if not any(b[1] < s[2] and s[1] < b[2] for b in found)])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(span))], [key, "base", "more"])
 
-    spans = "array<struct<kind:string,start:bigint,end:bigint,votes:string>>"
+    spans = "array<struct<kind:string,start:bigint,end:bigint,votes:string,features:array<int>>>"
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, base {spans}, more {spans}")
 
 
-def learn(scanned: DataFrame) -> dict[tuple[str, str], float]:
-    """Probability of each (kind, votes). At most 3 ** 6 patterns of each kind reach the driver, with their counts."""
-    counts = scanned.select(F.explode(F.concat("base", "more")).alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
-    rows = sorted(counts, key=lambda r: (r["kind"], r["votes"]))
+def learn(scanned: DataFrame, key: str = "doc_id") -> np.ndarray | None:
+    """Weights of the final classifier; None without any span. At most 3 ** 6 patterns of each kind reach the driver, with their counts over
+    all spans, and the features of MAX_SPANS spans."""
+    spans = scanned.select(key, F.explode(F.concat("base", "more")).alias("s")).select(key, "s.*")
+    rows = sorted(spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["kind"], r["votes"]))
     if not rows:
-        return {}
+        return None
     kinds = np.array([KINDS.index(r["kind"]) for r in rows])
     vote = np.array([[int(v) for v in r["votes"].split(",")] for r in rows])
     n = np.array([r["n"] for r in rows], dtype=float)
-    p = classifier(kinds, vote, n, reliabilities(kinds, vote, n), len(KINDS))
-    return {(r["kind"], r["votes"]): float(x) for r, x in zip(rows, p, strict=True)}
+    truth = dict(zip(((r["kind"], r["votes"]) for r in rows), reliabilities(kinds, vote, n), strict=True))
+    place = F.xxhash64(F.lit(19), key, "kind", "start")
+    few = spans.orderBy(place, key, "kind", "start", "end", "votes").limit(MAX_SPANS).select("kind", "votes", "features").collect()
+    return trained([r["features"] for r in few], np.array([truth[r["kind"], r["votes"]] for r in few]))
+
+
+def chosen(base: list[Span], more: list[tuple[float, Span]]) -> list[Span]:
+    """The base spans and, the likeliest first, the candidates that are accepted and overlap none of those taken before."""
+    order = {k: i for i, k in enumerate(KINDS)}
+    taken = list(base)
+    for p, s in sorted(more, key=lambda x: (-x[0], x[1][1], x[1][2], order[x[1][0]])):
+        if p >= ACCEPT and not any(t[1] < s[2] and s[1] < t[2] for t in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: (s[1], order[s[0]]))
 
 
 def joined(spans: list[Span]) -> str:
@@ -265,23 +331,18 @@ def joined(spans: list[Span]) -> str:
 def detect(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, base, spans) for every row of docs: arrays of kind, start and end; base spans, and these with the accepted ones."""
     scanned = written(scan(docs, key), "pii")
-    model = learn(scanned)
+    model = learn(scanned, key)
     kind = docs.schema[key].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = {k: i for i, k in enumerate(KINDS)}
         for batch in batches:
             base, every = [], []
             for b, m in zip(batch.column("base").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                sure = [{k: s[k] for k in ("kind", "start", "end")} for s in b]
-                taken: list[dict] = []
-                likely = [(model.get((s["kind"], s["votes"]), 0.0), s) for s in m]
-                for p, s in sorted(likely, key=lambda x: (-x[0], x[1]["start"], x[1]["end"], order[x[1]["kind"]])):
-                    if p >= ACCEPT and not any(t["start"] < s["end"] and s["start"] < t["end"] for t in taken):
-                        taken.append({k: s[k] for k in ("kind", "start", "end")})
-                base.append(sure)
-                every.append(sorted(sure + taken, key=lambda s: (s["start"], order[s["kind"]])))
+                sure = [(s["kind"], s["start"], s["end"]) for s in b]
+                found = chosen(sure, [(likelihood(model, s["features"]), (s["kind"], s["start"], s["end"])) for s in m])
+                base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in sure])
+                every.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(base, pa.list_(span)), pa.array(every, pa.list_(span))], [key, "base", "spans"])
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -293,7 +354,7 @@ def redact(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     The model is learnt from all of docs first; the second pass finds each text's spans anew.
     """
-    model = learn(written(scan(docs, key), "pii"))
+    model = learn(written(scan(docs, key), "pii"), key)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,15 +366,12 @@ def redact(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def redacted(text: str, model: dict[tuple[str, str], float]) -> str:
+def redacted(text: str, model: np.ndarray | None) -> str:
+    """text with the spans that the model finds, and the base spans, replaced; without a model only these."""
     base = base_spans(text)
-    likely = [(model.get((s[0], ",".join(map(str, votes(text, s)))), 0.0), s) for s in candidates(text)]
-    taken = list(base)
-    for p, s in sorted(likely, key=lambda x: (-x[0], x[1][1], x[1][2])):
-        if p >= ACCEPT and not any(t[1] < s[2] and s[1] < t[2] for t in taken):
-            taken.append(s)
+    more = [] if model is None else [(likelihood(model, features(text, s)), s) for s in candidates(text)]
     out, at = [], 0
-    for k, s, e in sorted(taken, key=lambda t: (t[1], t[2])):
+    for k, s, e in chosen(base, more):
         if s >= at:
             out += [text[at:s], f"<{k}>"]
         at = max(at, e)

@@ -14,8 +14,10 @@ more than one frame.
 A record with a payload of at least ``MIN_REVISIT`` bytes that equals another's is written as a revisit of the record with the
 largest key; its block keeps the HTTP headers with the full payload's length, its header the digest.
 
+Pages are written from the scan; only those that may be revisits or repetitions, by a filter of fixed size, are shuffled.
+
 Defined results: null html is an empty payload, null urls are named by the key. Rows that repeat a key and a payload are
-records of their own of one type: those of the largest key are responses. A null key is never the largest of
+records of their own, with identifiers of their own, of one type: those of the largest key are responses. A null key is never the largest of
 several; alone it is a response. Empty tables give no bundle. Other columns are not read.
 """
 
@@ -34,7 +36,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table, written
+from tidemark.llm.common import bitmap, seen, shared_dir, table, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 128 << 20
@@ -51,18 +53,19 @@ INDEX = "record_id string, page_id bigint, record_type string, bundle string, fr
 # Records ----------------------------------------------------------------------------------------
 
 
-def record_id(key: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{key}:{digest}')}>"
+def record_id(key: int | None, digest: str, again: str | None = None) -> str:
+    """again: what tells further records of the key and the payload from the first."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{key}:{digest}' + (f':{again}' if again else ''))}>"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: str | None = None) -> bytes:
     """One WARC record; digest: the payload's SHA-1 in hex; refers_to: the response's key for a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(key, digest)}",
+        f"WARC-Record-ID: {record_id(key, digest, again)}",
         f"WARC-Date: {CAPTURED}",
         f"WARC-Target-URI: {quote(url, safe=chr(37) + ':/?#[]@!$&()*+,;=~') if url else f'urn:page:{key}'}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -166,19 +169,43 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+#: Rows of a key and a payload that one task numbers.
+REPEATS = 1000
+
+
 def marked(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """pages (key, url, html) with digest and refers_to (null for responses)."""
-    digest = F.sha1(F.coalesce(F.col("html"), F.lit("")))
-    known = pages.select(F.col(key).alias("page_id"), "url", "html", digest.alias("digest"))
-    large = known.filter(F.octet_length("html") >= MIN_REVISIT).select("page_id", "digest")
+    """pages (key, url, html) with digest, refers_to (null for responses) and again (null for the first record of a key and a payload)."""
+    known = pages.select(F.col(key).alias("page_id"), "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("digest"))
+    slotted = known.withColumn("_slot", F.xxhash64("page_id", "digest"))
+    rows = written(slotted.select("page_id", "digest", "_slot", (F.octet_length("html") >= MIN_REVISIT).alias("large")), "digests")
     # Counted before any join: a payload shared by many rows is one row from here on.
-    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).filter((F.col("_n") > 1) & F.col("refers_to").isNotNull()).drop("_n")
-    revisits = large.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct().select(F.col("page_id").alias("_key"), F.col("digest").alias("_digest"), "refers_to")
-    return known.join(revisits, known["page_id"].eqNullSafe(revisits["_key"]) & (known["digest"] == revisits["_digest"]), "left").select("page_id", "url", "html", "digest", "refers_to")
+    first = rows.filter("large").groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n")).filter((F.col("_n") > 1) & F.col("refers_to").isNotNull()).drop("_n")
+    each = rows.groupBy("page_id", "digest", "_slot").agg(F.count("*").alias("_n"), F.max("large").alias("large"))
+    revisits = each.filter("large").join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to", "_slot")
+    doubtful = pages.sparkSession.sparkContext.broadcast(bitmap(revisits.select(F.col("_slot").alias("h")).unionByName(each.filter("_n > 1").select(F.col("_slot").alias("h")))))
+
+    def some(doubted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(seen(doubtful.value, batch.column("_slot").to_numpy()) == doubted))
+
+        return run
+
+    sure = slotted.mapInArrow(some(False), slotted.schema).select("page_id", "url", "html", "digest", F.lit(None).cast("bigint").alias("refers_to"), F.lit(None).cast("string").alias("again"))
+    # Equal rows are one with a number, told apart again after the join.
+    counted = slotted.mapInArrow(some(True), slotted.schema).groupBy("page_id", "url", "digest").agg(F.first("html").alias("html"), F.count("*").alias("_n"))
+    least = counted.groupBy("page_id", "digest").agg(F.min(F.struct("url")).alias("_least"))
+    named = counted.alias("c").join(least.alias("l"), F.col("c.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("c.digest") == F.col("l.digest"))).select("c.*", F.struct("c.url").eqNullSafe(F.col("_least")).alias("_first"))
+    joined = named.alias("c").join(revisits.alias("r"), F.col("c.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("c.digest") == F.col("r.digest")), "left").select("c.*", "refers_to")
+    some_each = joined.withColumn("_from", F.explode(F.expr(f"sequence(0L, _n - 1, {REPEATS}L)")))
+    dealt = some_each.filter(f"_n <= {REPEATS}").unionByName(some_each.filter(f"_n > {REPEATS}").repartition("_from", "page_id"))
+    told = dealt.withColumn("_i", F.explode(F.expr(f"sequence(_from, least(_from + {REPEATS - 1}, _n - 1))")))
+    again = F.when(~F.col("_first") | (F.col("_i") > 0), F.concat_ws(":", F.col("_i").cast("string"), F.coalesce("url", F.lit(""))))
+    return sure.unionByName(told.select("page_id", "url", "html", "digest", "refers_to", again.alias("again")))
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (page_id, url, html, digest, refers_to) as bundles under folder; the index, as a table in the shared folder."""
+    """Writes pages (page_id, url, html, digest, refers_to, again) as bundles under folder; the index, as a table in the shared folder."""
     names = [x.partition(" ")[0] for x in INDEX.split(", ")]
     kinds = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
@@ -213,12 +240,12 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
             return out
 
         for batch in batches:
-            for key, url, html, digest, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                key, digest, refers = key.as_py(), digest.as_py(), refers.as_py()
-                data = record(key, url.as_py(), (html.as_py() or "").encode(), digest, refers)
+            for key, url, html, digest, refers, again in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "again")), strict=True):
+                key, digest, refers, again = key.as_py(), digest.as_py(), refers.as_py(), again.as_py()
+                data = record(key, url.as_py(), (html.as_py() or "").encode(), digest, refers, again)
                 if size and size + len(data) > FRAME_BYTES:
                     flush()
-                rows.append((record_id(key, digest), key, "response" if refers is None else "revisit", size, len(data)))
+                rows.append((record_id(key, digest, again), key, "response" if refers is None else "revisit", size, len(data)))
                 held.append(data)
                 size += len(data)
             if len(index) > 10_000:
