@@ -40,8 +40,9 @@ def z_zone(z: Column) -> Column:
 
 
 def crowding(long: Column, short: Column) -> Column:
-    share = F.try_divide(long, long + short)
-    return F.when(share >= 0.8, "crowded long").when(share <= 0.2, "crowded short").when(share.isNotNull(), "balanced")
+    """By the whole per cent that are long: from 75 on, and up to 25."""
+    share = F.floor(F.try_divide(long, long + short) * 100 + 0.5)
+    return F.when(share >= 75, "crowded long").when(share <= 25, "crowded short").when(share.isNotNull(), "balanced")
 
 
 def kelly(p: Column, ratio: Column, fraction: float = 1.0) -> Column:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions import desk
+
 KEY, TIME = "instrument", "d"
 ANNUAL = 252
 
@@ -111,3 +113,38 @@ def share_below(x: str, n: int) -> Column:
     """Share of the last n rows whose x is less than this one's."""
     values = F.collect_list(x).over(trailing(n))
     return full(F.size(F.filter(values, lambda y: y < F.col(x))) / F.lit(n), F.col(x), n)
+
+
+#: Slope per bar beyond which a series trends.
+EPS = 0.0005
+
+
+def place_among(x: str, n: int, least: int) -> Column:
+    """Share of the values of the last n rows, least of them at least, that are less than this row's."""
+    values = F.collect_list(x).over(trailing(n))
+    return F.when(F.col(x).isNotNull() & (F.size(values) >= least), F.size(F.filter(values, lambda y: y < F.col(x))) / F.size(values))
+
+
+def ma_trend(price: str, fast: str, slow: str) -> Column:
+    p, a, b = F.col(price), F.col(fast), F.col(slow)
+    return F.when(a.isNull() | b.isNull(), "sideways").when((p > a) & (a > b), "bullish").when((p < a) & (a < b), "bearish").when(p > b, "mildly bullish").otherwise("mildly bearish")
+
+
+def regime_confidence(slope: str, rank: str) -> Column:
+    """Mean of how far the slope is from the threshold and the rank from the edges of its band, both in [0, 1]; 0 for what is unknown."""
+    one, s, r = F.lit(1.0), F.abs(F.col(slope)), F.col(rank)
+    trend = F.when(s.isNull(), 0.0).when(s > EPS, F.least(one, (s - EPS) / EPS + 0.5)).otherwise(1 - s / EPS)
+    vol = F.when(r.isNull(), 0.0).when(r >= 0.7, F.least(one, (r - 0.7) / 0.3)).when(r <= 0.3, F.least(one, (0.3 - r) / 0.3)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(r - 0.5) / 0.2))
+    return F.greatest(F.lit(0.0), F.least(one, 0.5 * trend + 0.5 * vol))
+
+
+def moments(x: str, n: int) -> dict[str, Column]:
+    """skew and excess of the last n rows, corrected for bias."""
+    g1, g2 = full(F.skewness(x).over(trailing(n)), F.col(x), n), full(F.kurtosis(x).over(trailing(n)), F.col(x), n)
+    return {"skew": g1 * math.sqrt(n * (n - 1)) / (n - 2), "excess": (g2 * (n + 1) + 6) * (n - 1) / ((n - 2) * (n - 3))}
+
+
+def tail(skew: str, excess: str, long: bool, z: float = 2.326, low: float = 0.8, high: float = 1.5) -> Column:
+    """Tail factor in [low, high]; 1 where the moments are unknown."""
+    found = desk.tail_factor(F.col(skew), F.col(excess), z, long)
+    return F.coalesce(F.when(found.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), found))), F.lit(1.0))

@@ -104,15 +104,31 @@ _add("w27_stochastic", lambda: [{"hh": w.highest("h", 14), "ll": w.lowest("l", 1
         {"pct_k": "k", "pct_d": _mean("k", 3)},
     ],
 )
-_add("w30_on_balance_volume", lambda: [{"step": F.coalesce(F.signum(F.col("c") - F.lag("c").over(w.ordered())), F.lit(0.0)).cast("long") * F.col("v")}, {"obv": F.sum("step").over(w.ordered())}],
-    [{"step": f"CAST(coalesce(sign(c - lag(c) OVER {ORD}), 0) AS BIGINT) * v"}, {"obv": f"CAST(sum(step) OVER {ORD} AS BIGINT)"}],
+_add("w30_on_balance_volume", lambda: [
+        {"step": F.signum(F.col("c") - F.lag("c").over(w.ordered())).cast("long") * F.col("v"), "many": F.row_number().over(w.ordered())},
+        {"obv": F.sum("step").over(w.ordered())},
+        {"now": F.sum("obv").over(w.trailing(5)) / 5, "then": F.sum("obv").over(w.ordered().rowsBetween(-19, -15)) / 5},
+        {"diff": F.coalesce(F.try_divide(F.col("now") - F.col("then"), F.abs("then")), F.lit(0.0))},
+        {"obv": F.col("obv"), "trend": F.when(F.col("many") < 20, "neutral").when(F.col("diff") > 0.03, "accumulation").when(F.col("diff") < -0.03, "distribution").otherwise("neutral")},
+    ],
+    [
+        {"step": f"CAST(sign(c - lag(c) OVER {ORD}) AS BIGINT) * v", "many": f"row_number() OVER {ORD}"},
+        {"obv": f"CAST(sum(step) OVER {ORD} AS BIGINT)"},
+        {"x": f"sum(obv) OVER {_w(5)} / 5", "y": "sum(obv) OVER (PARTITION BY instrument ORDER BY d ROWS BETWEEN 19 PRECEDING AND 15 PRECEDING) / 5"},
+        {"diff": "coalesce((x - y) / nullif(abs(y), 0), 0)"},
+        {"obv": "obv", "trend": "CASE WHEN many < 20 THEN 'neutral' WHEN diff > 0.03 THEN 'accumulation' WHEN diff < -0.03 THEN 'distribution' ELSE 'neutral' END"},
+    ],
+)
+_add("w31_volume_ratio", lambda: [{"x": F.col("v").cast("double")}, {"m5": w.mean("x", 5), "m20": w.mean("x", 20)}, {"ratio": F.try_divide(F.col("m5"), F.col("m20")), "trend": F.when(F.col("m5") > F.col("m20") * 1.4, "rising").when(F.col("m5") < F.col("m20") * 0.6, "falling").otherwise("normal")}],
+    [{"x": "CAST(v AS DOUBLE)"}, {"m5": _mean("x", 5), "m20": _mean("x", 20)}, {"ratio": "m5 / m20", "trend": "CASE WHEN m5 > m20 * 1.4 THEN 'rising' WHEN m5 < m20 * 0.6 THEN 'falling' ELSE 'normal' END"}],
 )
-_add("w31_volume_ratio", lambda: [{"ratio": F.try_divide(F.col("v").cast("double"), w.mean(F.col("v").cast("double"), 20))}], [{"ratio": f"CAST(v AS DOUBLE) / ({_mean('CAST(v AS DOUBLE)', 20)})"}])
 _PRIOR = "(PARTITION BY instrument ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 _add("w35_prior_extremes", lambda: [{"hi20": w.prior_high("h", 20), "lo20": w.prior_low("l", 20)}],
     [{"hi20": f"CASE WHEN count(h) OVER {_PRIOR} = 20 THEN max(h) OVER {_PRIOR} END", "lo20": f"CASE WHEN count(l) OVER {_PRIOR} = 20 THEN min(l) OVER {_PRIOR} END"}],
 )
-_add("w37_ma_trend", lambda: [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"trend": F.when(F.col("a") > F.col("b"), "up").when(F.col("a") < F.col("b"), "down")}], [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"trend": "CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' END"}])
+_add("w37_ma_trend", lambda: [{"a": w.mean("c", 20), "b": w.mean("c", 50)}, {"trend": w.ma_trend("c", "a", "b")}],
+    [{"a": _mean("c", 20), "b": _mean("c", 50)}, {"trend": "CASE WHEN a IS NULL OR b IS NULL THEN 'sideways' WHEN c > a AND a > b THEN 'bullish' WHEN c < a AND a < b THEN 'bearish' WHEN c > b THEN 'mildly bullish' ELSE 'mildly bearish' END"}],
+)
 _add("w40_information_discreteness", lambda: [_s(), {"neg": (F.col("r") < 0).cast("double"), "pos": (F.col("r") > 0).cast("double"), "total": w.simple_return(n=63)}, {"fip": F.signum("total") * (w.mean("neg", 63) - w.mean("pos", 63))}],
     [_S_SQL, {"neg": "CAST(r < 0 AS DOUBLE)", "pos": "CAST(r > 0 AS DOUBLE)", "total": f"c / lag(c, 63) OVER {ORD} - 1"}, {"fip": f"sign(total) * (({_mean('neg', 63)}) - ({_mean('pos', 63)}))"}],
 )
@@ -125,12 +141,66 @@ _add("w53_year_range", lambda: [{"hi": w.highest("h", 252), "lo": w.lowest("l",
         {"position": "(c - lo) / nullif(hi - lo, 0)", "ret63": f"c / lag(c, 63) OVER {ORD} - 1", "ret252": f"c / lag(c, 252) OVER {ORD} - 1"},
     ],
 )
-_add("w13_rule_regime", lambda: [_r(), {"vol": w.realised_vol("r", 20), "ma": w.mean("c", 50)}, {"rank": w.share_below("vol", 100), "slope": F.try_divide(F.col("ma"), F.lag("ma", 5).over(w.ordered())) - 1}, {"regime": F.concat_ws("/", F.when(F.col("slope") > 0.0005, "bull").when(F.col("slope") < -0.0005, "bear").otherwise("neutral"), F.when(F.col("rank") >= 0.67, "high").when(F.col("rank") < 0.33, "low").otherwise("normal"))}],
+def _regime() -> list[dict[str, Column]]:
+    """Trend by the slope of a mean of 200 bars over 21, volatility by its place among the last 252; how sure both are, and how much to lean in."""
+    return [
+        _r(),
+        {"vol": w.sd("r", 21), "ma": w.mean("c", 200), "many": F.count("r").over(w.ordered())},
+        {"slope": F.try_divide(F.col("ma") - F.lag("ma", 21).over(w.ordered()), 21 * F.col("c")), "rank": w.place_among("vol", 252, 5)},
+        {
+            "trend": F.when(F.col("slope") > w.EPS, "up").when(F.col("slope") < -w.EPS, "down").otherwise("ranging"),
+            "rank": F.when(F.col("many") >= 26, F.col("rank")),
+        },
+        {"state": F.when(F.col("rank") >= 0.7, "high").when(F.col("rank") <= 0.3, "low").otherwise("normal"), "confidence": w.regime_confidence("slope", "rank")},
+        {"regime": F.concat_ws("/", "trend", "state"), "confidence": F.col("confidence"), "aggression": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") * F.when(F.col("state") == "high", 0.5).when(F.col("state") == "low", 1.0).otherwise(0.8) * F.when(F.col("trend") == "ranging", 0.5).otherwise(1.0)))},
+    ]
+
+
+_REGIME_SQL = [
+    _R_SQL,
+    {"vol": f"({_sd('r', 21)})", "ma": _mean("c", 200), "many": f"count(r) OVER {ORD}"},
+    {"slope": f"(ma - lag(ma, 21) OVER {ORD}) / (21 * c)", "below": f"list(vol) OVER {_w(252)}"},
+    {"rank": "CASE WHEN many >= 26 AND vol IS NOT NULL AND len(list_filter(below, lambda y: y IS NOT NULL)) >= 5 THEN len(list_filter(below, lambda y: y < vol)) * 1.0 / len(list_filter(below, lambda y: y IS NOT NULL)) END"},
+    {"trend": "CASE WHEN slope > 0.0005 THEN 'up' WHEN slope < -0.0005 THEN 'down' ELSE 'ranging' END", "state": "CASE WHEN rank >= 0.7 THEN 'high' WHEN rank <= 0.3 THEN 'low' ELSE 'normal' END",
+     "tc": "CASE WHEN slope IS NULL THEN 0 WHEN abs(slope) > 0.0005 THEN least(1, (abs(slope) - 0.0005) / 0.0005 + 0.5) ELSE 1 - abs(slope) / 0.0005 END",
+     "vc": "CASE WHEN rank IS NULL THEN 0 WHEN rank >= 0.7 THEN least(1, (rank - 0.7) / 0.3) WHEN rank <= 0.3 THEN least(1, (0.3 - rank) / 0.3) ELSE greatest(0, 1 - abs(rank - 0.5) / 0.2) END"},
+    {"confidence": "greatest(0, least(1, 0.5 * tc + 0.5 * vc))"},
+    {"regime": "trend || '/' || state", "confidence": "confidence", "aggression": "greatest(0, least(1, confidence * CASE state WHEN 'high' THEN 0.5 WHEN 'low' THEN 1 ELSE 0.8 END * CASE WHEN trend = 'ranging' THEN 0.5 ELSE 1 END))"},
+]
+_add("w13_rule_regime", _regime, _REGIME_SQL)
+_add("w18_short_atr", lambda: [{"tr": F.when(F.lag("c").over(w.ordered()).isNotNull(), w.true_range())}, {"atr": F.avg("tr").over(w.trailing(14))}], [{"tr": f"CASE WHEN lag(c) OVER {ORD} IS NOT NULL THEN {_TR_SQL} END"}, {"atr": f"avg(tr) OVER {_w(14)}"}])
+_add("w21_band_width", lambda: [{"m": w.mean("c", 20)}, {"width": F.round(F.try_divide(400 * w.full(F.stddev_pop("c").over(w.trailing(20)), F.col("c"), 20), F.col("m")), 2)}], [{"m": _mean("c", 20)}, {"width": f"round(400 * stddev_pop(c) OVER {_w(20)} / m, 2)"}])
+_add("w33_fibonacci", lambda: [{"high": F.max("h").over(w.trailing(120)), "low": F.min("l").over(w.trailing(120))}, {f"f{k}": F.round(F.col("high") - (F.col("high") - F.col("low")) * k / 1000, 4) for k in (236, 382, 500, 618, 786)}],
+    [{"high": f"max(h) OVER {_w(120)}", "low": f"min(l) OVER {_w(120)}"}, {f"f{k}": f"round(high - (high - low) * {k} / 1000, 4)" for k in (236, 382, 500, 618, 786)}],
+)
+_add("w41_trend_sign", lambda: [{"sign": F.signum(w.simple_return(n=63))}], [{"sign": f"CAST(sign(c / lag(c, 63) OVER {ORD} - 1) AS DOUBLE)"}])
+_add("w44_tail_factors", lambda: [_s(), w.moments("r", 63), {"skew": F.col("skew"), "excess": F.col("excess"), "long": w.tail("skew", "excess", True), "short": w.tail("skew", "excess", False)}],
+    [
+        _S_SQL,
+        {"skew": f"CASE WHEN count(r) OVER {_w(63)} = 63 THEN skewness(r) OVER {_w(63)} END", "excess": f"CASE WHEN count(r) OVER {_w(63)} = 63 THEN kurtosis(r) OVER {_w(63)} END"},
+        {"skew": "skew", "excess": "excess", **{k: f"CASE WHEN skew IS NULL THEN 1 ELSE greatest(0.8, least(1.5, abs({z} + skew / 6 * (power({z}, 2) - 1) + excess / 24 * (power({z}, 3) - 3 * {z}) - skew * skew / 36 * (2 * power({z}, 3) - 5 * {z})) / 2.326)) END" for k, z in (("long", "(-2.326)"), ("short", "2.326"))}},
+    ],
+)
+_add("w45_rolling_median", lambda: [{"x": F.col("v").cast("double")}, {"median": w.full(F.percentile("x", F.lit(0.5)).over(w.trailing(60)), F.col("x"), 60)}], [{"x": "CAST(v AS DOUBLE)"}, {"median": f"CASE WHEN count(x) OVER {_w(60)} = 60 THEN median(x) OVER {_w(60)} END"}])
+_M_SQL = [_R_SQL, {"mom": f"c / lag(c, 63) OVER {ORD} - 1", "sd63": _sd("r", 63), "sd21": _sd("r", 21), "ma": _mean("c", 50), "x": "power(ln(h / l), 2)"}, {"pvol": f"sqrt(({_mean('x', 21)}) / {4 * math.log(2)} * 252)", "slope": f"(ma - lag(ma, 10) OVER {ORD}) / (10 * c)"}]
+
+
+def _features() -> list[dict[str, Column]]:
+    return [_r(), {"mom": w.simple_return(n=63), "sd63": w.sd("r", 63), "sd21": w.sd("r", 21), "ma": w.mean("c", 50), "pvol": w.parkinson(21)}, {"slope": F.try_divide(F.col("ma") - F.lag("ma", 10).over(w.ordered()), 10 * F.col("c"))}]
+
+
+_add("m1_feature_frame", lambda: [*_features(), {"mom_21": w.simple_return(n=21), "mom_63": F.col("mom"), "mom_vs": F.try_divide(F.col("mom"), F.col("sd63")), "rvol": F.col("sd21") * math.sqrt(252), "pvol": F.col("pvol"), "slope": F.col("slope"), "dist": F.try_divide(F.try_divide(F.col("c"), F.col("ma")) - 1, F.col("sd21"))}],
+    [*_M_SQL, {"mom_21": f"c / lag(c, 21) OVER {ORD} - 1", "mom_63": "mom", "mom_vs": "mom / nullif(sd63, 0)", "rvol": f"sd21 * {math.sqrt(252)}", "pvol": "pvol", "slope": "slope", "dist": "(c / ma - 1) / nullif(sd21, 0)"}],
+)
+_add("m2_primary_direction", lambda: [*_features(), {"signal": F.when((F.abs("slope") > w.EPS) & (F.signum("mom") == F.signum("slope")) & F.col("sd63").isNotNull(), F.signum("mom").cast("int")).otherwise(0)}],
+    [*_M_SQL, {"signal": "CASE WHEN abs(slope) > 0.0005 AND sign(mom) = sign(slope) AND sd63 IS NOT NULL THEN CAST(sign(mom) AS INTEGER) ELSE 0 END"}],
+)
+_add("t18_held_signal", lambda: [{"z": w.z_score("c", 52, 20), "i": F.row_number().over(w.ordered())}, {"raw": F.when(F.col("z") >= 1.5, -1).when(F.col("z") <= -1.5, 1)}, {"hit": F.last(F.when(F.col("raw").isNotNull(), F.struct("i", "raw")), ignorenulls=True).over(w.ordered())}, {"signal": F.when(F.col("i") - F.col("hit.i") < 10, F.col("hit.raw")).otherwise(0)}],
     [
-        _R_SQL,
-        {"vol": f"({_sd('r', 20)}) * {math.sqrt(252)}", "ma": _mean("c", 50)},
-        {"rank": f"CASE WHEN count(vol) OVER {_w(100)} = 100 THEN len(list_filter(list(vol) OVER {_w(100)}, lambda y: y < vol)) / 100.0 END", "slope": f"ma / lag(ma, 5) OVER {ORD} - 1"},
-        {"regime": "CASE WHEN slope > 0.0005 THEN 'bull' WHEN slope < -0.0005 THEN 'bear' ELSE 'neutral' END || '/' || CASE WHEN rank >= 0.67 THEN 'high' WHEN rank < 0.33 THEN 'low' ELSE 'normal' END"},
+        {"z": f"CASE WHEN count(c) OVER {_w(52)} >= 20 THEN (c - avg(c) OVER {_w(52)}) / nullif(stddev_pop(c) OVER {_w(52)}, 0) END", "i": f"row_number() OVER {ORD}"},
+        {"raw": "CASE WHEN z >= 1.5 THEN -1 WHEN z <= -1.5 THEN 1 END"},
+        {"hit": f"last_value(CASE WHEN raw IS NOT NULL THEN i END IGNORE NULLS) OVER {ORD}", "was": f"last_value(raw IGNORE NULLS) OVER {ORD}"},
+        {"signal": "CASE WHEN i - hit < 10 THEN was ELSE 0 END"},
     ],
 )
 _add("w48_month_ordinals", lambda: [

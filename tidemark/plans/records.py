@@ -117,7 +117,7 @@ ORACLE_SQL = {
     "j17_dimension": "SELECT coalesce(r_name, 'none') AS region, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "f11_json_field": "SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k, count(props->>'k') AS n FROM events GROUP BY 1",
     "f39_sessions": f"SELECT CASE WHEN isodow(ts) >= 6 THEN 'weekend' WHEN {_H} >= 13 AND {_H} < 17 THEN 'london/new york' WHEN {_H} >= 8 AND {_H} < 17 THEN 'london' WHEN {_H} >= 13 AND {_H} < 21 THEN 'new york' ELSE 'asia' END AS session, count(*) AS n FROM events GROUP BY 1",
-    "f23_crowding": "WITH g AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS long, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) AS short FROM lineitem GROUP BY 1) SELECT *, CASE WHEN long / nullif(long + short, 0) >= 0.8 THEN 'crowded long' WHEN long / nullif(long + short, 0) <= 0.2 THEN 'crowded short' WHEN long + short <> 0 THEN 'balanced' END AS label FROM g",
+    "f23_crowding": "WITH g AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS long, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) AS short FROM lineitem GROUP BY 1), x AS (SELECT *, floor(long / nullif(long + short, 0) * 100 + 0.5) AS pct FROM g) SELECT l_suppkey, long, short, CASE WHEN pct >= 75 THEN 'crowded long' WHEN pct <= 25 THEN 'crowded short' WHEN pct IS NOT NULL THEN 'balanced' END AS label FROM x",
     "z_sessions": "WITH x AS (SELECT *, CASE WHEN epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) <= 21600 THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM x) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM y GROUP BY user_id, session",
 }
 QUERIES = {f.__name__: f for f in (a9_signal_lift, a27_exposure_over_time, a28_stress, a35_breach_days, a43_newest_gates, a44_coverage, a48_compounded, j15_signature_link, j17_dimension, f11_json_field, f39_sessions, f23_crowding, z_sessions)}

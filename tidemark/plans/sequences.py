@@ -183,7 +183,15 @@ _LOOKS = " UNION ALL ".join(f"SELECT 'm{n}' AS strategy, block, sign(sum(r) OVER
 ORACLE_SQL = {
     "t1_triple_barrier": f"WITH {BARS}, x AS (SELECT *, row_number() OVER {_ORD} AS i, count(*) OVER (PARTITION BY instrument) AS n FROM day_bars), y AS (SELECT a.instrument, a.d, b.i - a.i AS k, CASE WHEN b.l <= a.c * 0.6 THEN 0 WHEN b.h >= a.c * 1.4 THEN 1 END AS hit FROM x a JOIN x b ON a.instrument = b.instrument AND b.i BETWEEN a.i + 1 AND a.i + 10 WHERE a.i + 10 <= a.n), z AS (SELECT instrument, d, min_by(hit, k) AS label, min(k) AS bars_held FROM y WHERE hit IS NOT NULL GROUP BY 1, 2) SELECT x.instrument, x.d, z.label, CAST(z.bars_held AS INT) AS bars_held FROM x LEFT JOIN z ON x.instrument = z.instrument AND x.d = z.d",
     "t5_excursions": f"WITH {BARS} SELECT instrument, d, CASE WHEN count(*) OVER w = 20 THEN round(max(h) OVER w - c, 6) END AS mfe, CASE WHEN count(*) OVER w = 20 THEN round(min(l) OVER w - c, 6) END AS mae FROM day_bars WINDOW w AS {_AHEAD.format(n=20)}",
-    "t21_fifo": "WITH f AS (SELECT l_suppkey AS instrument, l_orderkey * 10 + l_linenumber AS id, l_returnflag = 'N' AS buy, l_quantity AS qty, l_extendedprice AS price, l_shipdate FROM lineitem), p AS (SELECT *, sum(qty) OVER (PARTITION BY instrument, buy ORDER BY l_shipdate, id) AS e FROM f) SELECT b.instrument, b.id AS buy_id, s.id AS sell_id, round(least(b.e, s.e) - greatest(b.e - b.qty, s.e - s.qty), 6) AS qty, round((least(b.e, s.e) - greatest(b.e - b.qty, s.e - s.qty)) * (s.price - b.price), 4) AS pnl FROM p b JOIN p s ON b.instrument = s.instrument AND b.buy AND NOT s.buy AND b.e - b.qty < s.e AND s.e - s.qty < b.e",
+    "t21_fifo": """WITH q AS (
+        SELECT l_suppkey AS instrument, l_orderkey * 10 + l_linenumber AS fill_id, CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END AS side, l_extendedprice AS price,
+               sum(l_quantity) OVER (PARTITION BY l_suppkey, l_returnflag = 'N' ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS upto FROM lineitem
+    ), most AS (SELECT instrument, least(max(upto) FILTER (side > 0), max(upto) FILTER (side < 0)) AS most, count(DISTINCT side) AS sides FROM q GROUP BY 1
+    ), cuts AS (SELECT DISTINCT instrument, upto FROM q JOIN most USING (instrument) WHERE sides = 2 AND upto <= most
+    ), part AS (SELECT instrument, upto, upto - coalesce(lag(upto) OVER (PARTITION BY instrument ORDER BY upto), 0) AS qty FROM cuts
+    ), bought AS (SELECT part.*, b.fill_id AS buy_id, b.price AS paid FROM part ASOF JOIN (SELECT * FROM q WHERE side > 0) b ON part.instrument = b.instrument AND part.upto <= b.upto
+    ) SELECT bought.instrument, buy_id, s.fill_id AS sell_id, round(bought.qty, 6) AS qty, round(bought.qty * (s.price - paid), 4) AS pnl
+    FROM bought ASOF JOIN (SELECT * FROM q WHERE side < 0) s ON bought.instrument = s.instrument AND bought.upto <= s.upto""",
     "t28_runs": "WITH x AS (SELECT o_orderpriority AS instrument, o_orderkey AS d, o_orderstatus AS status, CASE WHEN lag(o_orderstatus) OVER w IS NOT DISTINCT FROM o_orderstatus THEN 0 ELSE 1 END AS ch FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)), y AS (SELECT *, sum(ch) OVER (PARTITION BY instrument ORDER BY d) AS run FROM x) SELECT instrument, CAST(run AS BIGINT) AS run, any_value(status) AS status, count(*) AS n, min(d) AS first, max(d) AS last FROM y GROUP BY instrument, run",
     "f33_sign_streak": f"WITH {BARS}, s AS (SELECT instrument, d, CAST(sign(c - lag(c) OVER {_ORD}) AS INT) AS sign FROM day_bars), x AS (SELECT *, CASE WHEN lag(sign) OVER {_ORD} IS NOT DISTINCT FROM sign THEN 0 ELSE 1 END AS ch FROM s WHERE sign IS NOT NULL), y AS (SELECT *, sum(ch) OVER {_ORD} AS run FROM x) SELECT instrument, CAST(run AS BIGINT) AS run, any_value(sign) AS sign, count(*) AS n FROM y GROUP BY instrument, run",
     "v4_overfitting": f"WITH {BARS}, q AS (SELECT *, ln(c / lag(c) OVER {_ORD}) / 100 AS r FROM day_bars), x AS (SELECT *, lead(r) OVER {_ORD} AS nxt, CAST(least(floor(datediff('day', DATE '1995-01-01', d) / 310), 7) AS INT) AS block FROM q), s AS ({_LOOKS}), b AS (SELECT strategy, block, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM s WHERE r IS NOT NULL GROUP BY 1, 2), h AS (SELECT i AS split, k AS block, (i >> k) & 1 = 1 AS inside FROM range(256) t(i), range(8) u(k) WHERE bit_count(i) = 4), g AS (SELECT split, strategy, inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b JOIN h USING (block) GROUP BY 1, 2, 3), m AS (SELECT split, strategy, inside, round(coalesce((s / n) / nullif(sqrt(greatest((q - n * (s / n) * (s / n)) / (n - 1), 0)), 0), 0), 9) AS x FROM g), a AS (SELECT split, strategy, max(x) FILTER (inside) AS a, max(x) FILTER (NOT inside) AS b FROM m GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY a DESC, strategy) AS best, row_number() OVER (PARTITION BY split ORDER BY b, strategy) AS rk, count(*) OVER (PARTITION BY split) AS many FROM a) SELECT count(*) AS splits, round(avg(CAST(2 * rk <= many + 1 AS DOUBLE)), 6) AS pbo FROM p WHERE best = 1",

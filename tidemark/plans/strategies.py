@@ -216,6 +216,7 @@ _P = {
     "break_up": f"c > {_PRIOR('max', 'h', 10)}", "break_down": f"c < {_PRIOR('min', 'l', 10)}",
 }
 ORACLE_SQL = {
+    "g13_fix_hour": "WITH e AS (SELECT *, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London' AS local FROM events), x AS (SELECT event_type, CAST(local AS DATE) AS d, arg_min(value, (ts, event_id)) AS a, arg_max(value, (ts, event_id)) AS b, count(*) AS n FROM e WHERE hour(local) = 15 GROUP BY 1, 2) SELECT event_type, d, n, CAST(-sign(b - a) AS INTEGER) AS signal FROM x",
     "g2_weekly_gate": f"WITH {BARS}, k AS (SELECT instrument, date_trunc('week', d) AS week, max_by(c, d) AS wc FROM day_bars GROUP BY 1, 2), s AS (SELECT instrument, week, CASE WHEN count(wc) OVER p = 4 THEN sum(wc) OVER p END AS s FROM k WINDOW p AS (PARTITION BY instrument ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) SELECT b.instrument, b.d, round((s + c) / 5, 6) AS ma, c > (s + c) / 5 AS above FROM day_bars b JOIN s ON b.instrument = s.instrument AND date_trunc('week', b.d) = s.week",
     "g7_ensemble": f"WITH {BARS}, x AS (SELECT *, {_PRIOR('max', 'h', 20)} AS hi, {_PRIOR('min', 'l', 20)} AS lo, CASE WHEN count(c) OVER {_t(20)} = 20 THEN avg(c) OVER {_t(20)} END AS m, CASE WHEN count(c) OVER {_t(20)} = 20 THEN stddev_samp(c) OVER {_t(20)} END AS s, c / lag(c, 21) OVER {_ORD} - 1 AS mom FROM day_bars), v AS (SELECT instrument, d, CAST(coalesce(sign(mom), 0) + CASE WHEN c > hi THEN 1 WHEN c < lo THEN -1 ELSE 0 END + CASE WHEN c < m - s THEN 1 WHEN c > m + s THEN -1 ELSE 0 END AS INT) AS votes FROM x) SELECT *, CASE WHEN votes >= 2 THEN 1 WHEN votes <= -2 THEN -1 ELSE 0 END AS signal FROM v",
     "g9_residual_momentum": f"WITH {BARS}, r AS (SELECT instrument, d, ln(c / lag(c) OVER {_ORD}) / 100 AS r FROM day_bars), x AS (SELECT *, avg(r) OVER (PARTITION BY d) AS m FROM r WHERE r IS NOT NULL), b AS (SELECT *, r - m * CASE WHEN count(r) OVER {_t(60)} = 60 THEN covar_samp(r, m) OVER {_t(60)} / nullif(var_samp(m) OVER {_t(60)}, 0) END AS e FROM x), s AS (SELECT instrument, d, round(CASE WHEN count(e) OVER {_t(20)} = 20 THEN avg(e) OVER {_t(20)} END / nullif(stddev_samp(e) OVER {_t(20)}, 0), 9) AS score FROM b) SELECT instrument, d, k, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, instrument) AS k FROM s WHERE score IS NOT NULL) WHERE k <= 2",
