@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import documents
 
 #: Bytes of different matches that are replayed together.
 SLICE_BYTES = 256 << 10
@@ -311,4 +311,4 @@ def digests(docs: DataFrame, tokens: list[bytes] | None = None) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the 50k vocabulary, and decoded again."""
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return digests(documents(spark, sf_dir).select("doc_id", "text"))

@@ -20,10 +20,27 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
+#: Rows of an Arrow batch of whole texts: the session's 10 000 make buffers of tens of megabytes on both sides, which a long-lived executor doesn't give back.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session's Arrow batches hold at most BATCH_ROWS rows; a smaller setting stays."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, for operators that take whole texts through Arrow."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, mix, pieces, shingle_rows, table, word_hashes, word_spans, written
+from tidemark.llm.common import LOWER, documents, mix, pieces, shingle_rows, table, word_hashes, word_spans, written
 
 WIDTH = 5
 PERCENT = 80
@@ -186,7 +186,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, wi
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every benchmark item of which it holds at least 80 per cent."""
-    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return search(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

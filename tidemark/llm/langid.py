@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, pieces, table
+from tidemark.llm.common import crc_mod, documents, pieces
 
 #: Longest context in bytes.
 ORDER = 3
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language, learnt from two thirds of the keys."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held = crc_mod("doc_id", 3) == 1
     model = fit(docs.filter(~held).select("text", "lang"))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits")

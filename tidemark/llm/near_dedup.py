@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, bitmap, mix, pieces, seen, shingle_rows, table, unused, word_hashes, word_spans, written
+from tidemark.llm.common import LOWER, bitmap, documents, mix, pieces, seen, shingle_rows, unused, word_hashes, word_spans, written
 
 SAMPLES = 128
 #: MinHash values of an odd sketch, and its bits, in words of 64.
@@ -345,7 +345,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component under three-word shingles and a similarity of 0.85."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return link(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import documents, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "secret", "name")
@@ -380,7 +380,7 @@ def redacted(text: str, model: np.ndarray | None) -> str:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its base counts, the digest of its base spans, and all its spans."""
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = detect(documents(spark, sf_dir).select("doc_id", "text"))
 
     def text(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, pieces, table
+from tidemark.llm.common import crc_mod, documents, pieces, table
 
 #: Bounds of the sample that is fitted on: labelled documents of each class for the dictionary, and for the curve.
 MAX_DICTIONARY_DOCS = 400
@@ -209,7 +209,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its quality score; labels of two thirds of the keys are learnt from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = crc_mod("doc_id", 3) == 1
     model = fit(docs.filter(~held), labels.filter(~held))

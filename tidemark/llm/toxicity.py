@@ -40,7 +40,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, crc_mod, mix, pieces, table, word_hashes, word_spans
+from tidemark.llm.common import LOWER, crc_mod, documents, mix, pieces, table, word_hashes, word_spans
 from tidemark.llm.quality import labelled_sample, logistic
 
 #: Labelled documents of each class that the models count.
@@ -295,7 +295,7 @@ def measured(docs: DataFrame, model: Model, key: str = "doc_id", keep: list[str]
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity; labels of four fifths of the keys are learnt from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = crc_mod("doc_id", 5) == 0
     model = fit(docs.filter(~held), labels.filter(~held), docs)
