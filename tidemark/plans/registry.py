@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bars, desk, indicators, joins, oscillators, records, reviews, scorecards, sequences, series, strategies, tables
+from tidemark.plans import bars, desk, grading, indicators, joins, oscillators, records, reviews, scorecards, sequences, series, strategies, tables
 
 FLAGSHIP = "bars_day"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (bars, desk, indicators, joins, oscillators, records, reviews, scorecards, sequences, series, strategies, tables):
+for _module in (bars, desk, grading, indicators, joins, oscillators, records, reviews, scorecards, sequences, series, strategies, tables):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
