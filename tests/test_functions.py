@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import parsing, scores
-from tidemark.operators import portfolio
+from tidemark.functions import oscillators, parsing, scores
+from tidemark.operators import grading, portfolio
 from tidemark.plans import strategies
 from tidemark.sources import store
 
@@ -71,6 +71,85 @@ def test_store_merges_versions(spark, tmp_path):
     assert {r["instrument"]: r["c"] for r in kept.collect()} == {"A": 2.0, "B": 1.0, "C": 2.0}
 
 
+def test_a_second_writer_merges_again(spark, tmp_path):
+    bars = store.BarStore(spark, f"file://{tmp_path}/s")
+    day = pd.Timestamp("2024-01-01").date()
+    frame = lambda name: spark.createDataFrame([(name, day, 1.0, 1.0, 1.0, 1.0, 1)], store.BAR)
+    bars.merge(frame("A"))
+    other, late = store.BarStore(spark, f"file://{tmp_path}/s"), bars._taken
+
+    def overtaken(n, name):
+        bars._taken = late
+        other.merge(frame("B"))
+        return late(n, name)
+
+    bars._taken = overtaken
+    bars.merge(frame("C"))
+    assert {r["instrument"] for r in other.load().collect()} == {"A", "B", "C"}
+
+
+def test_only_fit_bars_are_saved(spark, tmp_path):
+    rows = [(n, pd.Timestamp(d).date(), c, c, c, c, 1) for n, d, c in (("EUR/USD", "2024-01-05", 1.0), ("EUR/USD", "2024-01-05", 2.0), ("EUR/USD", "2024-01-06", 1.0), ("BTC/USD", "2024-01-06", 5.0))]
+    df = spark.createDataFrame(rows, store.BAR)
+    saved = store.BarStore(spark, f"file://{tmp_path}/s").save(df)
+    assert sorted((r["instrument"], str(r["d"]), r["c"]) for r in saved.collect()) == [("BTC/USD", "2024-01-06", 5.0), ("EUR/USD", "2024-01-05", 2.0)]
+    with pytest.raises(Exception, match="two bars of one day"):
+        store.checked(df).collect()
+    with pytest.raises(ValueError, match="missing columns"):
+        store.checked(df.drop("v"))
+    assert store.checked(df.limit(0)).count() == 0
+
+
+def test_positions_of_several_files(spark, tmp_path):
+    head = ",".join(store.POSITIONS)
+    (tmp_path / "a.csv").write_text(f"{head}\n EURO FX ,2024-01-02,10,5,100\nEURO FX,bad,1,1,1\nGOLD,2024-01-02,x,5,1\n")
+    (tmp_path / "b.csv").write_text(f"{head}\nEURO FX,2024-01-02,10,5,100\nGOLD,2024-01-09,7,8,.\n")
+    got = store.positions_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == [("EURO FX", "2024-01-02", "10.0", "5.0", "100.0"), ("GOLD", "2024-01-09", "7.0", "8.0", "None")]
+    (tmp_path / "c.csv").write_text("market,date\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        store.positions_csv(spark, [str(tmp_path / "c.csv")])
+
+
+def test_newest_observations_and_ledgers(spark, tmp_path):
+    (tmp_path / "DGS10.csv").write_text("DATE,DGS10\n2024-01-01,4.1\n2024-01-02,4.2\n2024-01-03,.\n")
+    assert [tuple(map(str, r)) for r in store.newest_observation(spark, str(tmp_path / "DGS10.csv")).collect()] == [("DGS10", "2024-01-02", "4.2")]
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n{"a": 2\n{"a": null}\n')
+    assert [r["a"] for r in store.ledger(spark, str(tmp_path / "l.jsonl"), "a int").collect()] == [1, None]
+
+
+def test_a_replaced_set_keeps_what_only_the_old_rows_know(spark):
+    old = spark.createDataFrame([("A", 1, "x"), ("B", 2, "y")], "k string, n int, note string")
+    got = store.replaced(old, spark.createDataFrame([("A", 5), ("C", 6)], "k string, n int"), ["k"])
+    assert sorted(map(tuple, got.collect()), key=str) == [("A", 5, "x"), ("C", 6, None)]
+
+
+def test_graded_setups_on_a_few_bars(spark):
+    day = lambda x: pd.Timestamp(f"2024-01-{x:02d}").date()
+    bars = spark.createDataFrame([("A", day(i), h, low) for i, h, low in ((2, 11.0, 9.0), (3, 12.0, 10.0), (4, 20.0, 5.0))], "instrument string, d date, h double, l double")
+    rows = [
+        ("older than its series", day(1), None, None, 12.0, 1.0, "long"),
+        ("both in a bar", day(3), 9.0, 11.0, 15.0, 8.0, "long"),
+        ("short", day(2), None, None, 10.0, 30.0, "short"),
+        ("never met", day(1), 90.0, 99.0, 100.0, 80.0, "long"),
+        ("no side", day(1), None, None, 12.0, 1.0, "neutral"),
+        ("nothing after", day(4), None, None, 12.0, 1.0, "long"),
+    ]
+    setups = spark.createDataFrame([(n, "A", d, lo, hi, 50.0, t, s, side) for n, d, lo, hi, t, s, side in rows], "id string, instrument string, d date, lo double, hi double, scan double, target double, stop double, side string")
+    got = {r["id"]: (r["outcome"], r["resolved"]) for r in grading.graded(setups, bars, 10).collect()}
+    assert got == {"older than its series": ("tp_hit", day(3)), "both in a bar": ("ambiguous", day(4)), "short": ("tp_hit", day(3)), "never met": (None, None), "no side": (None, None), "nothing after": (None, None)}
+    assert grading.graded(setups.limit(0), bars, 10).count() == 0
+
+
+def test_trend_step_passes_over_bars_without_prices():
+    state, plain = {}, {}
+    bars = [(10.0 + i % 5, 8.0 + i % 3, 9.0 + i % 4) for i in range(60)]
+    want = [oscillators.trend_step(plain, b) for b in bars]
+    assert oscillators.trend_step(state, (None, 1.0, 1.0)) == (None, None, None, None)
+    assert [oscillators.trend_step(state, b) for b in bars] == want and want[28][3] is None and want[29][3] is not None
+    assert oscillators.strength([0.0] * 42) == (100, 50) and oscillators.strength([]) == (None, None)
+
+
 def _book(**changes):
     return portfolio.Book(**{"risk": 0.01, "slots": 1, "max_gross": 1.0, "stop": 0.1, "target": 0.1, "halt": 0.05} | changes)
 

@@ -1,4 +1,5 @@
-"""Bars from files, and a store of them: chart JSON, candle and rate CSV, partitioned Parquet with first-wins or last-wins merges.
+"""Bars and other series from files, and a store of bars: chart JSON, CSV of candles, rates, positions and observations, JSON ledgers,
+partitioned Parquet with first-wins or last-wins merges.
 
 A store is a folder of immutable versions and is never overwritten in place: a merge writes a new version beside the old one and then
 names it in a small manifest, so that readers, and tasks that are run again, always see one whole version.
@@ -6,11 +7,15 @@ names it in a small manifest, so that readers, and tasks that are run again, alw
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import desk
+
 BAR = "instrument string, d date, o double, h double, l double, c double, v bigint"
 _CHART = "chart struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<bigint>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>>>>>"
 
@@ -38,6 +43,76 @@ def rates_csv(spark: SparkSession, path: str) -> DataFrame:
     return long.select("d", "x.currency", "x.rate").dropna(subset=["rate"])
 
 
+# Names of the columns of the public annual position files; fixed values.
+POSITIONS = {
+    "Market and Exchange Names": "market",
+    "As of Date in Form YYYY-MM-DD": "date",
+    "Noncommercial Positions-Long (All)": "noncomm_long",
+    "Noncommercial Positions-Short (All)": "noncomm_short",
+    "Open Interest (All)": "open_interest",
+}
+
+
+def positions_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(market, date, noncomm_long, noncomm_short, open_interest) of all files, one row for each market and date.
+
+    A file without one of the columns is an error. Rows without a date or a position go; of rows of one market and date the greatest stays.
+    """
+    frames = []
+    for path in paths:
+        raw = spark.read.option("header", True).csv(path)
+        missing = [c for c in POSITIONS if c not in raw.columns]
+        if missing:
+            raise ValueError(f"{path}: missing columns {missing}")
+        frames.append(raw.select(*[F.col(f"`{c}`").alias(k) for c, k in POSITIONS.items()]))
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    numbers = [F.trim(c).try_cast("double").alias(c) for c in ("noncomm_long", "noncomm_short", "open_interest")]
+    typed = rows.select(F.trim("market").alias("market"), F.trim("date").try_cast("date").alias("date"), *numbers).dropna(subset=["date", "noncomm_long", "noncomm_short"])
+    return typed.groupBy("market", "date").agg(F.max(F.struct("noncomm_long", "noncomm_short", "open_interest")).alias("x")).select("market", "date", "x.*")
+
+
+def newest_observation(spark: SparkSession, path: str) -> DataFrame:
+    """(series, date, value): each file's last value that is there, of files date,<series>; "." and blanks are missing values."""
+    raw = spark.read.option("header", False).csv(path, schema="date string, value string").select(F.input_file_name().alias("_file"), "date", "value")
+    rows = raw.select(F.regexp_extract("_file", r"([^/]+?)(\.csv)?$", 1).alias("series"), F.trim("date").try_cast("date").alias("date"), F.trim("value").try_cast("double").alias("value"))
+    known = rows.dropna(subset=["date", "value"])
+    return known.groupBy("series").agg(F.max(F.struct("date", "value")).alias("x")).select("series", "x.date", "x.value")
+
+
+def ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of a JSON ledger; damaged lines, such as a cut last one, and blank ones are passed over."""
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    read = raw.select(F.from_json("value", f"{schema}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"}).alias("j"))
+    return read.filter("j IS NOT NULL AND j._damaged IS NULL").select("j.*").drop("_damaged")
+
+
+def checked(bars: DataFrame) -> DataFrame:
+    """The bars' columns with prices as doubles. A missing column is an error at once; two bars of one series and day, or a bar without
+    either, fail the job that reads the result."""
+    names = [x.split()[0] for x in BAR.split(", ")]
+    missing = [c for c in names if c not in bars.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    once = (F.count("*").over(Window.partitionBy("instrument", "d")) == 1) & F.col("instrument").isNotNull() & F.col("d").isNotNull()
+    name = F.when(once, F.col("instrument")).otherwise(F.raise_error(F.concat(F.lit("two bars of one day, or no day or name: "), F.coalesce("instrument", F.lit("null")))))
+    return bars.select(name.alias("instrument"), F.to_date("d").alias("d"), *[F.col(c).cast("double").alias(c) for c in "ohlc"], F.col("v").cast("bigint").alias("v"))
+
+
+def prepared(bars: DataFrame) -> DataFrame:
+    """Bars fit for a store: days without a time, the last (by o, h, l, c and v) of a day's bars, none of a weekend but those of coins, and checked."""
+    day = bars.withColumn("d", F.to_date("d"))
+    one = day.withColumn("_k", F.row_number().over(Window.partitionBy("instrument", "d").orderBy(*[F.desc(c) for c in "ohlcv"]))).filter("_k = 1").drop("_k")
+    return checked(one.filter((F.weekday("d") < 5) | (desk.asset_class(F.col("instrument")) == "crypto")))
+
+
+def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of new, which are the whole state: rows of old with other keys go, columns that only old has keep its values."""
+    kept = [c for c in old.columns if c not in new.columns]
+    return new.join(old.select(*keys, *kept), keys, "left").select(*[c for c in old.columns if c in new.columns or c in kept])
+
+
 def latest(old: DataFrame | None, new: DataFrame, keys: list[str], keep: str = "last") -> DataFrame:
     """old and new with one row per key: that of new (last) or of old (first)."""
     if old is None:
@@ -49,25 +124,54 @@ def latest(old: DataFrame | None, new: DataFrame, keys: list[str], keep: str = "
 
 
 class BarStore:
-    """Bars under a folder, partitioned by instrument."""
+    """Bars under a folder, partitioned by instrument.
+
+    Two that merge at once can't lose a merge: a version's number is taken by creating its file, which must not exist, and who comes second
+    merges again with what the first has made. That holds where a file system creates files exclusively.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _newest(self) -> tuple[int, str] | None:
+        path, fs = self._path("versions")
+        if not fs.exists(path):
+            return None
+        row = self.spark.read.schema("n bigint, name string").json(f"{self.folder}/versions").filter("name IS NOT NULL").agg(F.max(F.struct("n", "name")).alias("v")).first()["v"]
+        return (row["n"], row["name"]) if row else None
+
+    def _taken(self, n: int, name: str) -> bool:
+        path, fs = self._path(f"versions/{n:012d}.json")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"n": n, "name": name}), "utf-8"))
+        out.close()
+        return True
+
     def load(self) -> DataFrame | None:
         """The bars of the newest version, None if there is none; damaged files are skipped."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        newest = self.spark.read.schema("n bigint, name string").json(f"{self.folder}/versions").agg(F.max_by("name", "n").alias("name")).first()["name"]
-        return self.spark.read.schema(BAR).option("ignoreCorruptFiles", True).parquet(f"{self.folder}/{newest}")
+        newest = self._newest()
+        return newest and self.spark.read.schema(BAR).option("ignoreCorruptFiles", True).parquet(f"{self.folder}/{newest[1]}")
 
     def merge(self, bars: DataFrame, keep: str = "last") -> DataFrame:
         """Adds bars and returns all."""
-        old = self.load()
-        merged = latest(old, bars.select(*[x.split()[0] for x in BAR.split(", ")]), ["instrument", "d"], keep)
-        name = f"bars-{uuid.uuid4().hex}"
-        merged.repartition("instrument").write.partitionBy("instrument").parquet(f"{self.folder}/{name}")
-        n = 0 if old is None else self.spark.read.json(f"{self.folder}/versions").count()
-        self.spark.createDataFrame([(n, name)], "n bigint, name string").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
-        return self.load()
+        while True:
+            newest = self._newest()
+            old = self.load()
+            merged = latest(old, bars.select(*[x.split()[0] for x in BAR.split(", ")]), ["instrument", "d"], keep)
+            name = f"bars-{uuid.uuid4().hex}"
+            merged.repartition("instrument").write.partitionBy("instrument").parquet(f"{self.folder}/{name}")
+            if self._taken(newest[0] + 1 if newest else 0, name):
+                return self.load()
+
+    def save(self, bars: DataFrame) -> DataFrame:
+        """Merges what of the bars is fit for the store."""
+        return self.merge(prepared(bars))
