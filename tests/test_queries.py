@@ -114,6 +114,25 @@ def test_asof_ties_nulls_and_no_match(spark):
     assert {r["x"]: r["v"] for r in alignment.asof(left, right, "k", "t", ["v"], forward=True).collect()} == {1: 2.0, 2: 0.5, 3: None, 4: None}
 
 
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("kind", ["date", "timestamp", "double"])
+def test_asof_across_stretches_equals_a_loop(spark, forward, kind):
+    rng = np.random.default_rng(7)
+    start = pd.Timestamp("2023-11-20")
+    rows = lambda n: [(str(k), int(t), i) for i, (k, t) in enumerate(zip(rng.choice(["hot", "hot", "hot", "cold", "left only"], n), rng.integers(0, 150, n), strict=True))]
+    left, right = rows(200), [r for r in rows(60) if r[0] != "left only" and not 60 < r[1] < 110]
+    when = {"date": lambda t: (start + pd.Timedelta(days=t)).date(), "timestamp": lambda t: (start + pd.Timedelta(hours=7 * t)).to_pydatetime(), "double": float}[kind]
+    frame = lambda of, name: spark.createDataFrame([(k, when(t), i) for k, t, i in of] + [(None, when(3), -1), ("hot", None, -2)], f"k string, t {kind}, {name} int")
+
+    def best(k, t):
+        found = [(r[1], r[2]) for r in right if r[0] == k and (r[1] >= t if forward else r[1] <= t)]
+        edge = (min if forward else max)((x[0] for x in found), default=None)
+        return max((i for x, i in found if x == edge), default=None)
+
+    got = {r["x"]: r["v"] for r in alignment.asof(frame(left, "x"), frame(right, "v"), "k", "t", ["v"], forward).collect()}
+    assert got == {i: best(k, t) for k, t, i in left} | {-1: None, -2: None}
+
+
 def test_clean_repairs_the_envelope(spark):
     raw = spark.createDataFrame([("A", 1, 1, 10.0, 9.0, 11.0, 12.0, None), ("A", 1, 0, 1.0, 1.0, 1.0, 1.0, 1), ("A", 2, 2, -1.0, 1.0, 1.0, 1.0, 1)], "instrument string, t int, n int, o double, h double, l double, c double, v bigint")
     assert [tuple(r) for r in bars.cleaned(raw, "t", "n").collect()] == [("A", 1, 10.0, 12.0, 9.0, 12.0, 0)]

@@ -1,25 +1,41 @@
 """Joins in time: as-of, bands of rows, intervals, nearest. None compares all pairs of a key.
 
-An as-of join is a union and one ordered window: no side is broadcast, nothing is repeated, and the memory of a task is one row.
+An as-of join is a union and one ordered window: no side is broadcast, nothing is repeated, and the memory of a task is one row. A task
+has one stretch of a key's time, not the whole key: what a stretch ends with is handed on to the later ones by a small table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
+
+
+def stretch(kind: DataType, time: Column) -> Column:
+    """The month of a day, the day of a time; all of any other order is one stretch."""
+    if isinstance(kind, DateType):
+        return F.trunc(time, "MM")
+    return F.to_date(time) if isinstance(kind, TimestampType | TimestampNTZType) else F.lit(0)
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], forward: bool = False) -> DataFrame:
     """Every row of left with the values of the last row of right of its key at or before its time (the first at or after it, if
-    forward), null if there is none. Of several right rows of one time the values of the greatest count."""
-    order = F.col("_t").desc() if forward else F.col("_t")
-    both = left.withColumns({"_t": F.col(time), "_side": F.lit(1), **{f"_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}})
-    found = right.groupBy(key, time).agg(F.max(F.struct(*values)).alias("_v"))
-    other = found.select(F.col(key), F.col(time).alias("_t"), F.lit(0).alias("_side"), *[F.col(f"_v.{v}").alias(f"_{v}") for v in values])
-    kinds = both.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    stamped = kinds.withColumn("_at", F.last(F.when(F.col("_side") == 0, F.struct(*[f"_{v}" for v in values])), ignorenulls=True).over(w))
-    return stamped.filter(F.col("_side") == 1).select(*left.columns, *[F.col(f"_at._{v}").alias(v) for v in values])
+    forward), null if there is none. Of several right rows of one time the values of the greatest count; right rows without a time or
+    a key meet nothing, nor do such left rows."""
+    kind = left.schema[time].dataType
+    order = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
+    found = right.filter(F.col(time).isNotNull() & F.col(key).isNotNull()).groupBy(key, F.col(time).alias("_t")).agg(F.max(F.struct(*values)).alias("_v")).withColumn("_part", stretch(kind, F.col("_t")))
+    ends = found.groupBy(key, "_part").agg((F.min_by if forward else F.max_by)("_v", "_t").alias("_end"))
+    # The stretches of both sides, few rows for each key; a stretch gets what the nearest one before it ends with.
+    asked = left.select(key, stretch(kind, F.col(time)).alias("_part")).distinct()
+    earlier = Window.partitionBy(key).orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    handed = asked.join(ends, [key, "_part"], "full").select(key, "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")).filter(F.col("_carried").isNotNull())
+    rows = left.withColumns({"_t": F.col(time), "_side": F.lit(1), "_part": stretch(kind, F.col(time)), "_v": F.lit(None).cast(found.schema["_v"].dataType)})
+    both = rows.unionByName(found.withColumn("_side", F.lit(0)), allowMissingColumns=True).join(handed, [key, "_part"], "left")
+    w = Window.partitionBy(key, "_part").orderBy(order("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    at = both.withColumn("_at", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_carried"))).filter("_side = 1")
+    known = F.col(time).isNotNull() & F.col(key).isNotNull()
+    return at.select(*left.columns, *[F.when(known, F.col("_at")[v]).alias(v) for v in values])
 
 
 def aligned(bars: DataFrame, key: str, time: str, value: str) -> DataFrame:
