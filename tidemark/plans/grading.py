@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as w
 from tidemark.operators import alignment, crosssection, grading
-from tidemark.plans import desk, reviews
+from tidemark.plans import desk, indicators, reviews
 from tidemark.plans.bars import day_bars
 from tidemark.plans.desk import pick
 from tidemark.plans.indicators import ORD, _w, rounded
@@ -156,6 +156,39 @@ def w46_comomentum(spark, sf_dir):
     return rounded(grading.comomentum(day_bars(spark, sf_dir), 63, 60, 10, 2, 1), ["d", "side"])
 
 
+def _entries(spark, sf_dir) -> DataFrame:
+    sign = F.signum(w.simple_return(n=63))
+    return day_bars(spark, sf_dir).select("instrument", "d", F.when(sign > 0, "long").when(sign < 0, "short").alias("side")).filter("side IS NOT NULL")
+
+
+def g17_comomentum_gate(spark, sf_dir):
+    """Momentum entries but those on days when their side is unusually crowded."""
+    blocked = grading.comomentum(day_bars(spark, sf_dir), 63, 60, 10, 2, 1).filter("z > 0.5123").select("d", "side")
+    return _entries(spark, sf_dir).join(blocked, ["d", "side"], "left_anti").select("instrument", "d", "side")
+
+
+def g17_smoothness_gate(spark, sf_dir):
+    """Momentum entries where the way there was smooth: information discreteness is known and not above 0."""
+    fip = indicators.QUERIES["w40_information_discreteness"](spark, sf_dir).filter("fip <= 0").select("instrument", "d")
+    return _entries(spark, sf_dir).join(fip, ["instrument", "d"], "left_semi")
+
+
+def g23_regime_twins(spark, sf_dir):
+    """Entries of three base strategies whose regime allows them: crossings and breakouts in a trend, reversals in a calm range."""
+    labels = indicators.QUERIES["w13_rule_regime"](spark, sf_dir).select("instrument", "d", "regime")
+    found = None
+    for name, (column, allowed) in TWINS.items():
+        entries = indicators.QUERIES[name](spark, sf_dir).filter(f"{column} <> 0").select("instrument", "d", F.lit(name).alias("base"), F.col(column).alias("side"))
+        kept = entries.join(labels, ["instrument", "d"]).filter(allowed).drop("regime")
+        found = kept if found is None else found.unionByName(kept)
+    return found
+
+
+_IN_TREND = "regime LIKE 'up/%' OR regime LIKE 'down/%'"
+#: The column of each base strategy's entries, and the regimes in which its twin enters.
+TWINS = {"g22_ma_cross": ("crossed", _IN_TREND), "g22_breakout": ("signal", _IN_TREND), "g22_band_reversal": ("signal", "regime = 'ranging/normal'")}
+
+
 # What one unit of a currency is in pounds where no newer rate is known; fixed values.
 FALLBACK = {"USD": 1 / 1.30, "CHF": 1 / 1.14, "CAD": 1 / 1.77, "NZD": 1 / 2.10, "JPY": 1 / 206.0, "EUR": 1 / 0.84}
 _LIVE = (("USD", "1996-05-01", 1.51), ("USD", "1996-05-20", 1.53), ("JPY", "1995-07-03", 139.2))
@@ -237,7 +270,13 @@ SELECT id, quote, round(CASE WHEN quote = 'GBP' THEN 1 WHEN age <= 5 THEN 1 / no
 UNION ALL SELECT kind, 'f', pnl FROM held UNION ALL SELECT kind, 'f', pnl FROM setups WHERE open AND m % 5 = 1 AND w % 8 = 0 AND symbol NOT IN (SELECT symbol FROM held WHERE w % 40 = 0))
 SELECT kind, round(coalesce(sum(pnl) FILTER (part = 'r'), 0), 4) AS realized, round(coalesce(sum(pnl) FILTER (part = 'f'), 0), 4) AS floating, count(*) FILTER (part = 'f') AS n_open FROM book GROUP BY 1""",
 }
+_ENTRIES_SQL = f"x AS (SELECT instrument, d, sign(c / lag(c, 63) OVER {ORD} - 1) AS g FROM day_bars), entries AS (SELECT instrument, d, CASE WHEN g > 0 THEN 'long' ELSE 'short' END AS side FROM x WHERE g <> 0)"
+ORACLE_SQL |= {
+    "g17_comomentum_gate": f"WITH {BARS}, {_ENTRIES_SQL} SELECT * FROM entries WHERE (d, side) NOT IN (SELECT (d, side) FROM ({ORACLE_SQL['w46_comomentum']}) WHERE z > 0.5123)",
+    "g17_smoothness_gate": f"WITH {BARS}, {_ENTRIES_SQL} SELECT e.* FROM entries e JOIN ({indicators.ORACLE_SQL['w40_information_discreteness']}) f USING (instrument, d) WHERE fip <= 0",
+    "g23_regime_twins": f"WITH labels AS ({indicators.ORACLE_SQL['w13_rule_regime']}) " + " UNION ALL ".join(f"SELECT instrument, d, '{name}' AS base, {column} AS side FROM ({indicators.ORACLE_SQL[name]}) JOIN labels USING (instrument, d) WHERE {column} <> 0 AND ({allowed})" for name, (column, allowed) in TWINS.items()),
+}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (t3_graded, t4_resolved, p17_walk, p19_local_sessions, p21_sorted_grid, p22_weekend_split, p23_without_first_bars, j15b_link_audit, g6_carry, r9_slots, t8_fill_costs, t11_risk_cap, t12_borrow, t16_vol_scalar, w46_comomentum, x12_conversion, a52_account)
+    for f in (g17_comomentum_gate, g17_smoothness_gate, g23_regime_twins, t3_graded, t4_resolved, p17_walk, p19_local_sessions, p21_sorted_grid, p22_weekend_split, p23_without_first_bars, j15b_link_audit, g6_carry, r9_slots, t8_fill_costs, t11_risk_cap, t12_borrow, t16_vol_scalar, w46_comomentum, x12_conversion, a52_account)
 }
