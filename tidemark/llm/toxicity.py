@@ -205,7 +205,8 @@ def ratios(found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """The model's tables. found: by kind (sorted keys, of, counts of both classes, last), of what a class has more than DISCOUNT times; sums: N of both classes;
     contexts, context_sums: the words before of the pairs found, sorted, with N(h) of both classes; shared: of ``shared_counts``."""
     (words, stem_of, n_word, _), (stems, _, n_stem, _), (both, before, n_pair, second) = (found[k] for k in (WORD, STEMS, PAIR))
-    in_corpus, of_stem, of_pair, of_context = (np.maximum(x, 0.1) for x in shared)
+    # What the model has counted the corpus has too; all that it hasn't may be nothing, and then weighs nothing.
+    in_corpus, of_stem, of_pair, of_context = (np.append(np.maximum(x[:-1], 0.1), max(x[-1], 1e-12)) for x in shared)
     stem_share = of_stem / of_stem.sum()
     at_stem, at_context = _find(stems, stem_of), _find(contexts, before)
     p_stem, p_word, free, p_pair, left = [], [], [], [], []
