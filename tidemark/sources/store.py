@@ -1,20 +1,19 @@
 """Bars and other series from files, and a store of bars: chart JSON, CSV of candles, rates, positions and observations, JSON ledgers,
 partitioned Parquet with first-wins or last-wins merges.
 
-A store is a folder of immutable versions and is never overwritten in place: a merge writes a new version beside the old one and then
-names it in a small manifest, so that readers, and tasks that are run again, always see one whole version.
+A store is a versioned table (see ``tables``): a merge writes the partitions of its instruments anew beside the old ones, and a small manifest names what
+belongs to a version, so that readers, and tasks that are run again, always see one whole version.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import desk
+from tidemark.sources.tables import Version, VersionedTable
 
 BAR = "instrument string, d date, o double, h double, l double, c double, v bigint"
 _CHART = "chart struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<bigint>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>>>>>"
@@ -123,54 +122,27 @@ def latest(old: DataFrame | None, new: DataFrame, keys: list[str], keep: str = "
     return both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *rest))).filter("_k = 1").select(*old.columns)
 
 
-class BarStore:
-    """Bars under a folder, partitioned by instrument.
+class BarStore(VersionedTable):
+    """Bars under a folder, one for each instrument and day; a merge rewrites the partitions of its own instruments, and of two at once none is lost."""
 
-    Two that merge at once can't lose a merge: a version's number is taken by creating its file, which must not exist, and who comes second
-    merges again with what the first has made. That holds where a file system creates files exclusively.
-    """
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 64) -> None:
+        super().__init__(spark, folder, BAR, ["instrument", "d"], parts, ["instrument"])
+
+    def _committed(self, version: Version) -> bool:
+        return self._taken(version.n, json.dumps({"n": version.n, "parts": version.parts, "marks": version.marks}))
+
+    def _taken(self, n: int, text: str) -> bool:  # type: ignore[override]
+        return self._created(f"versions/{n:012d}.json", text)
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _newest(self) -> tuple[int, str] | None:
-        path, fs = self._path("versions")
-        if not fs.exists(path):
-            return None
-        row = self.spark.read.schema("n bigint, name string").json(f"{self.folder}/versions").filter("name IS NOT NULL").agg(F.max(F.struct("n", "name")).alias("v")).first()["v"]
-        return (row["n"], row["name"]) if row else None
-
-    def _taken(self, n: int, name: str) -> bool:
-        path, fs = self._path(f"versions/{n:012d}.json")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in str(error.java_exception):
-                return False
-            raise
-        out.write(bytearray(json.dumps({"n": n, "name": name}), "utf-8"))
-        out.close()
-        return True
-
-    def load(self) -> DataFrame | None:
-        """The bars of the newest version, None if there is none; damaged files are skipped."""
-        newest = self._newest()
-        return newest and self.spark.read.schema(BAR).option("ignoreCorruptFiles", True).parquet(f"{self.folder}/{newest[1]}")
+    def load(self, n: int | None = None) -> DataFrame | None:
+        """The bars of a version, the newest unless given, None if there is none; damaged files are skipped."""
+        return super().load(n) if self.version(n).n >= 0 else None
 
     def merge(self, bars: DataFrame, keep: str = "last") -> DataFrame:
-        """Adds bars and returns all."""
-        while True:
-            newest = self._newest()
-            old = self.load()
-            merged = latest(old, bars.select(*[x.split()[0] for x in BAR.split(", ")]), ["instrument", "d"], keep)
-            name = f"bars-{uuid.uuid4().hex}"
-            merged.repartition("instrument").write.partitionBy("instrument").parquet(f"{self.folder}/{name}")
-            if self._taken(newest[0] + 1 if newest else 0, name):
-                return self.load()
+        """Adds bars and returns all: of a day's old and new bar the new one stays (last) or the old one (first), of two new ones the lesser by o, h, l, c and v."""
+        one = bars.select(*self.columns).withColumn("_k", F.row_number().over(Window.partitionBy(*self.keys).orderBy(*"ohlcv"))).filter("_k = 1").select(*self.columns)
+        self.upsert(one, keep)
+        return self.load()
 
     def save(self, bars: DataFrame) -> DataFrame:
         """Merges what of the bars is fit for the store."""

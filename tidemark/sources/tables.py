@@ -59,15 +59,22 @@ class VersionedTable:
             raise ValueError(f"no version {n}")
         return Version(-1, {}, {}) if row is None else Version(row["n"], {int(p): x for p, x in row["parts"].items()}, dict(row["marks"] or {}))
 
+    def _committed(self, version: Version) -> bool:
+        return self._taken(version)
+
     def _taken(self, version: Version) -> bool:
-        path, fs = self._path(f"versions/{version.n:012d}.json")
+        return self._created(f"versions/{version.n:012d}.json", json.dumps({"n": version.n, "parts": version.parts, "marks": version.marks}))
+
+    def _created(self, name: str, text: str) -> bool:
+        """Creates a file that must not exist; False if it does."""
+        path, fs = self._path(name)
         try:
             out = fs.create(path, False)
         except Py4JJavaError as error:
             if "AlreadyExists" in str(error.java_exception):
                 return False
             raise
-        out.write(bytearray(json.dumps({"n": version.n, "parts": version.parts, "marks": version.marks}), "utf-8"))
+        out.write(bytearray(text, "utf-8"))
         out.close()
         return True
 
@@ -117,7 +124,7 @@ class VersionedTable:
                 name = f"data-{uuid.uuid4().hex}"
                 rows.withColumn("_part", self.part()).repartition(min(len(touched), self.parts), "_part").write.partitionBy("_part").parquet(f"{self.folder}/{name}")
                 parts |= {p: f"{name}/_part={p}" for p in touched if self._there(f"{name}/_part={p}")}
-            if self._taken(Version(old.n + 1, parts, old.marks | ({mark[0]: mark[1]} if mark else {}))):
+            if self._committed(Version(old.n + 1, parts, old.marks | ({mark[0]: mark[1]} if mark else {}))):
                 return old.n + 1
 
     def _there(self, name: str) -> bool:
@@ -166,8 +173,7 @@ class VersionedTable:
 
     def delete_where(self, condition: Column | str) -> int:
         """Deletes the rows that meet a condition; only partitions that hold any are rewritten."""
-        rows = self.load()
-        return self.delete((rows.filter(condition)).select(*self.keys))
+        return self.delete(VersionedTable.load(self).filter(condition).select(*self.keys))
 
 
 def admitted(rows: DataFrame, schema: str, required: list[str], added_later: tuple[str, ...] = (), of: list[str] | None = None) -> DataFrame:
