@@ -23,14 +23,19 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: Rows of an Arrow batch of whole texts: the session's 10 000 make buffers of tens of megabytes on both sides, which a long-lived executor doesn't give back.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch, where a job asks for a limit: however long the texts are, what is on its way between Java and Python stays small. Sessions that run nothing else may set it once.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lets the session's Arrow batches hold at most BATCH_ROWS rows; a smaller setting stays."""
+def small_batches(spark: SparkSession, limit: int | None = None) -> None:
+    """Lets the session's Arrow batches hold at most BATCH_ROWS rows, and limit bytes or one row if given; smaller settings stay. Both hold for what the session runs later too."""
+    if limit is not None and not 0 < int(spark.conf.get(_BYTES).rstrip("b")) <= limit:
+        spark.conf.set(_BYTES, str(limit))
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 

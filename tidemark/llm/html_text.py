@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FILTER_BITS, bitmap, mix, pieces, seen, table, word_hashes, word_spans, written
+from tidemark.llm.common import BATCH_BYTES, FILTER_BITS, bitmap, mix, pieces, seen, small_batches, table, word_hashes, word_spans, written
 
 #: Tokens that a substring needs to count as repeated.
 MIN_RUN = 10
@@ -58,6 +58,7 @@ _SKIPPED_NAMES = frozenset(
     "pagination pager toolbar copyright complementary contentinfo search".split()
 )
 _HEADER_NAMES = frozenset("header banner".split())
+_IN_ARTICLE = _SKIPPED_NAMES - {"search", "copyright", "toolbar", "modal", "overlay"}
 _PART_NAMES = frozenset(
     "a area articles bar block bottom box btn button buttons by center col column container content desktop div fixed form global group header holder icons inner item items js left link links list "
     "main media mobile module new outer page panel post posts primary region right row secondary section site slot stories sub text thread top unit up us widget widgets wrap wrapper".split()
@@ -65,6 +66,7 @@ _PART_NAMES = frozenset(
 _TAG_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_COMMENT_END = re.compile("--!?>")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 ELSEWHERE, MAIN, ARTICLE = 0, 1, 2
@@ -79,24 +81,31 @@ def _calls(value: str, names: frozenset[str]) -> bool:
     return False
 
 
-def _mark(tag: str, rest: str) -> tuple[bool, bool, int]:
-    """(skipped, header, place) of an element by its tag and attributes."""
+def _says(value: str, names: frozenset[str]) -> bool:
+    """Every word of a class, id or role says so: inside an article one word among others (``content social``) is no reason to drop text."""
+    words = value.split()
+    return bool(words) and all(_calls(w, names) for w in words)
+
+
+def _mark(tag: str, rest: str, inside: bool = False) -> tuple[bool, bool, int]:
+    """(skipped, header, place) of an element by its tag and attributes; inside: in an article, which loses only what is a part of the named kinds, and nothing for being hidden."""
     place = ARTICLE if tag == "article" else MAIN if tag == "main" else ELSEWHERE
     if tag in _SKIPPED_TAGS:
         return True, False, ELSEWHERE
     header = tag == "header"
     if rest and tag not in ("html", "body"):
-        if _HIDDEN.search(rest):
+        if not inside and _HIDDEN.search(rest):
             return True, False, ELSEWHERE
+        calls = _says if inside else _calls
         for m in _NAMED.finditer(rest):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "itemprop":
                 place = ARTICLE if value == "articlebody" else place
             elif value == "main" and m[1].lower() == "role":
                 place = max(place, MAIN)
-            elif _calls(value, _HEADER_NAMES):
+            elif calls(value, _HEADER_NAMES):
                 header = True
-            elif tag != "main" and _calls(value, _SKIPPED_NAMES):
+            elif tag != "main" and calls(value, _IN_ARTICLE if inside else _SKIPPED_NAMES):
                 return not (tag == "article" and "comment" not in value), False, place
     return False, header, place
 
@@ -136,8 +145,10 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             now.append(entities.unescape(page[at:begin]))
         after = page[begin + 1 : begin + 2]
         if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
-            at = n if end < 0 else end + 3
+            end = _COMMENT_END.search(page, begin + 4)
+            at = end.end() if end else n
+            if page.startswith((">", "->"), begin + 4):  # <!--> and <!---> are whole comments
+                at = page.index(">", begin + 4) + 1
             continue
         closing = after == "/"
         name = _NAME.match(page, begin + 1 + closing)
@@ -179,7 +190,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         headings += tag in _HEADINGS
         if tag in ("p", "li") and opened[tag] and stack and stack[-1][0] == tag:
             pop()
-        skip, header, place = _mark(tag, attributes.strip())
+        skip, header, place = _mark(tag, attributes.strip(), articles > 0)
         if skip or header or place or tag in _HELD:
             if tag not in _BLOCK and (skip or header):
                 flush()
@@ -463,5 +474,6 @@ def extract(pages: DataFrame, key: str = "page_id", min_run: int = MIN_RUN) -> D
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its main text."""
+    small_batches(spark, BATCH_BYTES)
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "from_article")

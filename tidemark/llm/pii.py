@@ -110,8 +110,9 @@ _CANDIDATES = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({]dot[\])}]) ?[A-Za-z0-9-]++)++", re.I)
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([A-Za-z0-9_/+=.-]{12,}+)")
-_NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora)\.? ([A-ZÀ-Þ][a-zß-ÿ]{2,20}(?: [A-ZÀ-Þ][a-zß-ÿ]{2,20}){0,2})")
+_BRACKET = re.compile(r"[\[({]at[\])}]", re.I)
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|api[_-]?key|secret|passw(?:or)?d|access[_-]?key)[\"']? {0,3}[=:] {0,3}[\"']?([^\s\"'`]{12,}+)")
+_NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Señor|Señora)\.? ([A-ZÀ-Þ][a-zß-ÿ]{2,20}(?: [A-ZÀ-Þ][a-zß-ÿ]{2,20})*)")
 
 # Gazetteers, fixed values.
 _TLDS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be at ch pl pt se no dk fi ie us ca mx br ar cl jp cn in au nz ru eu example test".split())
@@ -141,7 +142,7 @@ def candidates(text: str) -> list[Span]:
     if _DIGIT.search(text):
         for kind, form in _CANDIDATES.items():
             out += [(kind, *m.span()) for m in form.finditer(text)]
-    if any(x in text for x in ("at]", "at)", "at}", "AT]", "AT)")):
+    if _BRACKET.search(text):
         out += [("email", *m.span()) for m in _AT.finditer(text)]
     if "=" in text or ":" in text:
         out += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
