@@ -17,38 +17,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, near_dedup, pii, quality
-from tidemark.llm.common import shared_dir, small_batches, table
+from tidemark.llm.common import BATCH_BYTES, shared_dir, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5; a tie with it stays. Without labels of both classes all stay if most labels are good, or there is none."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality.accepted(docs, model)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8, that of the least doc_id; those with a null doc_id all, but none twice."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     return near_dedup.deduplicated(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty items are in none."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced; n_chars, where there is one, follows the new text."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     redacted = pii.redact(docs)
     return redacted.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document, whose ids decode to its text."""
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     return bpe.digests(docs)
 
 
