@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Currencies, metals and coins by which symbols are read.
 FIAT = ("EUR", "USD", "GBP", "JPY", "AUD", "NZD", "CAD", "CHF", "XAU", "XAG")
 COINS = ("BTC", "ETH", "SOL", "XRP", "ADA", "DOGE", "BNB", "LTC", "DOT", "AVAX", "LINK", "MATIC", "BCH", "ATOM", "ETC", "XLM", "ARB", "SUI")
+#: Those that the correction of labels knows, fewer.
+RELABELLED = ("BTC", "ETH", "SOL", "BNB", "XRP", "ADA", "AVAX", "DOGE", "MATIC", "LINK", "ARB", "SUI")
 FUNDS = ("SPY", "QQQ", "IWM", "GLD", "SLV", "USO", "TLT", "HYG", "LQD", "XLF", "XLE", "XLK", "XLV", "XLI", "XLC", "ARKK", "VTI", "VOO", "VNQ", "EEM", "EFA", "GDX", "GDXJ", "XBI", "IBB", "DIA", "SMH", "SOXX")
 
 #: Coefficients of the published rational approximation of the inverse normal distribution (fixed values).
@@ -57,7 +59,7 @@ def ticker(symbol: Column) -> Column:
 
 def taxonomy(symbol: Column, label: Column) -> Column:
     """The label corrected: funds, pairs with a coin, three-letter pairs, and plain symbols once called Equity."""
-    up, coin = F.upper(symbol), F.upper(F.split_part(symbol, F.lit("/"), F.lit(1))).isin(*COINS)
+    up, coin = F.upper(symbol), F.upper(F.split_part(symbol, F.lit("/"), F.lit(1))).isin(*RELABELLED)
     pair = symbol.contains("/")
     return F.when(up.isin(*FUNDS), "ETF").when(pair & coin, "Crypto").when(symbol.rlike("^[A-Za-z]{3}/[A-Za-z]{3}$"), "Forex").when((label == "Equity") & ~pair, "Stock").otherwise(label)
 

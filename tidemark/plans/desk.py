@@ -115,7 +115,7 @@ _add("p6_asset_class", lambda: {"symbol": _c("symbol"), "class": desk.asset_clas
     {"symbol": "symbol", "class": "CASE symbol WHEN 'EUR/USD' THEN 'forex' WHEN 'BTC/USD' THEN 'crypto' WHEN 'XAU/USD' THEN 'forex' WHEN 'USD/JPY' THEN 'forex' WHEN 'ETH-USD' THEN 'crypto' WHEN 'BINANCE_BTC_USD' THEN 'crypto' WHEN 'EUR_GBP' THEN 'forex' ELSE 'equity' END"},
 )
 _add("p24_taxonomy", lambda: {"label": desk.taxonomy(_c("symbol"), _c("label"))},
-    {"label": f"CASE WHEN upper(symbol) IN {_list(desk.FUNDS)} THEN 'ETF' WHEN symbol LIKE '%/%' AND {_BASE_LEG} IN {_list(desk.COINS)} THEN 'Crypto' WHEN regexp_matches(symbol, '^[A-Za-z]{{3}}/[A-Za-z]{{3}}$') THEN 'Forex' WHEN label = 'Equity' AND symbol NOT LIKE '%/%' THEN 'Stock' ELSE label END".replace("{{", "{").replace("}}", "}")},
+    {"label": f"CASE WHEN upper(symbol) IN {_list(desk.FUNDS)} THEN 'ETF' WHEN symbol LIKE '%/%' AND {_BASE_LEG} IN {_list(desk.RELABELLED)} THEN 'Crypto' WHEN regexp_matches(symbol, '^[A-Za-z]{{3}}/[A-Za-z]{{3}}$') THEN 'Forex' WHEN label = 'Equity' AND symbol NOT LIKE '%/%' THEN 'Stock' ELSE label END".replace("{{", "{").replace("}}", "}")},
     {"label": pick("w", ["Equity", "Stock", "Other"])},
 )
 _add("s2_slugs", lambda: {"slug": desk.slug(_c("symbol"))}, {"slug": "regexp_replace(symbol, '[^A-Za-z0-9.-]+', '_', 'g')"})
