@@ -55,3 +55,37 @@ def test_labels_are_corrected_by_their_own_coins(spark):
     rows = [("LTC/USD", "x", "Forex"), ("BTC/USD", "x", "Crypto"), ("ARB/USDT", "x", "Crypto"), ("spy", "Equity", "ETF"), ("AAPL", "Equity", "Stock"), ("AAPL", "Odd", "Odd")]
     got = spark.createDataFrame(rows, "symbol string, label string, want string").select("want", desk.taxonomy(F.col("symbol"), F.col("label")).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_entries_of_a_few_series(spark):
+    """Short, flat and null-free series: nothing before a series has its bars, and a flat one has no crossing."""
+    from tidemark.operators import entries
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n in (("long", 260), ("short", 9), ("flat", 120)):
+        c = np.full(n, 50.0) if name == "flat" else 100 * np.exp(np.cumsum(rng.normal(0, 0.03, n)))
+        rows += [(name, dt.date(2022, 1, 3) + dt.timedelta(days=i), float(x), float(x * (1 if name == "flat" else 1.01)), float(x * (1 if name == "flat" else 0.99)), float(x), int(rng.integers(1, 9))) for i, x in enumerate(c)]
+    bars = spark.createDataFrame(rows, "instrument string, d date, o double, h double, l double, c double, v bigint")
+    found = entries.entries(bars, bars.select("instrument", "d", F.lit("up/low").alias("regime"))).toPandas()
+    assert set(found.instrument) == {"long"} and found.strategy.nunique() > 15
+    c = pd.Series([r[2] for r in rows if r[0] == "long"])
+    start = pd.Timestamp("2022-01-03")
+    at = lambda s: {((pd.Timestamp(d) - start).days, side) for d, side in zip(s.d, s.side, strict=True)}
+
+    def crossings(fast, slow):
+        return {(i, 1 if fast[i] > slow[i] else -1) for i in range(1, len(c)) if not np.isnan(slow[i - 1]) and ((fast[i - 1] <= slow[i - 1] and fast[i] > slow[i]) or (fast[i - 1] >= slow[i - 1] and fast[i] < slow[i]))}
+
+    def ema(p):
+        out = np.full(len(c), np.nan)
+        out[p - 1] = c[:p].mean()
+        for i in range(p, len(c)):
+            out[i] = out[i - 1] + 2 / (p + 1) * (c[i] - out[i - 1])
+        return out
+
+    assert at(found[found.strategy == "sma_10_50"]) == crossings(c.rolling(10).mean().to_numpy(), c.rolling(50).mean().to_numpy())
+    assert at(found[found.strategy == "ema_10_50"]) == crossings(ema(10), ema(50)) and at(found[found.strategy == "px_ema50"]) == crossings(c.to_numpy(), ema(50))
+    assert (found[found.strategy == "sma_10_50"].twin).all() and not found[found.strategy == "bb_revert"].twin.any()
+    b = found[found.strategy == "bb_revert"]
+    mid = c.rolling(20).mean()
+    assert len(b) and all(abs(t - mid[(pd.Timestamp(d) - start).days]) < 1e-9 for d, t in zip(b.d, b.target, strict=True))

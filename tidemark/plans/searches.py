@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as w
-from tidemark.operators import learned, nulls, outcomes as oc, similar
+from tidemark.operators import entries, learned, nulls, outcomes as oc, similar
+from tidemark.plans import indicators
 from tidemark.plans.bars import DAY_BARS_SQL, day_bars
 from tidemark.plans.indicators import ORD, rounded
 from tidemark.streaming.windows import shared_folder
@@ -124,8 +125,17 @@ def g15_meta_labeled(spark, sf_dir):
     return found.select("instrument", "d", "fold", p.alias("p"), F.when(p < 0.5, 0).otherwise(F.col("side")).alias("signal"), "learnt_until")
 
 
-QUERIES = {f.__name__: f for f in (r12_meta_label, r13_lessons, g24_random_entries, g15_meta_labeled, g16_learned_momentum)}
+
+
+def g22_base_signals(spark, sf_dir):
+    """Every entry of the 22 base strategies, its stop and target, and whether the twin that asks for the strategy's regime enters too."""
+    regimes = indicators.QUERIES["w13_rule_regime"](spark, sf_dir).select("instrument", "d", "regime")
+    return rounded(entries.entries(day_bars(spark, sf_dir), regimes), ["instrument", "d"])
+
+
+QUERIES = {f.__name__: f for f in (g22_base_signals, r12_meta_label, r13_lessons, g24_random_entries, g15_meta_labeled, g16_learned_momentum)}
 ORACLE_SQL = {
+    "g22_base_signals": entries.entries_sql(DAY_BARS_SQL, f"SELECT instrument, d, regime FROM ({indicators.ORACLE_SQL['w13_rule_regime']})"),
     "r12_meta_label": f"""{_near_sql("TRUE", 15, 0.45)}, b AS (SELECT avg(CAST(win AS INT)) AS rate, count(*) AS many FROM s WHERE resolved), g AS (SELECT query, count(*) AS n, count(*) FILTER (win) AS wins FROM n GROUP BY 1)
 SELECT query AS id, CASE WHEN n >= 10 AND many >= 6 THEN CAST(floor((n / (n + 8.0::DOUBLE) * wins / n + (1 - n / (n + 8.0::DOUBLE)) * rate) * 100 + 0.5) AS BIGINT) END AS p_correct, n, wins, CAST(floor(rate * 100 + 0.5) AS BIGINT) AS base FROM g, b""",
     "r13_lessons": f"""{_near_sql("trim(s.lesson) <> ''", 3, 0.55)} SELECT query, k, id, lesson, round(d, 6) AS d FROM n""",
