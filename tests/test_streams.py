@@ -245,3 +245,25 @@ def test_sessions_end_with_their_day_and_leave_no_state(spark, tmp_path):
             want[key, day] = (v.iloc[0], v.iloc[-1], v.min(), max(0.0, 1 - v.min() / v.iloc[0]) if v.iloc[0] > 0 else 0.0)
     assert len(want) == 8 and got.keys() == want.keys() and all(math.isclose(a, b) for k in want for a, b in zip(got[k], want[k], strict=True))
     assert {(r["key"], r["day"]) for r in held} == {(k, dt.date(2024, 1, 5)) for k in "AB"}
+
+
+# Sinks -------------------------------------------------------------------------------------------
+
+
+def test_states_ledgers_and_reports(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    state = sinks.JsonState(spark, f"file://{tmp_path}/s")
+    assert state.load() is None and [state.save({"n": i, "d": dt.date(2024, 1, 1)}) for i in range(3)] == [0, 1, 2]
+    (tmp_path / "s/states/000000000003.json").write_text('{"n": 3, "cut')
+    assert state.load() == {"n": 2, "d": "2024-01-01"} and state.save({"n": 4}) == 4 and state.load() == {"n": 4}
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None)], "id int, v string")
+    path = f"file://{tmp_path}/ledger"
+    assert [sinks.append_ledger(rows, path, ["id"], "local"), sinks.append_ledger(rows, path, ["id"], "local"), sinks.append_ledger(rows.limit(0), path, ["id"], "local")] == [3, 0, 0]
+    assert sinks.append_ledger(spark.createDataFrame([(3, "c"), (2, "x")], "id int, v string"), path, ["id"], "local", "why") == 1
+    kept = {(r["row"]["id"], r["row"]["v"], r["reason"]) for r in spark.read.schema("source string, reason string, row struct<id:int,v:string>").json(path).collect()}
+    assert kept == {(1, "a", ""), (None, "b", ""), (2, None, ""), (3, "c", "why")}
+    text, page = sinks.report({"rows": rows.orderBy("id", "v"), "empty": rows.limit(0)}, "Night")
+    assert json.loads(text)["tables"]["rows"][0] == {"id": None, "v": "b"} and "| 2 |  |" in page and page.startswith("# Night\n") and "## 2. empty\n\nnone" in page
+    with pytest.raises(ValueError, match="more than"):
+        sinks.report({"x": spark.range(1001)}, "t")

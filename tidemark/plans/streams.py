@@ -110,11 +110,25 @@ def k7_patched_memory(spark, sf_dir):
     return found.select("id", "outcome", "outcome_price", "outcome_date", "lesson", F.size(F.coalesce("validations", F.array().cast("array<bigint>"))).cast("bigint").alias("checks"))
 
 
-QUERIES = {f.__name__: f for f in (z5_staleness, z6_latest_events, z8_silences, z10_session_anchors, s4_latest_bars, s16_paged_orders, k7_patched_memory)}
+def z11_change_feed(spark, sf_dir):
+    """What a day's work changed in a table of orders: inserted, updated and deleted rows, read from the partitions that differ."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    table = tables.VersionedTable(spark, st.shared_folder(spark, "feed"), "o_orderkey bigint, o_orderstatus string, o_totalprice double", ["o_orderkey"], 16)
+    table.upsert(o.filter("o_orderkey % 3 < 2"))
+    before = table.version().n
+    table.upsert(o.filter("o_orderkey % 3 > 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(F.col("o_orderstatus"))))
+    table.delete(o.filter("o_orderkey % 9 = 0").select("o_orderkey"))
+    return table.changes(before)
+
+
+QUERIES = {f.__name__: f for f in (z11_change_feed, z5_staleness, z6_latest_events, z8_silences, z10_session_anchors, s4_latest_bars, s16_paged_orders, k7_patched_memory)}
 
 _LAST = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 ORACLE_SQL = {
     "z5_staleness": f"WITH e AS (SELECT event_type, max(ts) AS last FROM events GROUP BY 1), x AS (SELECT event_type, (epoch_us((SELECT max(last) FROM e)) - epoch_us(last)) / 3.6e9 AS hours FROM e) SELECT event_type, round(hours, 6) AS hours, hours > CASE event_type {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in STALE.items())} ELSE 6 END AS stale FROM x",
+    "z11_change_feed": """
+SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'delete' WHEN o_orderkey % 3 = 2 THEN 'insert' ELSE 'update' END AS change, o_orderkey, CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
+FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 3 = 2 OR (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0)""",
     "z6_latest_events": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
     "z8_silences": f"WITH x AS (SELECT event_type, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) SELECT event_type, ts AS last_seen, ts + INTERVAL 30 MINUTE AS silent_at FROM x WHERE ts + INTERVAL 30 MINUTE < date_trunc('millisecond', {_LAST}) AND (nxt IS NULL OR nxt > ts + INTERVAL 30 MINUTE)",
     "z10_session_anchors": f"WITH x AS (SELECT event_type, CAST(ts AS DATE) AS day, arg_min(value, (ts, event_id)) AS anchor, arg_max(value, (ts, event_id)) AS last, min(value) AS least FROM events WHERE value IS NOT NULL GROUP BY 1, 2) SELECT event_type, day, round(anchor, 6) AS anchor, round(last, 6) AS last, round(least, 6) AS least, round(CASE WHEN anchor > 0 THEN greatest(0, 1 - least / anchor) ELSE 0 END, 6) AS loss FROM x WHERE day + INTERVAL 1 DAY <= {_LAST}",
