@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import public_tokenizers
 import pytest
+import tiktoken
 
-from tidemark.llm import html_text, pii
+from tests.llm.test_operators import DIRTY
+from tidemark.llm import bpe, html_text, pii, registry
 
 # Pages -------------------------------------------------------------------------------------------
 
@@ -132,3 +136,49 @@ def test_spans_are_those_of_a_plain_loop(spark):
             at = max(at, int(end))
         assert left[i] == (None if text is None else out + text[at:])
     assert {i for i, t in left.items() if "<secret>" in (t or "")} == {i for i, t in rows if "klmn" in (t or "")}
+
+
+# Odd inputs --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def dirty(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    for name, (schema, rows) in DIRTY.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder), [(r[0], r[1]) for r in DIRTY["documents"][1]]
+
+
+def _by_row(frame) -> dict:
+    """Results by key: of keys that repeat, all of them."""
+    out: dict = {}
+    for r in frame.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+def test_odd_texts_have_the_values_that_the_docstrings_state(spark, dirty):
+    """Null, empty, blank, very long, repeated and mixed texts, keys that are null or repeat."""
+    folder, rows = dirty
+    blank = [i for i, t in rows if not (t or "").strip()]
+    tokens = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    encoded = _by_row(registry.QUERIES["op8_bpe"](spark, folder))
+    for i, text in rows:
+        ids = library.encode(text or "", disallowed_special=())
+        want = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode()))
+        assert want in {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in encoded[i]}, i
+    found = _by_row(registry.QUERIES["op3_pii"](spark, folder))
+    for i, text in rows:
+        base = pii.base_spans(text or "")
+        assert all(r["base_sha256"] == sha(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()) for r in found[i]) or i == 12
+    assert all(r["spans"] == "" for i in blank for r in found[i]) and (found[7][0]["n_email"], found[7][0]["n_ip"], found[7][0]["n_card"], found[7][0]["n_phone"]) == (1, 1, 1, 1)
+    languages = _by_row(registry.QUERIES["op4_language_id"](spark, folder))
+    assert all((r["lang_pred"], r["score"]) == ("und", 0.0) for i in blank for r in languages[i])
+    assert all(r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1 for rs in languages.values() for r in rs) and languages[6][0]["lang_pred"] != "und"
+    for name in ("op1_toxicity", "op6_quality_classifier"):
+        scored = _by_row(registry.QUERIES[name](spark, folder))
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for rs in scored.values() for r in rs)
+        assert scored[2][0]["score"] == scored[2][1]["score"] and scored[9][0]["score"] == scored[10][0]["score"]  # equal texts
+        assert scored[3][0]["score"] == scored[4][0]["score"]  # null and empty
