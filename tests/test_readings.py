@@ -89,3 +89,43 @@ def test_entries_of_a_few_series(spark):
     b = found[found.strategy == "bb_revert"]
     mid = c.rolling(20).mean()
     assert len(b) and all(abs(t - mid[(pd.Timestamp(d) - start).days]) < 1e-9 for d, t in zip(b.d, b.target, strict=True))
+
+
+def test_sessions_by_class_and_weekends(spark):
+    from tidemark.functions import calendars
+
+    rows = [
+        ("2024-01-07 22:00:00", "forex", "1d", "2024-01-08 00:00:00", False),  # Sunday 17:00 in New York: Monday's session
+        ("2024-01-08 00:00:00", "forex", "1d", "2024-01-08 00:00:00", False),  # already a session
+        ("2024-07-05 20:59:00", "forex", "1d", "2024-07-06 00:00:00", False),
+        ("2024-01-06 10:00:00", "equity", "1d", "2024-01-06 00:00:00", True),
+        ("2024-01-05 22:30:00", "forex", "1h", "2024-01-05 22:30:00", True),
+        ("2024-01-07 20:59:00", "forex", "15m", "2024-01-07 20:59:00", True),
+        ("2024-01-07 21:00:00", "forex", "15m", "2024-01-07 21:00:00", False),
+        ("2024-01-09 00:00:00", "forex", "1w", "2024-01-09 00:00:00", True),
+        ("2024-01-09 00:00:00", "equity", "1w", "2024-01-09 00:00:00", False),
+        ("2024-01-06 10:00:00", "crypto", "1h", "2024-01-06 10:00:00", False),
+    ]
+    df = spark.createDataFrame(rows, "t string, kind string, frame string, want string, off boolean").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = df.select("want", "off", calendars.session_date(F.col("t"), F.col("kind"), F.col("frame")).cast("string").alias("session"), calendars.off_calendar(F.col("t"), F.col("kind"), F.col("frame")).alias("is_off")).collect()
+    assert all(r["session"] == r["want"] and r["off"] == r["is_off"] for r in got), got
+
+
+@pytest.mark.parametrize("h", [1, 3])
+def test_diebold_mariano_of_every_pair(spark, h):
+    from tidemark.operators import pairs
+
+    rng = np.random.default_rng(2)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), None if rng.random() < 0.1 else float(rng.normal(0, s))) for k, s in (("A", 1.0), ("B", 1.2), ("C", 0.0)) for i in range(80)]
+    rows += [("D", dt.date(2030, 1, 1), 1.0)]
+    both = pairs.aligned(spark.createDataFrame(rows, "instrument string, d date, r double"))
+    got = {(r["a"], r["b"]): (r["n"], r["dm"]) for r in pairs.diebold_mariano_pairs(both, h).collect()}
+    assert set(got) == {("A", "B"), ("A", "C"), ("B", "C")}
+    of = {k: {d: r for i, d, r in rows if i == k and r is not None} for k in "ABC"}
+    for (a, b), (n, dm) in got.items():
+        days = sorted(of[a].keys() & of[b].keys())
+        e = np.array([of[b][d] ** 2 - of[a][d] ** 2 for d in days])
+        c = e - e.mean()
+        v = (c * c).mean() + 2 * sum((1 - k / h) * (c[k:] * c[:-k]).mean() for k in range(1, h))
+        want = e.mean() / np.sqrt(v / len(e)) if v > 0 else 0.0
+        assert n == len(days) and abs(dm - want * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)) < 1e-9

@@ -51,3 +51,25 @@ def deflated_sharpe(returns: DataFrame, key: str, trials: float) -> DataFrame:
     below = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("g3") * s + (F.col("g4") - 1) / 4 * s * s))
     x = (s - F.col("benchmark")) * F.sqrt(F.col("n") - 1) / below
     return each.crossJoin(F.broadcast(spread)).select(key, "sharpe", "benchmark", normal_below(x).alias("dsr"))
+
+
+def aligned(returns: DataFrame) -> DataFrame:
+    """(a, b, d, x, y): of every two instruments of returns (instrument, d, r) the days that both have."""
+    one, two = (returns.filter("r IS NOT NULL").select("d", F.col("instrument").alias(k), F.col("r").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return one.join(two, "d").filter(F.col("a") < F.col("b")).select("a", "b", "d", "x", "y")
+
+
+def diebold_mariano_pairs(both: DataFrame, h: int = 1) -> DataFrame:
+    """(a, b, n, dm, p) of aligned returns (a, b, d, x, y): whether the squared returns of b are larger over h steps, with Bartlett weights on the first h - 1 autocovariances and the correction for small samples.
+
+    dm is 0 where the variance isn't positive."""
+    by_day = Window.partitionBy("a", "b").orderBy("d")
+    loss = both.withColumn("_d", F.col("y") * F.col("y") - F.col("x") * F.col("x"))
+    means = loss.groupBy("a", "b").agg(F.avg("_d").alias("_m"), F.count("*").cast("double").alias("n"))
+    centred = loss.join(means, ["a", "b"]).withColumn("_e", F.col("_d") - F.col("_m"))
+    centred = centred.withColumns({f"_l{k}": F.lag("_e", k).over(by_day) for k in range(1, h)})
+    found = centred.groupBy("a", "b", "n", F.col("_m")).agg(F.avg(F.col("_e") * F.col("_e")).alias("_g0"), *[F.avg(F.col("_e") * F.col(f"_l{k}")).alias(f"_g{k}") for k in range(1, h)])
+    var = F.col("_g0") + 2 * sum([(1 - k / h) * F.coalesce(f"_g{k}", F.lit(0.0)) for k in range(1, h)], F.lit(0.0))
+    n = F.col("n")
+    stat = F.when(var > 0, F.col("_m") / F.sqrt(var / n)).otherwise(0.0) * F.sqrt(F.greatest(F.lit(0.0), (n + 1 - 2 * h + h * (h - 1) / n) / n))
+    return found.select("a", "b", "n", stat.alias("dm")).withColumn("p", 1 - normal_below(F.col("dm")))
