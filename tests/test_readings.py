@@ -95,7 +95,7 @@ def test_sessions_by_class_and_weekends(spark):
     from tidemark.functions import calendars
 
     rows = [
-        ("2024-01-07 22:00:00", "forex", "1d", "2024-01-08 00:00:00", False),  # Sunday 17:00 in New York: Monday's session
+        ("2024-01-07 22:00:00", "forex", "1d", "2024-01-08 00:00:00", True),  # Sunday 17:00 in New York: Monday's session, whose own date is no weekend
         ("2024-01-08 00:00:00", "forex", "1d", "2024-01-08 00:00:00", False),  # already a session
         ("2024-07-05 20:59:00", "forex", "1d", "2024-07-06 00:00:00", False),
         ("2024-01-06 10:00:00", "equity", "1d", "2024-01-06 00:00:00", True),
