@@ -61,7 +61,8 @@ def w15_hmm_regime(spark, sf_dir):
     """Hidden regimes of the last 756 bars of each instrument; rule-based ones, at four fifths of their confidence, where there are too few bars."""
     rule = indicators.QUERIES["w13_rule_regime"](spark, sf_dir)
     parts = F.split("regime", "/")
-    return regimes.hidden_regimes(day_bars(spark, sf_dir), rule.select("instrument", "d", parts[0].alias("trend"), parts[1].alias("vol"), "confidence"), rounds=40)
+    found = regimes.hidden_regimes(day_bars(spark, sf_dir), rule.select("instrument", "d", parts[0].alias("trend"), parts[1].alias("vol"), "confidence"), rounds=40)
+    return found.withColumn("confidence", F.round("confidence", 4))
 
 
 # Concentration -----------------------------------------------------------------------------------

@@ -108,7 +108,7 @@ def _dataset(spark, sf_dir):
     side = F.signum("mom").cast("int")
     rows = f.filter("mom IS NOT NULL").withColumn("side", side).select("instrument", "d", "until", "side", F.when(F.col("side") != 0, (F.col("label") == 1) == (F.col("side") == 1)).cast("int").alias("label"), *FEATURES)
     path = shared_folder(spark, "dataset")
-    rows.write.parquet(path)
+    rows.repartition("instrument").sortWithinPartitions("instrument", "d").write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
