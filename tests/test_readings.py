@@ -129,3 +129,14 @@ def test_diebold_mariano_of_every_pair(spark, h):
         v = (c * c).mean() + 2 * sum((1 - k / h) * (c[k:] * c[:-k]).mean() for k in range(1, h))
         want = e.mean() / np.sqrt(v / len(e)) if v > 0 else 0.0
         assert n == len(days) and abs(dm - want * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)) < 1e-9
+
+
+def test_printed_numbers_round_the_exact_value(spark):
+    """Halves that a double holds exactly go to the even digit, as in C; those that it doesn't go by its value, not by its shortest digits."""
+    x = [100.125, 100.375, 0.00005, 1.00005, 10000.125, 12345678.375, 0.03125, None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").select("i", desk.price_text(F.col("v"), F.lit("Stock")).alias("p"), desk.price_text(F.col("v"), F.lit("Forex")).alias("f"), desk.percent_text(F.col("v")).alias("c"), desk.volume_text(F.col("v") * 2000).alias("n"))
+    got = {r["i"]: r for r in df.collect()}
+    assert [got[i]["p"] for i in range(7)] == ["100.12", "100.38", f"{0.00005:.4f}", f"{1.00005:.4f}", "10,000.12", "12,345,678.38", "0.0312"]
+    assert [got[i]["f"] for i in range(7)] == [f"{v:.5f}" for v in x[:7]] and [got[i]["c"] for i in range(7)] == [f"+{v:.2f}%" for v in x[:7]]
+    assert [got[i]["n"] for i in (0, 1, 2, 3, 6, 7)] == ["200.2K", "200.8K", "0", "2.0K", "63", None]
+    assert got[7]["p"] is got[7]["f"] is got[7]["c"] is None and got[8]["p"] == "nan"

@@ -1,10 +1,11 @@
 """Columns of the trading desk: readings of symbols and verdicts, levels and sizes, labels of markets and of exits.
 
-All are built-in expressions. A null input makes the result null unless a docstring says otherwise; whole-number percentages round halves up.
+All are built-in expressions but for printed numbers (``printed``). A null input makes the result null unless a docstring says otherwise; whole-number percentages round halves up.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -328,16 +329,28 @@ def expected_best(sigma: Column, trials: Column) -> Column:
     return F.when((trials > 1) & (sigma > 0), sigma * ((1 - g) * inverse_normal(1 - 1 / trials) + g * inverse_normal(1 - 1 / (trials * e)))).otherwise(0.0)
 
 
+def printed(form: Column, x: Column) -> Column:
+    """x in a Python format, rounded as C does: by the exact value of the double, halves to even. (format_string rounds its shortest digits, halves up.)"""
+
+    @F.arrow_udf("string")
+    def of(forms: pa.Array, values: pa.Array) -> pa.Array:
+        return pa.array([None if f is None or v is None else f.format(v) for f, v in zip(forms.to_pylist(), values.to_pylist(), strict=True)], pa.string())
+
+    return of(form, x.cast("double"))
+
+
 def price_text(x: Column, kind: Column) -> Column:
-    return F.when(kind == "Forex", F.format_string("%.5f", x)).when(x >= 10000, F.format_number(x, 2)).when(x >= 100, F.format_string("%.2f", x)).otherwise(F.format_string("%.4f", x))
+    return printed(F.when(kind == "Forex", "{:.5f}").when(x >= 10000, "{:,.2f}").when(x >= 100, "{:.2f}").otherwise("{:.4f}"), x)
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.2f%%", x))
+    return F.concat(F.when(x >= 0, "+").otherwise(""), printed(F.lit("{:.2f}%"), x))
 
 
 def volume_text(x: Column) -> Column:
-    return F.when(x >= 1e9, F.format_string("%.1fB", x / 1e9)).when(x >= 1e6, F.format_string("%.1fM", x / 1e6)).when(x >= 1e3, F.format_string("%.1fK", x / 1e3)).otherwise(whole(x).cast("string"))
+    form = F.when(x >= 1e9, "{:.1f}B").when(x >= 1e6, "{:.1f}M").when(x >= 1e3, "{:.1f}K")
+    scaled = F.when(x >= 1e9, x / 1e9).when(x >= 1e6, x / 1e6).otherwise(x / 1e3)
+    return F.coalesce(printed(form, scaled), whole(x).cast("string"))
 
 
 def json_in(text: Column) -> Column:
