@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 import duckdb
@@ -202,3 +203,26 @@ def test_deflated_sharpe():
     assert validation.expected_max_sharpe(1, 1.0) == 0 and validation.expected_max_sharpe(1000, 1.0) > validation.expected_max_sharpe(10, 1.0) > 1
     assert math.isclose(validation.deflated_sharpe(0.1, 250, 0, 3, 1, 0), 0.9424, abs_tol=2e-3)
     assert validation.deflated_sharpe(0.1, 250, 0, 3, 100, 0.01) < 0.1
+
+
+def _against_sql(spark, folder, name: str, **tables) -> tuple:
+    """(names, rows) of a query and of its SQL over small tables."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return normalised(registry.QUERIES[name](spark, str(folder)).toPandas()), normalised(con.execute(registry.ORACLE_SQL[name]).df())
+
+
+def test_breach_days_round_as_their_sql(spark, tmp_path):
+    """Results of half a cent, which the product of value and hundred decides, at the limits of a day and of a fall."""
+    results = [(c / 100, d, c / 100 * (d - 0.05)) for c in range(100_010, 140_000, 10) for d in (0.0, 0.01, 0.02, 0.03)]
+    by_product = lambda v: math.floor(-v * 100 + 0.5)
+    ties = [(price, d, by_product(v)) for price, d, v in results if int((Decimal(repr(-v)) * 100).quantize(Decimal(1), ROUND_HALF_UP)) > by_product(v)][:60]
+    # The second day takes the fall to 8000 exactly, which a cent more would exceed.
+    rows = [(2 * s + k, s, 1, p, d, f"1995-01-0{k + 1}") for s, (price, disc, cents) in enumerate(ties) for k, (p, d) in enumerate([(price, disc), ((800_000 - cents) / 5, 0.0)])]
+    # Fills of one day in another order than that of their keys.
+    rows += [(10_000 + i, 1000, 1, 25.25 + i, d, "1995-01-03") for i, d in enumerate((0.03, 0.07, 0.1))][::-1]
+    li = spark.createDataFrame(rows, "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_discount double, day string").select("*", F.col("day").cast("timestamp_ntz").alias("l_shipdate")).drop("day").coalesce(1)
+    got, want = _against_sql(spark, tmp_path, "a35_breach_days", lineitem=li)
+    assert len(ties) > 20 and len(got[1]) == len(ties) + 1 and got == want

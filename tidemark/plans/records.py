@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing, scores
@@ -33,13 +33,22 @@ def a28_stress(spark, sf_dir):
     return day.agg(F.round(F.min("x"), 2).alias("worst"), F.round(F.percentile("x", F.lit(0.05)), 2).alias("p05"), F.round(F.percentile("x", F.lit(0.5)), 2).alias("median"))
 
 
+def _scaled_round(x: Column, digits: int) -> Column:
+    """x rounded as its SQL does it: the product of x and the power of ten, halves away from zero. (round alone goes by the shortest digits of x: 1.005 becomes 1.01 there, 1.0 here.)"""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def a35_breach_days(spark, sf_dir):
-    """Days on which a supplier's running result falls more than a limit below its peak, and the best day's share of gains."""
-    day = _li(spark, sf_dir).groupBy("l_suppkey", F.to_date("l_shipdate").alias("d")).agg(F.round(F.sum("pnl"), 2).alias("x"))
+    """Days on which a supplier's running result falls more than a limit below its peak, and the best day's share of gains.
+
+    A day's fills are added in the order of their keys: in another order the last bit may differ, and so a sum that ends in half a cent."""
+    fills = _li(spark, sf_dir).filter("pnl IS NOT NULL").groupBy("l_suppkey", F.to_date("l_shipdate").alias("d"))
+    day = fills.agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "pnl"))).alias("f"))
+    day = day.select("l_suppkey", "d", _scaled_round(F.aggregate("f", F.lit(0.0), lambda s, f: s + f["pnl"]), 2).alias("x"))
     run = Window.partitionBy("l_suppkey").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    e = day.withColumn("e", F.round(F.sum("x").over(run), 2)).withColumn("dd", F.greatest(F.max("e").over(run), F.lit(0.0)) - F.col("e"))
-    g = e.groupBy("l_suppkey").agg(F.count_if(F.col("x") < -3000).alias("daily"), F.count_if(F.col("dd") > 8000).alias("trailing"), F.try_divide(F.max("x"), F.sum(F.greatest("x", F.lit(0.0)))).alias("best_share"))
-    return rounded(g, ["l_suppkey"])
+    e = day.withColumn("e", _scaled_round(F.sum("x").over(run), 2)).withColumn("dd", F.greatest(F.max("e").over(run), F.lit(0.0)) - F.col("e"))
+    g = e.groupBy("l_suppkey").agg(F.count_if(F.col("x") < -3000).alias("daily"), F.count_if(F.col("dd") > 8000).alias("trailing"), _scaled_round(F.try_divide(F.max("x"), F.sum(F.greatest("x", F.lit(0.0)))), 6).alias("best_share"))
+    return g
 
 
 def a43_newest_gates(spark, sf_dir):
