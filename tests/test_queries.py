@@ -226,3 +226,16 @@ def test_breach_days_round_as_their_sql(spark, tmp_path):
     li = spark.createDataFrame(rows, "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_discount double, day string").select("*", F.col("day").cast("timestamp_ntz").alias("l_shipdate")).drop("day").coalesce(1)
     got, want = _against_sql(spark, tmp_path, "a35_breach_days", lineitem=li)
     assert len(ties) > 20 and len(got[1]) == len(ties) + 1 and got == want
+
+
+def test_links_are_the_nearest_prices(spark, tmp_path):
+    """Ties, equal prices, the ends of the tolerance, 0, and many alike: one row a pending order, of all filled ones the nearest."""
+    rng = np.random.default_rng(3)
+    prices = [0.0, 100.0, 98.0, 102.0, 97.99, 1.0, 0.98, 1.02, -5.0, *np.exp(rng.uniform(0, 3, 300)).round(2), *np.round(500 + rng.integers(0, 5, 200), 2)]
+    rows = [(i, ("A", "B", None)[int(rng.integers(0, 20)) // 9], "FFP"[int(rng.integers(0, 3))], float(p)) for i, p in enumerate(prices)]
+    rows += [(9000, "C", "P", 100.0), (9001, "C", "F", 98.0), (9002, "D", "P", 50.0), (9003, "D", "F", 51.01), (9004, "E", "P", 0.0), (9005, "E", "F", 0.0), (9006, "G", "P", 10.0), (9008, "G", "F", 9.9), (9007, "G", "F", 10.1)]
+    # A match of 2 per cent less may lie two cells of 2 per cent below.
+    rows += [(9100 + 2 * k + s, f"H{k}", "PF"[s], (1, 0.9801)[s] * (np.exp(0.02 * (k + 1)) + 1e-9)) for k in range(9) for s in (0, 1)]
+    orders = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows], "o_orderkey bigint, o_orderpriority string, o_orderstatus string, o_totalprice double").repartition(3)
+    got, want = _against_sql(spark, tmp_path, "j15_signature_link", orders=orders)
+    assert len(got[1]) > 100 and got == want

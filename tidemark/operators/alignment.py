@@ -6,6 +6,8 @@ has one stretch of a key's time, not the whole key: what a stretch ends with is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
@@ -82,6 +84,29 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, values: list
     return both.withColumn("_best", F.when(gap <= tolerance_days, best)).select(*left.columns, *[F.col(f"_best.{v}").alias(v) for v in values])
 
 
+def nearest_level(left: DataFrame, right: DataFrame, key: str, level: str, name: str, share: float) -> DataFrame:
+    """Rows of left with the name of the row of right of their key whose level is nearest, the least name of equal ones, and their gap. Rows
+    without one within share of their own level are left out, as are negative and null levels.
+
+    Levels lie in cells of their logarithms, so wide that a match is in the same cell or the next one. Within a cell the nearest level stands
+    next to the row in order; the neighbouring cells give their ends, by a small table. Nothing is paired.
+    """
+    width = -2 * math.log1p(-share)
+    # A level of 0 has no logarithm and a cell of its own.
+    cell = F.coalesce(F.floor(F.log(level) / width), F.lit(-(1 << 40)))
+    known = lambda df: df.filter(F.col(key).isNotNull() & (F.col(level) >= 0)).withColumn("_cell", cell)
+    levels = known(right.groupBy(key, level).agg(F.min(name).alias("_name"))).select(key, "_cell", level, F.struct(F.col(level).alias("x"), F.col("_name").alias("name")).alias("_v"))
+    ends = levels.groupBy(key, "_cell").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    both = known(left).withColumn("_side", F.lit(1)).unionByName(levels.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = lambda x: F.last("_v", ignorenulls=True).over(Window.partitionBy(key, "_cell").orderBy(x, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    at = both.withColumn("_below", w(F.col(level))).withColumn("_above", w(F.col(level).desc())).filter("_side = 1")
+    at = at.join(ends.select(key, (F.col("_cell") + 1).alias("_cell"), "_hi"), [key, "_cell"], "left").join(ends.select(key, (F.col("_cell") - 1).alias("_cell"), "_lo"), [key, "_cell"], "left")
+    gap = lambda v: F.abs(v["x"] - F.col(level))
+    options = [F.when(gap(v) <= share * F.col(level), F.struct(gap(v).alias("gap"), v["name"].alias("name"))) for v in (F.coalesce("_below", "_hi"), F.coalesce("_above", "_lo"))]
+    found = at.withColumn("_best", F.least(*options)).filter(F.col("_best").isNotNull())
+    return found.select(*left.columns, F.col("_best.name").alias(name), F.col("_best.gap").alias("gap"))
+
+
 def on_calendar(price: Column) -> Column:
     """Monday to Friday."""
     return F.weekday(price) < 5

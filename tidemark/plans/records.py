@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing, scores
+from tidemark.operators import alignment
 from tidemark.plans.indicators import rounded
 
 
@@ -70,13 +71,12 @@ def a48_compounded(spark, sf_dir):
 
 
 def j15_signature_link(spark, sf_dir):
-    """Pending orders linked to the filled one of their priority whose price is nearest within 2 per cent: same key and a price grid
-    of that width, so that only neighbouring cells meet."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_totalprice", F.floor(F.log("o_totalprice") / 0.02).alias("cell"))
-    s = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), "o_orderpriority", F.col("o_totalprice").alias("p"), F.explode(F.sequence(F.floor(F.log("o_totalprice") / 0.02) - 1, F.floor(F.log("o_totalprice") / 0.02) + 1)).alias("cell"))
-    near = o.join(s, ["o_orderpriority", "cell"]).filter(F.abs(F.col("p") - F.col("o_totalprice")) <= 0.02 * F.col("o_totalprice"))
-    best = near.groupBy("o_orderkey").agg(F.min(F.struct(F.abs(F.col("p") - F.col("o_totalprice")).alias("gap"), "k")).alias("b"))
-    return best.select("o_orderkey", F.col("b.k").alias("linked"))
+    """Pending orders linked to the filled one of their priority whose price is nearest within 2 per cent, the least key of equal ones."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    asked = o.filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    filled = o.filter("o_orderstatus = 'F'").select("o_orderpriority", "o_totalprice", F.col("o_orderkey").alias("linked"))
+    near = alignment.nearest_level(asked, filled, "o_orderpriority", "o_totalprice", "linked", 0.02)
+    return near.groupBy("o_orderkey").agg(F.min(F.struct("gap", "linked")).alias("b")).select("o_orderkey", "b.linked")
 
 
 def j17_dimension(spark, sf_dir):
