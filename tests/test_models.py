@@ -342,3 +342,15 @@ def test_permits_are_those_of_a_loop(spark, limits):
         assert r["reason"] == reason and r["permitted"] == (reason is None) and abs(r["notional"] - notional) < 1e-6 and r["caps"] == caps, (r, want[r["id"]])
     assert len({v[0] for v in want.values()}) > 8
     assert permits.permits(spark.createDataFrame([], CANDIDATE), spark.createDataFrame(accounts, ACCOUNT), limits).count() == 0
+
+
+def test_candidates_don_t_carry_the_positions_of_their_moment(spark):
+    """Thousands of candidates and positions of one moment: each is judged, by a fold that keeps what it permits alone."""
+    n, limits = 3000, permits.Limits(slots=3005, buckets={"swing": 4000}, gross=1e9, correlated=1e9, book_risk=1e9)
+    held = [{"instrument": "AB"[i % 2], "sleeve": None, "bucket": "swing", "notional": 1.0, "risk": 1.0} for i in range(n)]
+    rows = [(1, i, float(n - i), "A", 1, None, "swing", 10.0, 1.0, None, 1e-9, 0.5, 1.5, False, None, None, None) for i in range(n)]
+    got = permits.permits(spark.createDataFrame(rows, CANDIDATE), spark.createDataFrame([(1, 1e5, 0.0, 0.0, None, held)], ACCOUNT), limits)
+    assert [r["id"] for r in got.filter("permitted").orderBy("id").collect()] == [0, 1, 2, 3, 4] and got.filter("reason = 'all_slots_full'").count() == n - 5
+    # The grouped rows hold no array of positions.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "positions" not in next(line for line in plan.splitlines() if "collect_list" in line)

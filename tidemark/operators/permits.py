@@ -1,7 +1,8 @@
 """Entry permits: the candidates of a moment, best first, under caps that those before them use up.
 
 What doesn't depend on other candidates (vetoes of the account, of news, of stops and edges; the size before caps) is a column of each candidate. The rest is one fold over the array of a
-moment's candidates in SQL functions: it carries the open positions and gives each candidate its permit. Moments are independent, so the work spreads over them.
+moment's candidates in SQL functions: it carries the positions that were permitted, at most as many as there are slots, beside sums of those open before; then each candidate is judged by what those
+ahead of it added. So the work of a moment is linear in its candidates. Moments are independent, so the work spreads over them.
 
 Checks in order, the first that fails is the reason: flat signal; daily loss; drawdown at the breaker; news; a full sleeve, or a full bucket of those without sleeve; all slots; stop; edge;
 a ramp, scalar or regime of 0; the book's open risk; least size. Sizes are cut by: risk of a trade, the book's risk left, volatility target, gross exposure left, exposure left of positions that
@@ -83,18 +84,45 @@ def _bound(value: Column, name: str, then) -> Column:
     return F.get(F.transform(F.array(F.struct(value.alias(name))), lambda s: then(s[name])), F.lit(0))
 
 
-def _step(state: Column, c: Column, limits: Limits) -> Column:
-    held, equity = state["held"], c["equity"]
+_SUMS = "array<struct<k:string,v:double>>"
+_ADDED = "array<struct<instrument:string,sleeve:string,bucket:string,notional:double,risk:double,k:int>>"
+
+
+def _add(parts: Column, start: Column | None = None) -> Column:
+    return F.aggregate(parts, F.lit(0.0) if start is None else start, lambda s, v: s + v)
+
+
+def _base(positions: Column) -> Column:
+    """What the fold has to know of the positions that were open before: their number, counts, and sums, whose size is that of their different names."""
+
+    def by(name: str, kept: Column, of) -> Column:
+        return F.transform(F.array_distinct(F.transform(kept, lambda h: h[name])), lambda k: F.struct(k.alias("k"), of(F.filter(kept, lambda h: h[name].eqNullSafe(k))).cast("double").alias("v"))).cast(_SUMS)
+
+    total = lambda name: _add(F.transform(positions, lambda h: F.abs(h[name])))
+    return F.struct(
+        F.size(positions).alias("n"),
+        total("risk").alias("risk"),
+        total("notional").alias("notional"),
+        by("sleeve", positions, F.size).alias("sleeves"),
+        by("bucket", F.filter(positions, lambda h: h["sleeve"] == ""), F.size).alias("buckets"),
+        by("instrument", positions, lambda hs: _add(F.transform(hs, lambda h: F.abs(h["notional"])))).alias("instruments"),
+    )
+
+
+def _permit(base: Column, added: Column, c: Column, limits: Limits) -> Column:
+    """The permit of a candidate, given the positions from before and those that candidates ahead of it have added."""
+    equity = c["equity"]
     limit_of = F.element_at(F.create_map(*[F.lit(v) for kv in limits.sleeves.items() for v in kv]), c["sleeve"]) if limits.sleeves else F.lit(None).cast("int")
     bucket_limit = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in limits.buckets.items() for v in kv]), c["bucket"]), F.lit(limits.other_bucket))
-    in_sleeve = F.size(F.filter(held, lambda h: h["sleeve"] == c["sleeve"]))
-    in_bucket = F.size(F.filter(held, lambda h: (h["sleeve"] == "") & (h["bucket"] == c["bucket"])))
+    count = lambda name, k: F.coalesce(F.get(F.filter(base[name], lambda e: e["k"] == k), 0)["v"], F.lit(0.0))
+    in_sleeve = count("sleeves", c["sleeve"]) + F.size(F.filter(added, lambda h: h["sleeve"] == c["sleeve"]))
+    in_bucket = count("buckets", c["bucket"]) + F.size(F.filter(added, lambda h: (h["sleeve"] == "") & (h["bucket"] == c["bucket"])))
     full = F.when(limit_of.isNotNull(), F.when(in_sleeve >= limit_of, "sleeve_full")).when(in_bucket >= bucket_limit, "bucket_full")
-    slots = F.coalesce(full, F.when(F.size(held) >= limits.slots, "all_slots_full"))
-    add = lambda part: F.aggregate(part, F.lit(0.0), lambda s, h: s + h)
-    total = lambda name: add(F.transform(held, lambda h: F.abs(h[name])))
-    alike = lambda h: F.when(h["instrument"] == c["instrument"], F.lit(1.0)).otherwise(F.abs(F.coalesce(F.element_at(c["corr"], h["instrument"]), F.lit(0.0))))
-    near = add(F.transform(F.filter(held, lambda h: alike(h) >= limits.correlation), lambda h: F.abs(h["notional"])))
+    slots = F.coalesce(full, F.when(base["n"] + F.size(added) >= limits.slots, "all_slots_full"))
+    total = lambda name: _add(F.transform(added, lambda h: F.abs(h[name])), base[name])
+    alike = lambda name: F.when(name == c["instrument"], F.lit(1.0)).otherwise(F.abs(F.coalesce(F.element_at(c["corr"], name), F.lit(0.0)))) >= limits.correlation
+    before = _add(F.transform(F.filter(base["instruments"], lambda e: alike(e["k"])), lambda e: e["v"]))
+    near = _add(F.transform(F.filter(added, lambda h: alike(h["instrument"])), lambda h: F.abs(h["notional"])), before)
     room = F.struct(
         slots.alias("slots"),
         (limits.book_risk - total("risk") / equity).alias("risk"),
@@ -113,25 +141,36 @@ def _step(state: Column, c: Column, limits: Limits) -> Column:
         named = F.filter(F.array(F.when(c["over"], "risk_of_trade"), F.when(c["risk"] > r["risk"], "book_risk"), *[F.when(cap < left, name) for (name, cap), left in zip(sizes, after, strict=False)]), lambda v: v.isNotNull())
         reason = F.coalesce(c["early"], r["slots"], c["late"], F.when(r["risk"] <= 0, "book_risk_full"), F.when(~(after[-1] > limits.least), "below_least"))
         notional = F.when(reason.isNull(), after[-1]).otherwise(0.0)
-        return F.struct(c["id"].alias("id"), c["instrument"].alias("instrument"), c["sleeve"].alias("sleeve"), c["bucket"].alias("bucket"), reason.alias("reason"), notional.alias("notional"), F.coalesce(notional / c["price"], F.lit(0.0)).alias("units"), F.coalesce(notional / c["price"] * c["stop"] / equity, F.lit(0.0)).alias("risk"), F.when(reason.isNull(), F.array_join(named, ",")).otherwise("").alias("caps"))
+        return F.struct(reason.alias("reason"), notional.alias("notional"), F.coalesce(notional / c["price"], F.lit(0.0)).alias("units"), F.coalesce(notional / c["price"] * c["stop"] / equity, F.lit(0.0)).alias("risk"), F.when(reason.isNull(), F.array_join(named, ",")).otherwise("").alias("caps"))
+
+    return _bound(room, "room", judged)
 
-    def taken(p: Column) -> Column:
-        position = F.struct(p["instrument"].alias("instrument"), p["sleeve"].alias("sleeve"), p["bucket"].alias("bucket"), p["notional"].alias("notional"), (p["risk"] * equity).alias("risk"))
-        return F.struct(F.when(p["reason"].isNull(), F.concat(held, F.array(position))).otherwise(held).cast(POSITION).alias("held"), F.concat(state["out"], F.array(p)).cast(_OUT).alias("out"))
 
-    return _bound(room, "room", lambda r: _bound(judged(r), "permit", taken))
+def _step(base: Column, added: Column, c: Column, limits: Limits) -> Column:
+    """added with the position of the candidate, if it is permitted; with all slots taken no candidate is."""
 
+    def taken(p: Column) -> Column:
+        position = F.struct(c["instrument"].alias("instrument"), c["sleeve"].alias("sleeve"), c["bucket"].alias("bucket"), p["notional"].alias("notional"), (p["risk"] * c["equity"]).alias("risk"), c["k"].alias("k"))
+        return F.when(p["reason"].isNull(), F.concat(added, F.array(position))).otherwise(added).cast(_ADDED)
 
-_OUT = "array<struct<id:bigint,instrument:string,sleeve:string,bucket:string,reason:string,notional:double,units:double,risk:double,caps:string>>"
+    closed = c["early"].isNotNull() | (base["n"] + F.size(added) >= limits.slots)
+    return F.when(closed, added).otherwise(_bound(_permit(base, added, c, limits), "permit", taken)).cast(_ADDED)
 
 
 def permits(candidates: DataFrame, accounts: DataFrame, limits: Limits | None = None) -> DataFrame:
     """at, id, instrument, permitted, reason (null if permitted), risk (share of equity), notional, units, caps of each candidate."""
     limits = limits or Limits()
-    known = accounts.select("at", "equity", "drawdown", "daily_loss", "scalar", F.transform(F.coalesce("positions", F.array().cast(POSITION)), lambda h: h.withField("sleeve", F.coalesce(h["sleeve"], F.lit(""))).withField("bucket", F.coalesce(h["bucket"], F.lit("swing")))).alias("positions"))
+    known = accounts.select("at", "equity", "drawdown", "daily_loss", "scalar")
+    filled = F.transform(F.coalesce("positions", F.array().cast(POSITION)), lambda h: h.withField("sleeve", F.coalesce(h["sleeve"], F.lit(""))).withField("bucket", F.coalesce(h["bucket"], F.lit("swing"))))
+    # One row a moment: no candidate carries the positions.
+    bases = accounts.groupBy("at").agg(F.first("positions").alias("positions")).select("at", filled.alias("positions")).select("at", _base(F.col("positions")).alias("base"))
     each = sized(candidates.join(known, "at", "left"), limits)
     row = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("by"), F.col("id").cast("bigint").alias("id"), "instrument", "sleeve", "bucket", F.col("_price").alias("price"), F.col("_stop").alias("stop"), "equity", "risk", "at_vol", "over", "tail", "early", "late", F.coalesce("corr", F.create_map().cast("map<string,double>")).alias("corr"))
-    ranked = each.groupBy("at").agg(F.array_sort(F.collect_list(row), lambda p, q: F.when(p["by"] < q["by"], -1).when(p["by"] > q["by"], 1).when(p["id"] < q["id"], -1).when(p["id"] > q["id"], 1).otherwise(0)).alias("rows"), F.first("positions").alias("positions"))
-    start = F.struct(F.coalesce("positions", F.array()).cast(POSITION).alias("held"), F.array().cast(_OUT).alias("out"))
-    done = ranked.select("at", F.explode(F.aggregate("rows", start, lambda s, c: _step(s, c, limits))["out"]).alias("x"))
-    return done.select("at", "x.id", "x.instrument", F.col("x.reason").isNull().alias("permitted"), "x.reason", "x.risk", "x.notional", "x.units", "x.caps")
+    ranked = each.groupBy("at").agg(F.array_sort(F.collect_list(row), lambda p, q: F.when(p["by"] < q["by"], -1).when(p["by"] > q["by"], 1).when(p["id"] < q["id"], -1).when(p["id"] > q["id"], 1).otherwise(0)).alias("rows"))
+    rows = ranked.join(bases, "at", "left").select("at", F.transform("rows", lambda c, i: c.withField("k", i)).alias("rows"), F.coalesce("base", _base(F.array().cast(POSITION))).alias("base"))
+    fold = rows.withColumn("added", F.aggregate("rows", F.array().cast(_ADDED), lambda s, c: _step(F.col("base"), s, c, limits)))
+    # The fold keeps only what it permits; each candidate is then judged by what was added ahead of it.
+    c = F.col("c")
+    ahead = F.filter("added", lambda h: h["k"] < c["k"])
+    done = fold.select("at", "base", "added", F.explode("rows").alias("c")).select("at", "c", _bound(ahead, "ahead", lambda a: _permit(F.col("base"), a, c, limits)).alias("x"))
+    return done.select("at", "c.id", "c.instrument", F.col("x.reason").isNull().alias("permitted"), "x.reason", "x.risk", "x.notional", "x.units", "x.caps")
