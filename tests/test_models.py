@@ -354,3 +354,27 @@ def test_candidates_don_t_carry_the_positions_of_their_moment(spark):
     # The grouped rows hold no array of positions.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "positions" not in next(line for line in plan.splitlines() if "collect_list" in line)
+
+
+def test_streams_in_blocks_make_the_same_matrix(spark, monkeypatch):
+    """Many streams of few days, copies among them: blocks give the filled matrix, products of days its components, and copies join first; no products by day are shuffled."""
+    rng = np.random.default_rng(2)
+    wide = rng.normal(0, 1, (560, 14)) + np.outer(rng.normal(0, 1, 560), rng.normal(0, 1, 14)) * 0.7
+    wide[300:] = wide[:260]
+    rows = [(i, j, float(wide[i, j])) for i in range(560) for j in range(14)]
+    streams = spark.createDataFrame(rows, "instrument bigint, d int, r double")
+    monkeypatch.setattr(concentration, "OUT_ROWS", 500)
+    matrix = concentration.matrix(streams)
+    got, c = matrix.toPandas(), np.corrcoef(wide)
+    assert len(got) == 560 * 561 // 2 == len(got.drop_duplicates(["a", "b"])) and (got.a <= got.b).all() and np.allclose(got["corr"], c[got.a, got.b], atol=1e-12)
+    assert "sum((_a" not in matrix._jdf.queryExecution().optimizedPlan().toString() and "* _b" not in matrix._jdf.queryExecution().optimizedPlan().toString()
+    values, vectors = np.linalg.eigh(c)
+    monkeypatch.setattr(concentration, "MOST", 300)  # fewer than there are streams
+    rows = concentration.components_of(streams).toPandas()
+    for k in (1, 2, 3):
+        part, want = rows[rows.component == k].sort_values("instrument"), vectors[:, -k] * (1 if vectors[:, -k].sum() >= 0 else -1)
+        assert len(part) == 560 and np.allclose(part.loading, want, atol=1e-7) and np.allclose(part.share, values[-k] / 560)
+    found = concentration.clusters_of(streams, 0.6).toPandas().set_index("instrument")
+    groups = [np.flatnonzero(concentration.linked(1 - np.abs(c[:300, :300]), 0.4) == i) for i in range(300)]
+    want = {i: (g[0], len(g) + sum(g < 260)) for g in groups if len(g) for i in [*g, *(g[g < 260] + 300)]}
+    assert {i: tuple(r) for i, r in zip(found.index, found[["cluster", "size"]].to_numpy(), strict=True)} == want

@@ -1,8 +1,9 @@
 """How concentrated a set of return streams is: correlations of all, principal components, clusters by complete linkage.
 
-Streams are rows (instrument, d, r); a day without a row counts as 0. Spark sums each stream, its squares and the products of every two on their common days, from which the
-correlations over all days follow, so that nothing is filled in. The matrix has a row for each two instruments, whatever the length of history; components
-and clusters take it whole, in one task, for at most ``MOST`` instruments (beyond, an error).
+Streams are rows (instrument, d, r); a day without a row counts as 0. Spark sums each stream by day and lays it out as one row of its days; such rows are dealt out in blocks, and a
+task multiplies its own block with half of the others, a few rows at a time, so that no products by day are shuffled. The matrix has a row for each two instruments, whatever the length of history.
+Components of streams come from the smaller side: where there are more instruments than days, from products of every two days. Clusters join streams that are alike first, and take the matrix
+of the different ones whole, in one task, for at most ``MOST`` of them (beyond, an error), as components of a given matrix do.
 
 Defined results: streams with fewer than ``least`` rows or without variance are left out; null r counts as 0, null instruments are left out; rows of one instrument and day add up.
 Without two streams there are no pairs; one stream is a component and a cluster of its own; an empty table gives none.
@@ -10,29 +11,153 @@ Without two streams there are no pairs; one stream is a component and a cluster
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most instruments whose matrix a task takes (128 MB).
 MOST = 4096
+#: Values of a dense block (128 MB), and rows that a task gives back at once.
+BLOCK_VALUES, OUT_ROWS = 1 << 24, 1 << 18
+#: Parts that sum up products of days; each is a square of the days.
+PARTS = 16
+
+
+def _vectors(streams: DataFrame, least: int) -> DataFrame:
+    """(instrument, t, v, top) of the streams that have at least so many rows and vary: v the sums of their days, top the largest size of one, t how many days there are."""
+    counted = streams.filter("instrument IS NOT NULL").groupBy("instrument", "d").agg(F.sum(F.coalesce(F.col("r").cast("double"), F.lit(0.0))).alias("r"), F.count("*").alias("rows"))
+    # The different days, few rows whatever the number of streams; a null day is one.
+    days = streams.filter("instrument IS NOT NULL").select("d").distinct().select("d", (F.row_number().over(Window.orderBy("d")) - 1).alias("i"))
+    placed = counted.join(days, counted["d"].eqNullSafe(days["d"])).select("instrument", "i", "r", "rows")
+    each = placed.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("v"), F.sum("rows").alias("rows"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n"))
+    each = each.join(F.broadcast(days.agg(F.count("*").alias("t")))).filter((F.col("rows") >= least) & ~((F.col("lo") == F.col("hi")) & ((F.col("lo") == 0) | (F.col("n") == F.col("t")))))
+    return each.select("instrument", "t", "v", F.greatest(F.abs("lo"), F.abs("hi")).alias("top"))
+
+
+def _dense(batch: pa.RecordBatch, days: int) -> np.ndarray:
+    """The streams of a batch, a row each, with mean 0 and length 1."""
+    v = batch.column("v")
+    items, lengths = v.flatten(), np.diff(v.offsets.to_numpy())
+    out = np.zeros((batch.num_rows, days))
+    out[np.repeat(np.arange(batch.num_rows), lengths), items.field("i").to_numpy(zero_copy_only=False)] = items.field("r").to_numpy(zero_copy_only=False)
+    out -= out.mean(axis=1, keepdims=True)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            # A copy, as offsets of a slice begin elsewhere.
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) if not c.offset else c.take(pa.array(np.arange(len(c)))) for c in batch.slice(lo, rows).columns], schema=batch.schema)
+
+
+def _correlated(vectors: DataFrame) -> DataFrame:
+    size = vectors.agg(F.count("*").alias("n"), F.max("t").alias("t")).first()
+    n, days = size["n"], size["t"] or 0
+    blocks = max(1 if n <= 512 else 8, -(-n * days // BLOCK_VALUES))
+    # Every two blocks meet once: each with those at most half a circle ahead of it.
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks // 2)))).withColumn("g", F.pmod(F.col("block") - F.col("k"), F.lit(blocks)))
+    dealt = dealt.filter((2 * F.col("k") != blocks) | (F.col("k") == 0) | (F.col("g") < blocks // 2))
+    kind = vectors.schema["instrument"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, names, rows, own = None, None, None, []
+        for batch in _few(batches):
+            g, k = (batch.column(c).to_numpy() for c in "gk")
+            for lo, hi in zip(cuts := [0, *(np.flatnonzero((np.diff(g) != 0) | ((k[1:] == 0) != (k[:-1] == 0))) + 1), len(g)], cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                part = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(c)))) for c in part.columns], schema=part.schema)
+                if g[lo] != of:
+                    of, own, rows = g[lo], [], None
+                dense, theirs = _dense(part, days), part.column("instrument")
+                if k[lo] == 0:
+                    own.append((dense, theirs))
+                    first = sum(len(x) for x, _ in own[:-1])
+                elif rows is None and own:
+                    rows, names = np.concatenate([x for x, _ in own]), pa.concat_arrays([x for _, x in own])
+                    own = [(rows, names)]
+                for mine, called in own:
+                    step = max(1, OUT_ROWS // len(mine))
+                    for at in range(0, len(dense), step):
+                        c = dense[at : at + step] @ mine.T
+                        i, j = np.indices(c.shape)
+                        i, j, c = i.ravel() + at, j.ravel(), c.ravel()
+                        if k[lo] == 0 and called is theirs:
+                            keep = j <= i
+                            i, j, c = i[keep], j[keep], c[keep]
+                        yield pa.RecordBatch.from_arrays([theirs.take(pa.array(i)), called.take(pa.array(j)), pa.array(np.clip(c, -1.0, 1.0))], ["x", "y", "corr"])
+
+    ordered = dealt.repartition(blocks, "g").sortWithinPartitions("g", "k").select("instrument", "v", "g", "k")
+    found = ordered.mapInArrow(run, f"x {kind}, y {kind}, corr double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.col("corr")).alias("corr"))
 
 
 def matrix(streams: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, corr) for a <= b of the streams that have at least so many rows and vary; corr of a with itself is 1."""
-    counted = streams.filter("instrument IS NOT NULL").groupBy("instrument", "d").agg(F.sum(F.coalesce(F.col("r").cast("double"), F.lit(0.0))).alias("r"), F.count("*").alias("rows"))
-    days = counted.select("d").distinct().agg(F.count("*").cast("double").alias("t"))
-    each = counted.groupBy("instrument").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.sum("rows").alias("rows"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n"))
-    each = each.join(F.broadcast(days)).filter((F.col("rows") >= least) & ~((F.col("lo") == F.col("hi")) & ((F.col("lo") == 0) | (F.col("n") == F.col("t")))))
-    each = each.select("instrument", "s", (F.col("t") * F.col("q") - F.col("s") * F.col("s")).alias("v"), "t")
-    one, two = (counted.select("d", F.col("instrument").alias(k), F.col("r").alias(f"_{k}")) for k in "ab")
-    products = one.join(two, "d").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("p"))
-    sides = [each.select(*[F.col(c).alias(f"{k}_{c}") for c in ("s", "v", "t")], F.col("instrument").alias(k)) for k in "ab"]
-    # Every two streams, also those without a common day: the result's own size.
-    pairs = sides[0].join(sides[1], F.col("a") <= F.col("b")).join(products, ["a", "b"], "left")
-    corr = (F.col("a_t") * F.coalesce("p", F.lit(0.0)) - F.col("a_s") * F.col("b_s")) / F.sqrt(F.col("a_v") * F.col("b_v"))
-    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))).alias("corr"))
+    return _correlated(_vectors(streams, least))
+
+
+def components_of(streams: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
+    """components(matrix(streams)), by products of days where there are more streams than days: no matrix of streams is made. There a component without variance has loadings of 0."""
+    vectors = _vectors(streams, least)
+    size = vectors.agg(F.count("*").alias("n"), F.max("t").alias("t")).first()
+    n, days = size["n"], size["t"] or 0
+    if n <= days:
+        return components(_correlated(vectors), k)
+    if days > MOST:
+        raise ValueError(f"{days} days and {n} instruments; a matrix of more than {MOST} doesn't fit one task")
+    kind = vectors.schema["instrument"].dataType.simpleString()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row sums the streams.
+        total = np.zeros((days + 1, days))
+        for batch in _few(batches):
+            z = _dense(batch, days)
+            total[:days] += z.T @ z
+            total[days] += z.sum(axis=0)
+        for i in range(days + 1):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i].tobytes()], pa.binary())], ["i", "row"])
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.table([table["i"][:1], pa.array([sum(np.frombuffer(x) for x in table["row"].to_pylist()).tobytes()], pa.binary())], ["i", "row"])
+
+    def largest(table: pa.Table) -> pa.Table:
+        rows = dict(zip(table["i"].to_pylist(), table["row"].to_pylist(), strict=True))
+        gram, total = np.stack([np.frombuffer(rows[i]) for i in range(days)]), np.frombuffer(rows[days])
+        values, vectors = np.linalg.eigh(gram)
+        best = np.argsort(-values, kind="stable")[:k]
+        scaled = [vectors[:, j] / np.sqrt(values[j]) if values[j] > 1e-9 * n else np.zeros(days) for j in best]
+        scaled = [w if total @ w >= 0 else -w for w in scaled]
+        return pa.table([pa.array(np.arange(len(best)) + 1), pa.array(values[best] / np.trace(gram)), pa.array([w.tobytes() for w in scaled], pa.binary())], ["component", "share", "w"])
+
+    parts = vectors.select("instrument", "v").repartition(min(PARTS, -(-n // 1024)), "instrument").mapInArrow(products, "i int, row binary")
+    axes = parts.groupBy("i").applyInArrow(added, "i int, row binary").groupBy().applyInArrow(largest, "component bigint, share double, w binary")
+    # k short rows for all tasks.
+    asked = vectors.join(F.broadcast(axes.agg(F.array_sort(F.collect_list(F.struct("component", "share", "w"))).alias("axes")))).select("instrument", "v", "axes")
+
+    def loadings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            if batch.num_rows:
+                z, names = _dense(batch, days), batch.column("instrument")
+                for x in batch.column("axes")[0].as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([x["component"]] * len(z)), pa.array([x["share"]] * len(z)), names, pa.array(z @ np.frombuffer(x["w"]))], ["component", "share", "instrument", "loading"])
+
+    return asked.mapInArrow(loadings, f"component bigint, share double, instrument {kind}, loading double")
+
+
+def clusters_of(streams: DataFrame, cut: float = 0.3, least: int = 3) -> DataFrame:
+    """clusters(matrix(streams), cut): streams that are alike (to ten digits of their largest value) are one, as they join first whatever follows, and only the different ones meet."""
+    vectors = _vectors(streams, least)
+    alike = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["i"].alias("i"), F.floor(x["r"] / F.col("top") * 1e10 + 0.5).alias("r")))), 256)
+    keyed = vectors.withColumn("_alike", alike if cut < 1 - 1e-9 else F.col("instrument").cast("string"))
+    first = keyed.groupBy("_alike").agg(F.min("instrument").alias("_first"))
+    members = keyed.join(first, "_alike").select("instrument", "_first", "t", "v")
+    found = clusters(_correlated(members.filter("instrument = _first").select("instrument", "t", "v")), cut).select(F.col("instrument").alias("_first"), "cluster")
+    each = members.select("instrument", "_first").join(found, "_first")
+    return each.join(each.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("instrument", "cluster", "size")
 
 
 def _square(table: pa.Table) -> tuple[list, np.ndarray]:
@@ -52,11 +177,15 @@ def linked(distance: np.ndarray, cut: float) -> np.ndarray:
     far, of, live = distance.astype(float).copy(), np.arange(n), np.ones(n, bool)
     far[np.tril_indices(n)] = np.inf
     nearest = far.min(axis=1) if n else far
-    for _ in range(n - 1):
-        a = int(np.argmin(np.where(live, nearest, np.inf)))
+    # Distances only grow, so a row's old minimum is a bound: it is computed anew only when it is the least of all.
+    while live.sum() > 1:
+        a = int(np.argmin(nearest))
         if not nearest[a] <= cut:
             break
         b = int(np.argmin(far[a]))
+        if far[a, b] > nearest[a]:
+            nearest[a] = far[a, b]
+            continue
         of[of == b] = a
         live[b] = False
         # Distance of the joined cluster to each other one: the larger of both, kept above the diagonal.
@@ -65,7 +194,7 @@ def linked(distance: np.ndarray, cut: float) -> np.ndarray:
         row[a] = np.inf
         far[a, a + 1 :], far[:a, a] = row[a + 1 :], row[:a]
         far[b, :], far[:, b] = np.inf, np.inf
-        nearest = far.min(axis=1)
+        nearest[a], nearest[b] = far[a].min(), np.inf
     return of
 
 
