@@ -99,7 +99,7 @@ FROM (SELECT x.instrument AS a, y.instrument AS b, corr(x.r, y.r) AS c FROM vari
 
 def v17_components(spark, sf_dir):
     """The three largest components of all suppliers' streams."""
-    return rounded(concentration.components(concentration.matrix(_streams(spark, sf_dir))), ["component", "instrument"])
+    return rounded(concentration.components_of(_streams(spark, sf_dir)), ["component", "instrument"])
 
 
 def v17_linkage(spark, sf_dir):
