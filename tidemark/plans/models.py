@@ -104,7 +104,7 @@ def v17_components(spark, sf_dir):
 
 def v17_linkage(spark, sf_dir):
     """Clusters whose members all have absolute correlations of at least 0.03."""
-    return concentration.clusters(concentration.matrix(_streams(spark, sf_dir)), 0.03)
+    return concentration.clusters_of(_streams(spark, sf_dir), 0.03)
 
 
 # Permits -----------------------------------------------------------------------------------------
