@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
@@ -239,3 +240,22 @@ def test_links_are_the_nearest_prices(spark, tmp_path):
     orders = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows], "o_orderkey bigint, o_orderpriority string, o_orderstatus string, o_totalprice double").repartition(3)
     got, want = _against_sql(spark, tmp_path, "j15_signature_link", orders=orders)
     assert len(got[1]) > 100 and got == want
+
+
+def test_nearest_vectors_are_held_in_blocks():
+    """Memory is that of a block of distances, whatever a frame has; a task gives k rows a query, the nearest of all its frames."""
+    from tidemark.plans import sequences
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (6000, 8)).astype(float)
+    frames = [pd.DataFrame({"vec_id": ids, "embedding": list(x[ids]), "label": 1}) for ids in np.array_split(rng.permutation(6000), 2)]
+    ids = np.arange(0, 6000, 6)
+    tracemalloc.start()
+    (got,) = sequences.nearest_of(frames, ids, x[ids])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and len(got) == 16 * len(ids)
+    for i in ids[::50]:
+        dist = np.sqrt(((x - x[i]) ** 2).sum(1)).round(5)
+        dist[i] = np.inf
+        assert got[got["query"] == i].vec_id.tolist() == np.lexsort((np.arange(6000), dist))[:16].tolist()

@@ -144,6 +144,28 @@ def t23_lifecycle(spark, sf_dir):
     return st.drained(lifecycle.advanced(messages, 4), "orders")
 
 
+def nearest_of(frames, ids: np.ndarray, q: np.ndarray, k: int = 16, rows: int = 1024, asked: int = 512):
+    """The k nearest vectors of the frames (vec_id, embedding, label) to each query, by distance and id, itself excluded. Distances are held for rows x asked pairs at a time, and k of each query for the next."""
+    kept = [np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), np.zeros((len(ids), k), np.int64)]
+    for frame in frames:
+        f = frame.sort_values("vec_id", kind="stable")  # the stable sort below leaves ties in the final order
+        for lo in range(0, len(f), rows):
+            part = f.iloc[lo : lo + rows]
+            x, names, labels = np.stack(part["embedding"].to_numpy()).astype(float), part["vec_id"].to_numpy(), part["label"].to_numpy()
+            for at in range(0, len(ids), asked):
+                some = slice(at, at + asked)
+                y = q[some]
+                dist = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T, 0)).round(5)
+                dist[ids[some][:, None] == names[None, :]] = np.inf
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                both = [np.concatenate([old[some], new], axis=1) for old, new in zip(kept, (np.take_along_axis(dist, best, axis=1), names[best], labels[best]), strict=True)]
+                order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+                for old, new in zip(kept, both, strict=True):
+                    old[some] = np.take_along_axis(new, order, axis=1)
+    a, b = np.nonzero(np.isfinite(kept[0]))
+    yield pd.DataFrame({"query": ids[a], "vec_id": kept[1][a, b], "label": kept[2][a, b], "dist": kept[0][a, b]})
+
+
 def r12_nearest_setups(spark, sf_dir):
     """The 15 nearest vectors of each vector whose id is divisible by 100, itself excluded."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
@@ -157,16 +179,7 @@ def r12_nearest_setups(spark, sf_dir):
         shared = spark.sparkContext.broadcast((ids, q))
 
         def run(frames, shared=shared):
-            ids, q = shared.value
-            for f in frames:
-                f = f.sort_values("vec_id", kind="stable")  # the stable sort below leaves ties in the final order
-                x = np.stack(f["embedding"].to_numpy()).astype(float) if len(f) else np.zeros((0, q.shape[1]))
-                dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)).round(5)
-                dist[ids[:, None] == f["vec_id"].to_numpy()[None, :]] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :16]
-                a, b = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                keep = np.isfinite(dist[a, b])
-                yield pd.DataFrame({"query": ids[a[keep]], "vec_id": f["vec_id"].to_numpy()[b[keep]], "label": f["label"].to_numpy()[b[keep]], "dist": dist[a[keep], b[keep]]})
+            yield from nearest_of(frames, *shared.value)
 
         part = vectors.mapInPandas(run, "query bigint, vec_id bigint, label int, dist double")
         found = part if found is None else found.unionByName(part)
