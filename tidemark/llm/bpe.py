@@ -35,7 +35,9 @@ from tidemark.llm.common import documents
 #: Bytes of different matches that are replayed together.
 SLICE_BYTES = 256 << 10
 #: Different matches that a worker remembers; more and it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Pairs of tokens whose merge a worker remembers; each takes some 130 bytes, in every worker.
+PAIRS = 200_000
 #: Texts of about so many characters make an output batch.
 OUT_CHARS = 1 << 20
 
@@ -66,7 +68,7 @@ class Replay:
         """Rank of what the two tokens merge to, -1 if they don't."""
         found = self.pairs.get(left * self.wide + right)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             found = self.pairs[left * self.wide + right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
