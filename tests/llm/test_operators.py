@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -218,6 +219,45 @@ def test_replay_with_merges_out_of_order():
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [replay.one(w) for w in words]
 
 
+def test_replay_at_many_places_is_the_definition():
+    """All places of a pair are merged at once: overlapping and neighbouring ones too, whatever the order of the vocabulary."""
+    rng = np.random.default_rng(3)
+    single = [bytes([b]) for b in range(256)]
+    for turn in range(150):
+        more = {bytes(rng.choice(list(b"abc"), rng.integers(2, 6))) for _ in range(12)}
+        tokens = [*single, *sorted(more, key=lambda t: (len(t), t))] if turn % 2 else [*more, *single]
+        replay = bpe.Replay(tokens)
+        words = [bytes(rng.choice(list(b"abc"), n)) for n in rng.integers(0, 25, 15)] + [b"a" * 9]
+        ids, ends = replay.many(words)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [replay.one(w) for w in words]
+
+
+def test_texts_that_are_read_together_are_replayed_once(monkeypatch):
+    """Several runs of texts, of several batches, are one replay; matches in use stay known when the memory is full. The ids are those of each text alone."""
+    tokens = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(bpe, "OUT_CHARS", 400)
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    replayed = []
+    many = bpe.Replay.many
+    monkeypatch.setattr(bpe.Replay, "many", lambda self, words: replayed.append([w for w in words if w]) or many(self, words))
+    texts = [" ".join(["qwxzv", "zzqqk", f"uniq{k * 7919}", f"vxq{'abcdefghij'[k % 10]}zk{chr(97 + k // 10)}"] * 3) for k in range(100)]
+    texts[7], texts[60] = None, ""
+    encoder = bpe.Encoder(tokens, public_tokenizers.PATTERN)
+
+    def ids(rows: list) -> list:
+        batches = [pa.RecordBatch.from_pydict({"text": pa.array(rows[lo : lo + 10], pa.string())}) for lo in range(0, len(rows), 10)]
+        return [x for b in bpe._encoded(iter(batches), encoder, ()) for x in b.column("ids").to_pylist()]
+
+    got = ids(texts[:50])
+    assert len(replayed) == 1
+    got += ids(texts[50:])
+    assert len(replayed) == 2 and b" qwxzv" in replayed[0] and b" qwxzv" not in replayed[1] and b" zzqqk" not in replayed[1]
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1)
+    assert ids(texts) == got
+    known = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    assert got == [known.encode_ordinary(t or "") for t in texts]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
