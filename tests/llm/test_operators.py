@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import normalised
 from tidemark.llm import bpe, decontamination, html_text, langid, near_dedup, pii, quality, registry, toxicity, warc
-from tidemark.llm.common import pieces, shingle_rows, table, word_hashes, word_spans
+from tidemark.llm.common import pieces, shingle_rows, table, word_hashes, word_spans, written
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -186,6 +187,57 @@ def test_near_duplicates_beyond_the_hub(spark):
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == want and len(set(want.values())) > 1
 
 
+def test_components_take_further_links(spark):
+    """Links that come later, between components, to new nodes and to none: as if all had been known from the start."""
+    rng = np.random.default_rng(5)
+    first = [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2))] + [(k, k + 1) for k in range(300, 330)]
+    later = [(int(a), int(b)) for a, b in rng.integers(0, 400, (60, 2))] + [(310, 5), (500, 501), (501, 329), (7, 7)]
+
+    def of(links: list) -> dict:
+        least = {x: x for link in links for x in link if link[0] != link[1]}
+        for _ in least:
+            for a, b in links:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    def table_of(links: list):
+        return spark.createDataFrame(links, "a bigint, b bigint")
+
+    known = near_dedup.components(table_of(first))
+    assert {r["node"]: r["component"] for r in known.collect()} == of(first)
+    more = near_dedup.joined(known, table_of(later))
+    got = {r["node"]: r["component"] for r in more.collect()}
+    want = of(first + later)
+    assert more.count() == len(got) and {x: c for x, c in got.items() if x in want} == want and all(got[x] == x for x in got.keys() - want.keys())
+    assert near_dedup.joined(known, table_of([])) is known
+
+
+def test_stars_are_told_without_another_round(spark, monkeypatch):
+    tags = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: tags.append(tag) or written(df, tag))
+    got = near_dedup.components(spark.createDataFrame([(k, k % 3) for k in range(3, 40)], "a bigint, b bigint"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {k: k % 3 for k in range(40)}
+    assert tags.count("edges") == 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+
+    rows = spark.range(1000, numPartitions=5).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    left = [files()]
+    got = [written(rows, "counts") for _ in range(3)]
+    for _ in range(50):
+        left.append(files())
+        if left[-1] <= left[0]:
+            break
+        time.sleep(0.1)
+    assert left[-1] <= left[0]
+    assert all(sorted(x.collect()) == sorted(rows.collect()) for x in got) and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)

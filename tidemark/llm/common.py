@@ -58,13 +58,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lets Spark delete a statement's shuffle files when it ends; otherwise they stay on disk until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written as a Parquet table and read back. Its shuffle files, which nothing reads again, go at once; the session's setting stays."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: later jobs start from
     the files, not from the lineage, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
 
 
 def crc_mod(key: Column | str, m: int) -> Column:

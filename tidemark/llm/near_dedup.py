@@ -207,7 +207,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b): the least node that is reachable.
 
-    Alternates two steps until nothing changes: each node hangs its larger neighbours on its least one, then itself and
+    Alternates two steps until only stars are left: each node hangs its larger neighbours on its least one, then itself and
     its smaller neighbours. Each is an aggregation and a join; a node of any degree is only ever counted, never gathered.
     """
     edges = written(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -221,19 +221,29 @@ def components(links: DataFrame) -> DataFrame:
             out = met.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.filter(F.col("u") != F.col("v")).distinct()
 
-    def told(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars() -> bool:
+        """Each node hangs on one other, on which others hang, or holds others: v < u, so that what holds them is the least."""
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter(F.col("hangs") + F.col("holds") > 1).isEmpty()
 
-    before = told(edges)
-    while before[0]:
+    while not stars():
         wide = hung(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
         edges = written(hung(wide, False), "edges")
-        now = told(edges)
-        if now == before:
-            break
-        before = now
     hanging = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return hanging.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return written(hanging.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+
+
+def joined(of: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (a, b): only what these meet is looked at, as links between components."""
+    if links.isEmpty():
+        return of
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    met = of.join(ends, "node", "left_semi").select("node", "component", F.lit(False).alias("new"))
+    met = written(ends.select("node", F.col("node").alias("component"), F.lit(True).alias("new")).unionByName(met).groupBy("node").agg(F.min_by("component", "new").alias("component"), F.min("new").alias("new")), "met")
+    a, b = (met.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of")) for x in "ab")
+    top = components(links.join(a, "a").join(b, "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+    every = of.unionByName(met.filter("new").select("node", "component"))
+    return written(every.join(top, "component", "left").select("node", F.coalesce("_least", "component").alias("component")), "components")
 
 
 def candidate_sets(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
@@ -246,7 +256,7 @@ def candidate_sets(docs: DataFrame, stars: DataFrame, width: int) -> DataFrame:
 
 
 def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between classes (node, n, rows, bands) that connect each component; None if there is no candidate."""
+    """(node, component) of the classes (node, n, rows, bands) that are linked with others; None if there is no candidate."""
     tall = classes.select("node", "n", (F.col("rows") > 1).alias("several"), F.explode("bands").alias("band"))
     least = tall.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("_most")).filter(F.col("hub.node") != F.col("_most")).drop("_most")
     stars = written(tall.join(least, "band").select("node", "n", "several", "band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "stars")
@@ -260,24 +270,23 @@ def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         near = pairs.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node")).filter(_alike("a", "b", percent)).select("a", "b")
         return written(confirmed(near, sets, percent), "links")
 
-    links = checked(stars.filter((F.col("node") != F.col("hub")) & _sizes("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    of = components(checked(stars.filter((F.col("node") != F.col("hub")) & _sizes("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(of: DataFrame) -> DataFrame:
         """Members (node, n, band, component, main) of the buckets with several components; main: that of the hub."""
-        of = components(links)
         standing = stars.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         main = standing.filter(F.col("node") == F.col("hub")).select("band", F.col("component").alias("main"))
         several = standing.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter(F.col("_lo") != F.col("_hi")).select("band")
         return written(standing.join(several.join(main, "band"), "band").select("node", "n", "band", "hub", "component", "main"), "apart")
 
     # The least member outside of the hub's component meets the members of other components.
-    rest = apart(links)
+    rest = apart(of)
     second = written(rest.filter(F.col("component") != F.col("main")).groupBy("band").agg(F.min(F.struct("node", "n", "component")).alias("_s")), "second")
     met = rest.filter(F.col("node") != F.col("hub")).join(second, "band").filter((F.col("component") != F.col("_s.component")) & _sizes("n", "_s.n", percent))
-    links = written(links.unionByName(checked(met.select(F.col("node").alias("a"), F.col("_s.node").alias("b")).distinct())), "links")
+    of = joined(of, checked(met.select(F.col("node").alias("a"), F.col("_s.node").alias("b")).distinct()))
 
     # What is still apart: only those not in the hub's component, against all of their bucket.
-    rest = apart(links).filter(F.col("node") != F.col("hub")).drop("n").join(known, "node").join(classes.select("node", "bands"), "node")
+    rest = apart(of).filter(F.col("node") != F.col("hub")).drop("n").join(known, "node").join(classes.select("node", "bands"), "node")
     all_of = _named(rest, "a")
     others = _named(rest.filter(F.col("component") != F.col("main")), "b")
     once = (F.col("a_component") == F.col("a_main")) | (F.col("a_node") < F.col("b_node"))
@@ -285,8 +294,7 @@ def similar(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     first = F.get(common, 0) == F.col("a_band")
     near = all_of.join(others, (F.col("a_band") == F.col("b_band")) & (F.col("a_component") != F.col("b_component")) & once & first & _alike("a", "b", percent))
-    last = written(confirmed(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent), "links")
-    return links.unionByName(last)
+    return joined(of, written(confirmed(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent), "links"))
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -295,12 +303,12 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     full = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     grouped = full.groupBy("digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
     classes = written(grouped.select("digest", "n", _node().alias("node"), "rows", "bands"), "classes")
-    links = similar(classes, docs.filter(F.col("id").isNotNull()), width, percent)
+    of = similar(classes, docs.filter(F.col("id").isNotNull()), width, percent)
     found = classes.select("digest", "n", "node")
-    if links is None:
+    if of is None:
         found = found.select("digest", "n", F.col("node.id").alias("component"))
     else:
-        found = found.join(components(links), "node", "left").select("digest", "n", F.coalesce("component", "node")["id"].alias("component"))
+        found = found.join(of, "node", "left").select("digest", "n", F.coalesce("component", "node")["id"].alias("component"))
     linked = full.select("id", "mark", "digest", "n").join(found, ["digest", "n"]).select("id", "mark", "n", "component")
     return linked.unionByName(signed.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "mark", "n", F.col("id").alias("component")))
 
