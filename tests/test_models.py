@@ -378,3 +378,38 @@ def test_streams_in_blocks_make_the_same_matrix(spark, monkeypatch):
     groups = [np.flatnonzero(concentration.linked(1 - np.abs(c[:300, :300]), 0.4) == i) for i in range(300)]
     want = {i: (g[0], len(g) + sum(g < 260)) for g in groups if len(g) for i in [*g, *(g[g < 260] + 300)]}
     assert {i: tuple(r) for i, r in zip(found.index, found[["cluster", "size"]].to_numpy(), strict=True)} == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_pairs_join_as_all_do(seed):
+    """Pairs alone, those within the cut, give complete linkage with its ties."""
+    rng = np.random.default_rng(seed)
+    d = rng.integers(1, 7, (40, 40)) / 8.0
+    d = np.minimum(d, d.T)
+    a, b = np.nonzero(np.triu(d <= 0.625, 1))
+    of = np.arange(40)
+    old, new = concentration.joins(a, b, d[a, b])
+    of[old] = new
+    assert len(old) > 10 and list(of) == list(concentration.linked(d, 0.625))
+
+
+@pytest.mark.parametrize("nearest", [1500, 1 << 22])
+def test_clusters_of_more_streams_than_a_matrix_may_have(spark, monkeypatch, nearest):
+    """Different streams beyond MOST, clusters larger than a block's share among them: those of the whole matrix, however few pairs a task may join at a time."""
+    rng = np.random.default_rng(5)
+    wide = rng.normal(0, 1, (600, 12))
+    wide[:150] = rng.normal(0, 1, 12) + 0.15 * wide[:150]
+    wide[150:200] = wide[150:200].round()  # ties
+    names = [f"s{i:03d}" for i in rng.permutation(600)]
+    streams = spark.createDataFrame([(names[i], j, float(wide[i, j])) for i in range(600) for j in range(12)], "instrument string, d int, r double")
+    rounds, dealt = [], concentration._dealt
+    monkeypatch.setattr(concentration, "MOST", 300)
+    monkeypatch.setattr(concentration, "NEAREST", nearest)
+    monkeypatch.setattr(concentration, "_dealt", lambda *x: rounds.append(x) or dealt(*x))
+    found = {r["instrument"]: (r["cluster"], r["size"]) for r in concentration.clusters_of(streams, 0.7).collect()}
+    order = np.argsort(names)
+    of = concentration.linked(np.round(1 - np.abs(np.corrcoef(wide[order])), 12), 0.3)
+    size, named = np.bincount(of), [names[i] for i in order]
+    assert size.max() > 100 and len(size[size > 0]) > 50
+    assert found == {named[i]: (named[g], size[g]) for i, g in enumerate(of)}
+    assert (len(rounds) == 1) == (nearest == 1 << 22)
