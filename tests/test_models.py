@@ -413,3 +413,17 @@ def test_clusters_of_more_streams_than_a_matrix_may_have(spark, monkeypatch, nea
     assert size.max() > 100 and len(size[size > 0]) > 50
     assert found == {named[i]: (named[g], size[g]) for i, g in enumerate(of)}
     assert (len(rounds) == 1) == (nearest == 1 << 22)
+
+
+def test_matrix_is_dealt_out_evenly_and_rounded_where_it_is_made(spark):
+    """A result with a row for every two streams: tasks have like shares of it, and digits cost no further expression a row."""
+    rng = np.random.default_rng(3)
+    wide = rng.normal(0, 1, (600, 9))
+    streams = spark.createDataFrame([(i, j, float(wide[i, j])) for i in range(600) for j in range(9)], "instrument bigint, d int, r double")
+    matrix = concentration.matrix(streams, digits=6)
+    got, c = matrix.withColumn("task", F.spark_partition_id()).toPandas(), np.corrcoef(wide)
+    assert len(got) == 600 * 601 // 2 == len(got.drop_duplicates(["a", "b"])) and np.allclose(got["corr"], c[got.a, got.b], atol=5.0001e-7, rtol=0)
+    assert (got["corr"] == got["corr"].round(6)).all() and not np.signbit(got.loc[got["corr"] == 0, "corr"]).any() and (got.loc[got.a == got.b, "corr"] == 1).all()
+    shares = got.groupby("task").size()
+    assert len(shares) >= 30 and shares.max() < 3 * shares.mean()
+    assert "round(" not in matrix._jdf.queryExecution().optimizedPlan().toString()

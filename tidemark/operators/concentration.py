@@ -133,50 +133,39 @@ def _pairs(batches: Iterator[pa.RecordBatch], parts: int, names: list[str], grou
             yield rows, mine, dense, columns, None
 
 
-def _correlated(vectors: DataFrame) -> DataFrame:
-    size = vectors.agg(F.count("*").alias("n"), F.max("t").alias("t")).first()
-    n, days = size["n"], size["t"] or 0
-    blocks = max(1 if n <= 512 else 8, -(-n * days // BLOCK_VALUES))
-    # Every two blocks meet once: each with those at most half a circle ahead of it.
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks // 2)))).withColumn("g", F.pmod(F.col("block") - F.col("k"), F.lit(blocks)))
-    dealt = dealt.filter((2 * F.col("k") != blocks) | (F.col("k") == 0) | (F.col("g") < blocks // 2))
+def _correlated(vectors: DataFrame, n: int, days: int, digits: int | None = None) -> DataFrame:
+    blocks, parts = _blocks(n, days)
     kind = vectors.schema["instrument"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, names, rows, own = None, None, None, []
-        for batch in _few(batches):
-            g, k = (batch.column(c).to_numpy() for c in "gk")
-            for lo, hi in zip(cuts := [0, *(np.flatnonzero((np.diff(g) != 0) | ((k[1:] == 0) != (k[:-1] == 0))) + 1), len(g)], cuts[1:], strict=False):
-                part = batch.slice(lo, hi - lo)
-                part = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(c)))) for c in part.columns], schema=part.schema)
-                if g[lo] != of:
-                    of, own, rows = g[lo], [], None
-                dense, theirs = _dense(part, days), part.column("instrument")
-                if k[lo] == 0:
-                    own.append((dense, theirs))
-                    first = sum(len(x) for x, _ in own[:-1])
-                elif rows is None and own:
-                    rows, names = np.concatenate([x for x, _ in own]), pa.concat_arrays([x for _, x in own])
-                    own = [(rows, names)]
-                for mine, called in own:
-                    step = max(1, OUT_ROWS // len(mine))
-                    for at in range(0, len(dense), step):
-                        c = dense[at : at + step] @ mine.T
-                        i, j = np.indices(c.shape)
-                        i, j, c = i.ravel() + at, j.ravel(), c.ravel()
-                        if k[lo] == 0 and called is theirs:
-                            keep = j <= i
-                            i, j, c = i[keep], j[keep], c[keep]
-                        yield pa.RecordBatch.from_arrays([theirs.take(pa.array(i)), called.take(pa.array(j)), pa.array(np.clip(c, -1.0, 1.0))], ["x", "y", "corr"])
-
-    ordered = dealt.repartition(blocks, "g").sortWithinPartitions("g", "k").select("instrument", "i", "r", "g", "k")
-    found = ordered.mapInArrow(run, f"x {kind}, y {kind}, corr double")
+        shape, i, j = None, None, None
+        for rows, mine, dense, theirs, at in _pairs(batches, parts, ["instrument"]):
+            mine, theirs = mine.column("instrument"), theirs.column("instrument")
+            step = max(1, OUT_ROWS // len(rows))
+            for lo in range(0, len(dense), step):
+                c = dense[lo : lo + step] @ rows.T
+                np.clip(c, -1.0, 1.0, out=c)
+                if digits is not None:
+                    # Halves up by the product, as the SQL does; 0 has no sign.
+                    c = np.trunc(c * 10.0**digits + np.copysign(0.5, c)) / 10.0**digits + 0.0
+                if c.shape != shape:
+                    shape, (i, j) = c.shape, (x.ravel().astype(np.int32) for x in np.indices(c.shape))
+                x, y, c = theirs.slice(lo, step).take(pa.array(i)), mine.take(pa.array(j)), c.ravel()
+                found = pa.RecordBatch.from_arrays([x, y, pa.array(c)], ["x", "y", "corr"])
+                yield found if at is None else found.filter(pa.array(j <= i + (at + lo)))
+
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int")).select("instrument", "t", "i", "r", "block")
+    found = _dealt(dealt, blocks, parts, []).mapInArrow(run, f"x {kind}, y {kind}, corr double")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.col("corr")).alias("corr"))
 
 
-def matrix(streams: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, corr) for a <= b of the streams that have at least so many rows and vary; corr of a with itself is 1."""
-    return _correlated(_vectors(streams, least))
+def matrix(streams: DataFrame, least: int = 3, digits: int | None = None) -> DataFrame:
+    """(a, b, corr) for a <= b of the streams that have at least so many rows and vary; corr of a with itself is 1. Rounded to so many digits where these are given, in the tasks
+    that multiply: there are as many rows as pairs."""
+    # Only blocks are cut by these, so streams that are left out may count.
+    named = streams.filter("instrument IS NOT NULL")
+    n, days = (named.select(c).distinct().count() for c in ("instrument", "d"))
+    return _correlated(_vectors(streams, least), n, days, digits)
 
 
 def components_of(streams: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
@@ -185,7 +174,7 @@ def components_of(streams: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
     size = vectors.agg(F.count("*").alias("n"), F.max("t").alias("t")).first()
     n, days = size["n"], size["t"] or 0
     if n <= days:
-        return components(_correlated(vectors), k)
+        return components(_correlated(vectors, n, days), k)
     if days > MOST:
         raise ValueError(f"{days} days and {n} instruments; a matrix of more than {MOST} doesn't fit one task")
     kind = vectors.schema["instrument"].dataType.simpleString()

@@ -77,7 +77,7 @@ def _streams(spark, sf_dir):
 
 
 def v17_correlation_matrix(spark, sf_dir):
-    return rounded(concentration.matrix(_streams(spark, sf_dir)), ["a", "b"])
+    return concentration.matrix(_streams(spark, sf_dir), digits=6)
 
 
 _MATRIX_SQL = f"""
