@@ -322,22 +322,21 @@ def joins(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     """(old, new) of clusters that join by complete linkage: a < b are apart by d, pairs that aren't given are too far. The order is that of linked(), by (d, a, b).
 
     Two clusters that are each other's nearest join whatever the others do, so all such pairs join at once."""
-    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b, m = place[: len(a)], place[len(a) :], len(ids)
+    m = int(b.max()) + 1 if len(b) else 0
     of = np.arange(m)
     while len(a):
         order = np.lexsort((b, a, d))
         a, b, d = a[order], b[order], d[order]
-        nearest = np.full(m, len(a))
+        nearest, place = np.full(m, len(a)), np.arange(len(a))
         for side in (a, b):
-            np.minimum.at(nearest, side, np.arange(len(a)))
-        both = np.flatnonzero((nearest[a] == np.arange(len(a))) & (nearest[b] == np.arange(len(a))))
+            np.minimum.at(nearest, side, place)
+        both = np.flatnonzero((nearest[a] == place) & (nearest[b] == place))
         to, parts = np.arange(m), np.ones(m, int)
         to[b[both]], parts[a[both]] = a[both], 2
         of = to[of]
         a, b = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
         apart = a != b
-        key, d = a[apart] * m + b[apart], d[apart]
+        key, d = a[apart].astype(np.int64) * m + b[apart], d[apart]
         order = np.lexsort((d, key))
         key, d = key[order], d[order]
         starts = _starts(key)
@@ -346,8 +345,8 @@ def joins(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
         # Every two parts must be near.
         near = ends - starts == parts[a] * parts[b]
         a, b, d = a[near], b[near], d[ends[near] - 1]
-    changed = of != np.arange(m)
-    return ids[changed], ids[of[changed]]
+    old = np.flatnonzero(of != np.arange(m))
+    return old, of[old]
 
 
 def _square(table: pa.Table) -> tuple[list, np.ndarray]:
